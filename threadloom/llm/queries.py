@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadloom.llm import simhash
+from threadloom.llm import chat, exact, reshard, simhash
 from threadloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,62 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash}
+def op2_chat_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    back = chat.read_back(chat.prefix_examples(turns))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    lost = F.array_join("losses", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length(lost).cast("long").alias("loss_chars"),
+        F.sha2(lost, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
 
-ORACLES: dict[str, str] = {}
+
+def op9_exact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents")).drop("locator")
+
+
+def op10_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = reshard.reshard(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+QUERIES: dict[str, Query] = {
+    "op1_simhash": op1_simhash,
+    "op2_chat_prefix_target": op2_chat_prefix_target,
+    "op9_exact_stream": op9_exact_stream,
+    "op10_flow_reshard": op10_flow_reshard,
+}
+
+ORACLES: dict[str, str] = {
+    "op2_chat_prefix_target": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        )
+        SELECT conv_id,
+            count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(16 + length(role) + length(text)
+                + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\]|</?SYS>>)'))) AS BIGINT) AS formatted_chars
+        FROM turns GROUP BY conv_id
+    """,
+    "op9_exact_stream": """
+        SELECT doc_id,
+            max(doc_id) OVER same AS keep_id,
+            count(*) OVER same AS group_size,
+            doc_id = max(doc_id) OVER same AS kept,
+            sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
+}
