@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import shared_path, sized, written
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore."
+#: Session settings while the stream runs: state on disk, change logs instead of whole snapshots, no preallocated files.
+STATE_STORE = {
+    _STORE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    _STORE + "rocksdb.changelogCheckpointing.enabled": "true",
+    _STORE + "rocksdb.allowFAllocate": "false",
+}
 
 
 def _text(text_col: str) -> Column:
@@ -41,8 +46,9 @@ def stream_state(digests_path: str, spark, checkpoint: str, out: str) -> None:
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -53,10 +59,11 @@ def stream_state(digests_path: str, spark, checkpoint: str, out: str) -> None:
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
