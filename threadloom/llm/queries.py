@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, exact, langid, reshard, simhash
+from threadloom.llm import chat, exact, langid, packing, reshard, simhash
 from threadloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,10 +49,15 @@ def op3_langid_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_config_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_chat_prefix_target": op2_chat_prefix_target,
     "op3_langid_cnn": op3_langid_cnn,
+    "op8_config_lp_packing": op8_config_lp_packing,
     "op9_exact_stream": op9_exact_stream,
     "op10_flow_reshard": op10_flow_reshard,
 }
