@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, exact, langid, packing, reshard, simhash
+from threadloom.llm import chat, decontam, exact, langid, licences, packing, reshard, simhash
 from threadloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,10 +53,20 @@ def op8_config_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_chat_prefix_target": op2_chat_prefix_target,
     "op3_langid_cnn": op3_langid_cnn,
+    "op5_suffix_decontamination": op5_suffix_decontamination,
+    "op7_licence_automaton": op7_licence_automaton,
     "op8_config_lp_packing": op8_config_lp_packing,
     "op9_exact_stream": op9_exact_stream,
     "op10_flow_reshard": op10_flow_reshard,
@@ -77,6 +87,32 @@ ORACLES: dict[str, str] = {
                 + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\]|</?SYS>>)'))) AS BIGINT) AS formatted_chars
         FROM turns GROUP BY conv_id
     """,
+    "op5_suffix_decontamination": r"""
+        WITH texts AS (
+            SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents
+            UNION ALL SELECT 'b', CAST(item_id AS VARCHAR), text FROM benchmark
+        ), split AS (
+            SELECT kind, id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM texts
+        ), item AS (
+            SELECT DISTINCT id AS item, k, array_to_string(w[i:i + k - 1], ' ') AS gram
+            FROM (SELECT id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM split WHERE kind = 'b' AND len(w) > 0)
+        ), place AS (
+            SELECT id, k, i, array_to_string(w[i:i + k - 1], ' ') AS gram
+            FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM split, (SELECT DISTINCT k FROM item) WHERE kind = 'd' AND len(w) >= k)
+        ), hit AS (
+            SELECT id, i, k, item FROM place JOIN item USING (k, gram)
+        ), covered AS (
+            SELECT id, count(DISTINCT pos) AS n FROM (SELECT id, unnest(range(i, i + k)) AS pos FROM (SELECT DISTINCT id, i, k FROM hit)) GROUP BY id
+        ), items AS (
+            SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT id, item FROM hit) GROUP BY id
+        )
+        SELECT CAST(s.id AS BIGINT) AS doc_id, len(s.w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+            sha256(coalesce(t.list, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+        FROM split s LEFT JOIN covered c USING (id) LEFT JOIN items t USING (id) WHERE s.kind = 'd'
+    """,
     "op9_exact_stream": """
         SELECT doc_id,
             max(doc_id) OVER same AS keep_id,
