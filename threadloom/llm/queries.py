@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, decontam, exact, langid, licences, packing, reshard, simhash
+from threadloom.llm import chat, decontam, exact, langid, licences, packing, reshard, simhash, warc, wrappers
 from threadloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,11 +61,21 @@ def op7_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.page_responses(table(spark, sf_dir, "pages")))
+
+
+def op6_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_chat_prefix_target": op2_chat_prefix_target,
     "op3_langid_cnn": op3_langid_cnn,
+    "op4_warc_derivatives": op4_warc_derivatives,
     "op5_suffix_decontamination": op5_suffix_decontamination,
+    "op6_wrapper_extraction": op6_wrapper_extraction,
     "op7_licence_automaton": op7_licence_automaton,
     "op8_config_lp_packing": op8_config_lp_packing,
     "op9_exact_stream": op9_exact_stream,
