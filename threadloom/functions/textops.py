@@ -6,6 +6,8 @@ constants below stand in for ``\\s`` and ``\\b``. Lengths count code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +54,12 @@ def trim(text: Column) -> Column:
 
 
 def collapse_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(text, f" [{WS}]+|[{WS}&&[^ ]][{WS}]*", " "))  # single spaces are as they should be
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def strip_tagged_blocks(text: Column) -> Column:
@@ -141,20 +148,23 @@ def token_estimate(text: Column) -> Column:
     return F.when(chars == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil(F.greatest(words.cast("double"), chars)))).cast("long")
 
 
+# Before a word character, a boundary is the absence of another one.
+_START = f"(?<!{_WORD})"
+
 # What is redacted before a text leaves for an embedding service, in this order.
 REDACTIONS = (
-    (rf"{BOUNDARY}ghp_[A-Za-z0-9_]{{20,}}{BOUNDARY}", "<REDACTED_GITHUB_TOKEN>"),
-    (rf"{BOUNDARY}gho_[A-Za-z0-9_]{{20,}}{BOUNDARY}", "<REDACTED_GITHUB_TOKEN>"),
-    (rf"{BOUNDARY}github_pat_[A-Za-z0-9_]{{20,}}{BOUNDARY}", "<REDACTED_GITHUB_TOKEN>"),
-    (rf"{BOUNDARY}xox[baprs]-[A-Za-z0-9-]{{20,}}{BOUNDARY}", "<REDACTED_SLACK_TOKEN>"),
-    (rf"{BOUNDARY}sk-[A-Za-z0-9_-]{{20,}}{BOUNDARY}", "<REDACTED_API_KEY>"),
-    (rf"(?i){BOUNDARY}(?:[A-Z0-9]+[_-])*(?:API[_-]?KEY|TOKEN)[{WS}]*[:=][{WS}]*['\"]?[^{WS}'\"]{{16,}}", "API_KEY=<REDACTED_API_KEY>"),
-    (rf"(?i){BOUNDARY}(authorization[{WS}]*:[{WS}]*bearer[{WS}]+)[A-Za-z0-9._~+/-]+=*", "$1<REDACTED_BEARER_TOKEN>"),
+    (rf"ghp_(?<!{_WORD}ghp_)[A-Za-z0-9_]{{20,}}{BOUNDARY}", "<REDACTED_GITHUB_TOKEN>"),
+    (rf"gho_(?<!{_WORD}gho_)[A-Za-z0-9_]{{20,}}{BOUNDARY}", "<REDACTED_GITHUB_TOKEN>"),
+    (rf"github_pat_(?<!{_WORD}github_pat_)[A-Za-z0-9_]{{20,}}{BOUNDARY}", "<REDACTED_GITHUB_TOKEN>"),
+    (rf"xox(?<!{_WORD}xox)[baprs]-[A-Za-z0-9-]{{20,}}{BOUNDARY}", "<REDACTED_SLACK_TOKEN>"),
+    (rf"sk-(?<!{_WORD}sk-)[A-Za-z0-9_-]{{20,}}{BOUNDARY}", "<REDACTED_API_KEY>"),
+    (rf"(?i){_START}(?:[A-Z0-9]+[_-])*(?:API[_-]?KEY|TOKEN)[{WS}]*[:=][{WS}]*['\"]?[^{WS}'\"]{{16,}}", "API_KEY=<REDACTED_API_KEY>"),
+    (rf"(?i){_START}(authorization[{WS}]*:[{WS}]*bearer[{WS}]+)[A-Za-z0-9._~+/-]+=*", "$1<REDACTED_BEARER_TOKEN>"),
     (
-        rf"(?i){BOUNDARY}(password|secret|token|api[_-]?key)[{WS}]*[:=][{WS}]*['\"]?(?!<REDACTED_)[^{WS}'\"]{{12,}}",
+        rf"(?i){_START}(password|secret|token|api[_-]?key)[{WS}]*[:=][{WS}]*['\"]?(?!<REDACTED_)[^{WS}'\"]{{12,}}",
         "$1=<REDACTED_SECRET>",
     ),
-    (rf"{BOUNDARY}[A-Za-z0-9+/]{{48,}}={{0,2}}{BOUNDARY}", "<REDACTED_HIGH_ENTROPY_STRING>"),
+    (rf"(?=[A-Za-z0-9+/]{{48}}){BOUNDARY}[A-Za-z0-9+/]{{48,}}={{0,2}}{BOUNDARY}", "<REDACTED_HIGH_ENTROPY_STRING>"),
 )
 
 
@@ -165,13 +175,12 @@ def redacted(text: Column) -> Column:
 def with_redaction(df: DataFrame, text_col: str, out: str = "redacted", count: str = "redactions") -> DataFrame:
     """``df`` with the redacted text and how many matches each rule found, in sum, in the text it met."""
     df = df.withColumns({out: F.col(text_col), count: F.lit(0).cast("long")})
-    for pattern, by in REDACTIONS:
-        df = df.select(
-            *(c for c in df.columns if c not in (out, count)),
-            F.regexp_replace(out, pattern, by).alias(out),
-            (F.col(count) + F.regexp_count(out, F.lit(pattern))).alias(count),
+    for pattern, by in REDACTIONS:  # most texts hold nothing, and are not searched again to replace it
+        df = df.withColumn("__n", F.regexp_count(out, F.lit(pattern)))
+        df = df.withColumns(
+            {out: F.when(F.col("__n") > 0, F.regexp_replace(out, pattern, by)).otherwise(F.col(out)), count: F.col(count) + F.col("__n")}
         )
-    return df
+    return df.drop("__n")
 
 
 def embedding_text(text: Column, input_type: str, model: str) -> Column:

@@ -29,6 +29,8 @@ PATH = rf"(?:\A|[{WS}])[A-Za-z0-9_./-]+\.(?:ts|tsx|js|jsx|json|md|sql|py|go|rs|c
 
 def estimate(text: str) -> int:
     """Model tokens of a text without outer white space."""
+    if text.isalnum():  # one piece
+        return (len(text) + 3) // 4
     return max(1, math.ceil(max(len(_PIECE.findall(text)), len(text) / 4))) if text else 0
 
 

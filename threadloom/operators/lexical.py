@@ -24,6 +24,7 @@ CANDIDATES = 100
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame  # doc, field, term, pos
+    texts: DataFrame  # doc, field, tokens
     lengths: DataFrame  # doc, n_tokens over all fields
     weights: dict[str, float]
     tokens: object
@@ -38,11 +39,9 @@ def build_index(docs: DataFrame, id_col: str, fields: dict[str, float], stemmed:
     make = stemmed_tokens if stemmed else plain_tokens
     split = docs.select(F.col(id_col).alias("doc"), *(make(F.col(f)).alias(f) for f in fields))
     n = sum((F.coalesce(F.size(f), F.lit(0)) for f in fields), F.lit(0))
-    rows = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens")) for f in fields))
-    postings = (
-        split.select("doc", F.inline(rows)).select("doc", "field", F.posexplode("tokens").alias("pos", "term"))
-    )
-    return Index(postings, split.select("doc", n.cast("long").alias("n_tokens")), dict(fields), make)
+    texts = split.select("doc", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens")) for f in fields))))
+    postings = texts.select("doc", "field", F.posexplode("tokens").alias("pos", "term"))
+    return Index(postings, texts, split.select("doc", n.cast("long").alias("n_tokens")), dict(fields), make)
 
 
 def phrase_table(index: Index, queries: DataFrame, phrases: Column) -> DataFrame:
@@ -54,20 +53,30 @@ def phrase_table(index: Index, queries: DataFrame, phrases: Column) -> DataFrame
 
 
 def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
-    """(query, phrase, n_phrases, doc, field, hits): how often each phrase stands in each field."""
+    """(query, phrase, n_phrases, doc, field, hits): how often each phrase stands in each field.
+
+    A phrase of several terms is looked up by its rarest one, and the words around each place are compared then, so a
+    frequent word costs nothing where a rarer one stands beside it.
+    """
+    keys = ["query", "phrase", "n_phrases"]
     wanted = phrases.filter("term is not null")
-    at = index.postings.join(wanted, "term").select(
-        "query", "phrase", "n_phrases", "n_terms", "doc", "field", (F.col("pos") - F.col("offset")).alias("start"), "offset"
+    one = index.postings.join(wanted.filter("n_terms = 1").select(*keys, "term"), "term").select(*keys, "doc", "field")
+    many = wanted.filter("n_terms > 1")
+    common = index.postings.join(many.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("tf"))
+    # a term without postings sorts first, and finds nothing
+    rare = F.min(F.struct(F.coalesce("tf", F.lit(0)), "offset", "term")).alias("rare")
+    words = F.transform(F.array_sort(F.collect_list(F.struct("offset", "term"))), lambda x: x["term"]).alias("words")
+    anchors = many.join(common, "term", "left").groupBy(*keys, "n_terms").agg(rare, words).select(
+        *keys, "n_terms", "words", F.col("rare.term").alias("term"), F.col("rare.offset").alias("offset")
     )
-    one = at.filter("n_terms = 1").select("query", "phrase", "n_phrases", "doc", "field")
-    many = (
-        at.filter("n_terms > 1")
-        .groupBy("query", "phrase", "n_phrases", "n_terms", "doc", "field", "start")
-        .agg(F.count("*").alias("n"))
-        .filter("n = n_terms")
-        .select("query", "phrase", "n_phrases", "doc", "field")
+    places = index.postings.join(anchors, "term").select(*keys, "n_terms", "words", "doc", "field", (F.col("pos") - F.col("offset")).alias("start"))
+    whole = (
+        places.filter("start >= 0")
+        .join(index.texts, ["doc", "field"])
+        .filter(F.slice("tokens", F.col("start") + 1, F.col("n_terms")) == F.col("words"))
+        .select(*keys, "doc", "field")
     )
-    return one.unionByName(many).groupBy("query", "phrase", "n_phrases", "doc", "field").agg(F.count("*").alias("hits"))
+    return one.unionByName(whole).groupBy(*keys, "doc", "field").agg(F.count("*").alias("hits"))
 
 
 def bm25(index: Index, phrases: DataFrame) -> DataFrame:

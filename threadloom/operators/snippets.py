@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions.porter import stem
-from threadloom.functions.textops import collapse_space
+from threadloom.functions.textops import collapse_space, let
 from threadloom.plans.query import search_tokens
 
 LENGTH = 220
@@ -21,31 +21,38 @@ EXCERPT_TOKENS = 18
 
 
 def truncate(text: Column, most: int = LENGTH) -> Column:
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, most - 1)), F.lit(MORE)))
+    return let(text, lambda t: F.when(F.length(t) <= most, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit(MORE))))
 
 
 def highlight(text: Column, free_text: str) -> Column:
     """Marks each word of the query, the longest first; marks of shorter words may stand inside those of longer ones."""
     terms = sorted((t for t in search_tokens(free_text) if len(t) > 1), key=len, reverse=True)
     for t in terms:
-        text = F.regexp_replace(text, "(?iu)" + re.sub(r"([^\w\s])", r"\\\1", t), f"{OPEN}$0{CLOSE}")
+        flags = "(?i)" if t.isascii() else "(?iu)"
+        text = F.regexp_replace(text, flags + re.sub(r"([^\w\s])", r"\\\1", t), f"{OPEN}$0{CLOSE}")
     return text
 
 
 def excerpt(text: Column, free_text: str, most: int = LENGTH) -> Column:
     """About ``most`` characters around the first word of the query, in the query's order, that the text holds."""
-    flat = collapse_space(text)
+    if not free_text.strip():
+        return truncate(collapse_space(text), most)
     terms = [t.lower() for t in search_tokens(free_text) if len(t) > 1]
-    if not free_text.strip() or not terms:
-        return truncate(flat if not free_text.strip() else highlight(flat, free_text), most)
-    lower = F.lower(flat)
-    anchor = F.coalesce(*(F.nullif(F.instr(lower, F.lit(t)), F.lit(0)) for t in terms))
-    start = F.greatest(F.lit(1), anchor - most // 3)
-    cut = F.trim(F.substring(flat, start, F.lit(most)))
-    shown = F.concat(
-        F.when(start > 1, MORE).otherwise(""), cut, F.when(start - 1 + most < F.length(flat), MORE).otherwise("")
-    )
-    return F.when(anchor.isNull(), truncate(highlight(flat, free_text), most)).otherwise(highlight(shown, free_text))
+
+    def around(flat: Column, anchor: Column) -> Column:
+        start = F.greatest(F.lit(1), anchor - most // 3)
+        cut = F.trim(F.substring(flat, start, F.lit(most)))
+        more = F.when(start - 1 + most < F.length(flat), MORE).otherwise("")
+        return F.concat(F.when(start > 1, MORE).otherwise(""), cut, more)
+
+    def shown(flat: Column) -> Column:
+        if not terms:
+            return truncate(highlight(flat, free_text), most)
+        anchor = let(F.lower(flat), lambda low: F.coalesce(*(F.nullif(F.instr(low, F.lit(t)), F.lit(0)) for t in terms)))
+        # a text without any of the words has nothing to mark
+        return let(anchor, lambda a: F.when(a.isNull(), truncate(flat, most)).otherwise(highlight(around(flat, a), free_text)))
+
+    return let(collapse_space(text), shown)
 
 
 def choose(columns: list[str], free_text: str) -> tuple[Column, Column]:
