@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side may be broadcast when it has at most this many rows of a few machine words each.
 BROADCAST_ROWS = 1_000_000
+#: And a side of texts when they have at most so many bytes.
+BROADCAST_BYTES = 32_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +56,12 @@ def sized(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
 
 
+def sized_texts(side: DataFrame, *columns: str) -> DataFrame:
+    """``side`` with a broadcast hint if these text columns are known to be small together, else as it is."""
+    total = side.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(64))).alias("n")).first()["n"] or 0
+    return F.broadcast(side) if total <= BROADCAST_BYTES else side
+
+
 def without_ids(df: DataFrame, id_col: str, drops: DataFrame) -> DataFrame:
     """Rows of ``df`` whose id is not in the one-column table ``drops``. Null ids stay."""
     gone = drops.select(F.col(drops.columns[0]).alias("__gone_id"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import shared_path, sized, written
 
+#: A table of digests may be broadcast with at most so many rows.
+BROADCAST_DIGESTS = 250_000
 _STORE = "spark.sql.streaming.stateStore."
 #: Session settings while the stream runs: state on disk, change logs instead of whole snapshots, no preallocated files.
 STATE_STORE = {
@@ -94,7 +96,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # hits: the full bytes decide
     hit = written(state.filter("group_size > 1").select("digest"), "exact-hits")
-    by_text = own.join(sized(hit), "digest", "left_semi").groupBy("digest", "text").agg(F.lit(1).alias("one"))
+    by_text = own.join(sized(hit, BROADCAST_DIGESTS), "digest", "left_semi").groupBy("digest", "text").agg(F.lit(1).alias("one"))
     mixed = written(by_text.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "exact-mixed")
     if mixed.limit(1).count():
         sure = rows.join(mixed, "digest", "left_anti").join(state, "digest")
@@ -125,7 +127,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         written(
             groups.filter("not kept").select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_sha")).distinct(),
             "exact-drops",
-        )
+        ),
+        BROADCAST_DIGESTS,
     )
     sha = F.sha2(_text(text_col), 256)
     left = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__gone_id")) & (sha == F.col("__gone_sha")), "left_anti")

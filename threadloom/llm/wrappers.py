@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import sized, written
+from threadloom.llm.common import sized_texts, written
 
 #: Inference takes at most so many pages of a host, drawn by a hash of their ids, each of at most so many characters.
 SAMPLE_PAGES, SAMPLE_CHARS = 24, 500_000
@@ -374,7 +374,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.col(html_col).cast("string").alias("html"),
         host(F.col(url_col)).alias("host"),
     )
-    both = rows.join(sized(known, 20_000), rows.host == F.col("of"), "left").select("page_id", "url", "html", "wrapper", "paths")
+    both = rows.join(sized_texts(known, "of", "wrapper", "paths"), rows.host == F.col("of"), "left").select("page_id", "url", "html", "wrapper", "paths")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read: dict[str, tuple] = {}
