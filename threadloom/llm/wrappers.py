@@ -271,7 +271,7 @@ def _held(items: list[dict]) -> tuple[int, int]:
 def main_paths(wrapper: list[dict]) -> list[tuple]:
     """Paths of keys to the elements that hold the main text.
 
-    Article elements, else main elements, else elements named like one; else the deepest element with most of the
+    Article elements, else main elements, else elements named like one; else the deepest element around blocks with most of the
     text in slots (of all text, where a single page leaves no slots).
     """
     found = list(_elements(wrapper))
@@ -286,6 +286,8 @@ def main_paths(wrapper: list[dict]) -> list[tuple]:
     total = _held(wrapper)[kind]
     best: tuple = ()
     for p, x in found:
+        if "r" in x or not any("k" in y or "g" in y for y in x["c"]):  # one of several, or a block of text
+            continue
         if total and _held(x["c"])[kind] >= 0.6 * total and len(p) > len(best) and p[:-1] == best[: len(p) - 1]:
             best = p
     return [best]
