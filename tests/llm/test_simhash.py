@@ -70,6 +70,30 @@ def test_links_in_many_strata(spark):
         assert len({group.get(v, v) for v in want}) == len(set(want.values()))
 
 
+def test_small_tiles(monkeypatch):
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 63, 400, dtype=np.uint64)
+    values = np.unique(np.r_[base, *(base ^ np.uint64(m) for m in (1, 3, 0x10101, 0xF, 0x1F))])
+    want = slow_groups({int(v): int(v) for v in values}, 4)
+    for pairs in (0, 50, 1 << 60):
+        monkeypatch.setattr(simhash, "LARGE_PAIRS", pairs)
+        for left, right in ((values, None), (values[::2], values[1::2])):
+            u, v = simhash.linked(left, right, 4)
+            root = {int(x): int(x) for x in values}
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                assert want[a] == want[b]
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+            if right is None:
+                assert all(find(x) == want[x] for x in root)
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, x) for x in range(1001, 1100)] + [(r.randint(2000, 2100), r.randint(2000, 2100)) for _ in range(60)]

@@ -26,6 +26,8 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 #: Fingerprints of one side of a comparison task (8 bytes each).
 STRATUM_ROWS = 262_144
+#: From so many pairs on, a tile is compared by its smaller tiles.
+LARGE_PAIRS = 1 << 20
 _BLOCK = 1 << 16
 
 
@@ -86,41 +88,76 @@ class _Forest:
             self.parent[np.maximum(a, b)] = np.minimum(a, b)  # of several claims on a root one wins; the others come again
 
 
-def _words_set(values: np.ndarray) -> np.ndarray:
-    """Population count of each 16-bit word, a row of four for each fingerprint."""
-    return np.bitwise_count(values.view("<u2").reshape(-1, 4)).astype(np.int8)
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of many runs, one after another."""
+    if not starts.size:
+        return starts
+    shift = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+    return shift + np.arange(shift.size)
+
+
+def _bounds(*columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the row before, and the end."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[0] = True
+    for c in columns:
+        differ = c[1:] != c[:-1]
+        new[1:] |= differ.any(axis=1) if differ.ndim > 1 else differ
+    return np.r_[np.flatnonzero(new), n]
 
 
 def linked(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (node, root) of the links between two sets of fingerprints, or within one."""
+    """A spanning forest (node, root) of the links between two sets of fingerprints, or within one.
+
+    Tiles hold fingerprints with equal population counts in each 16-bit word. Inside large tiles, smaller ones with equal
+    counts in each byte are told apart in the same way.
+    """
     values = left if right is None else np.concatenate([left, right])
     if values.size == 0:
         return values, values
     side = np.zeros(values.size, np.int8)
     if right is not None:
         side[left.size :] = 1
-    counts = _words_set(values)
-    order = np.lexsort((counts[:, 3], counts[:, 2], counts[:, 1], counts[:, 0], side))
-    values, counts, side = values[order], counts[order], side[order]
-    first = np.flatnonzero(np.r_[True, (counts[1:] != counts[:-1]).any(axis=1) | (side[1:] != side[:-1])])
-    last = np.r_[first[1:], values.size]
-    tiles, of = counts[first].astype(np.int16), side[first]
+    in_bytes = np.bitwise_count(values.view(np.uint8).reshape(-1, 8)).astype(np.int8)
+    in_words = in_bytes[:, ::2] + in_bytes[:, 1::2]
+    order = np.lexsort((*in_bytes.T, *in_words.T, side))
+    values, in_bytes, in_words, side = values[order], in_bytes[order], in_words[order], side[order]
+    tile = _bounds(in_words, side)
+    small = _bounds(in_bytes, side)
+    small_of_tile = np.searchsorted(small, tile)  # every tile begins with a small one
+    tile_counts, tile_side = in_words[tile[:-1]].astype(np.int16), side[tile[:-1]]
+    small_counts, small_sizes = in_bytes[small[:-1]], np.diff(small)
     forest = _Forest(values.size)
-    for t in range(first.size):
-        if right is not None and of[t]:
+
+    def compare(a: int, b: int, at: np.ndarray) -> None:
+        for i0 in range(a, b, 256):
+            rows = values[i0 : min(i0 + 256, b)]
+            for j0 in range(0, at.size, 8192):
+                some = at[j0 : j0 + 8192]
+                i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ values[some][None, :]) <= radius)
+                if i.size:
+                    forest.join(i + i0, some[j])
+
+    for t in range(tile.size - 1):
+        if right is not None and tile_side[t]:
             break
-        others = np.flatnonzero(of == 1) if right is not None else np.arange(t, first.size)
-        near = others[np.abs(tiles[others] - tiles[t]).sum(axis=1) <= radius]
+        others = np.flatnonzero(tile_side == 1) if right is not None else np.arange(t, tile.size - 1)
+        near = others[np.abs(tile_counts[others] - tile_counts[t]).sum(axis=1) <= radius]
         if not near.size:
             continue
-        spans = np.concatenate([np.arange(first[n], last[n]) for n in near])
-        for a in range(int(first[t]), int(last[t]), 256):
-            rows = values[a : min(a + 256, int(last[t]))]
-            for b in range(0, spans.size, 8192):
-                at = spans[b : b + 8192]
-                i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ values[at][None, :]) <= radius)
-                if i.size:
-                    forest.join(i + a, at[j])
+        pairs = int(tile[t + 1] - tile[t]) * int((tile[near + 1] - tile[near]).sum())
+        if pairs < LARGE_PAIRS:
+            compare(int(tile[t]), int(tile[t + 1]), _runs(tile[near], tile[near + 1] - tile[near]))
+            continue
+        subs = _runs(small_of_tile[near], small_of_tile[near + 1] - small_of_tile[near])
+        counts = np.ascontiguousarray(small_counts[subs].T)
+        for s in range(small_of_tile[t], small_of_tile[t + 1]):
+            apart = np.zeros(subs.size, np.int8)
+            for k in range(8):
+                apart += np.abs(counts[k] - small_counts[s, k])
+            close = subs[apart <= radius]
+            compare(int(small[s]), int(small[s + 1]), _runs(small[close], small_sizes[close]))
     every = np.arange(values.size)
     root = forest.roots(every)
     moved = root != every
