@@ -150,3 +150,31 @@ def test_watch(spark, roots, tmp_path):
     watch(spark, str(tmp_path / "store"), {"codex": roots["codex"]}, str(tmp_path / "cp"), lambda: T, on_sync=got.append)
     assert got and got[0].indexed == 1
     assert Store(spark, str(tmp_path / "store")).read("sessions").select(F.col("uid")).first()["uid"] == "codex:c1"
+
+
+def test_project_dirs(spark):
+    there = {"/w", "/w/my-app", "/w/my-app/.git-x"}
+    assert transcripts.decode_with("-w-my-app--git-x-sub", there.__contains__) == "/w/my-app/.git-x/sub"
+    assert transcripts.decode_with("-w-other", there.__contains__) == "/w/other" and transcripts.decode_with("", there.__contains__) is None
+    df = spark.createDataFrame([("-w-my-app",), ("-w--x",), (None,)], "n string")
+    got = df.select(transcripts.decode_project_dir(F.col("n")), transcripts.decoder(frozenset(there).__contains__)(F.col("n"))).collect()
+    assert [tuple(r) for r in got] == [("/w/my/app", "/w/my-app"), ("/w/.x", "/w/x"), (None, None)]
+
+
+def test_command_line(spark, roots, tmp_path, capsys):
+    from threadloom.__main__ import run
+
+    base = ["--store", str(tmp_path / "s"), *(x for p, rs in roots.items() for x in (f"--{p}-root", rs[0]))]
+    assert run([*base, "sync", "--json"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["indexed"] == 4
+    run([*base, "search", "parser", "--json"], spark)
+    found = json.loads(capsys.readouterr().out)
+    assert [r["uid"] for r in found] == [f"claude:{U1}"] and "«parser»" in found[0]["snippet"]
+    run([*base, "search", "parser", "provider:none"], spark)
+    assert "unknown provider" in capsys.readouterr().err
+    run([*base, "recent", "--limit", "5"], spark)
+    assert "New name" in capsys.readouterr().out
+    run([*base, "doctor"], spark)
+    assert "sessions: 4" in capsys.readouterr().out
+    run(["config"])
+    assert json.loads(capsys.readouterr().out)["chunk_tokens"] == 512

@@ -7,8 +7,12 @@ schema, and the same aggregation makes a session row of each file.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions.textops import clean_text, is_noise, trim
 from threadloom.operators.sessions import last_known
@@ -256,7 +260,34 @@ def decode_project_dir(name: Column) -> Column:
     return F.when(inner != "", F.concat(F.lit("/"), F.replace(F.replace(inner, F.lit("--"), F.lit("/.")), F.lit("-"), F.lit("/"))))
 
 
-def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def decode_with(name: str, exists: Callable[[str], bool]) -> str | None:
+    """A dash-encoded project directory as a path whose parts are known to exist where that can be: dashes may belong to names.
+
+    At each step the longest name that exists is taken; without one, the next part alone.
+    """
+    parts = name.removeprefix("-").split("-")
+    path, at = "", 0
+    while at < len(parts):
+        for n in range(len(parts) - at, 0, -1):
+            some = parts[at : at + n]
+            step = "." + "-".join(some[1:]) if some[0] == "" else "-".join(some)
+            if step and (n == 1 or step != "." and exists(f"{path}/{step}")):
+                break
+        path, at = path if step == "." else f"{path}/{step}", at + n  # an empty part alone adds nothing
+    return path or None
+
+
+def decoder(exists: Callable[[str], bool]) -> Callable[[Column], Column]:
+    """``decode_with`` for columns; ``exists`` runs in tasks and must see there what it is to see."""
+
+    @F.pandas_udf(T.StringType())
+    def decode(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: decode_with(n, exists) if n else None)
+
+    return decode
+
+
+def parse_files(files: DataFrame, decode: Callable[[Column], Column] = decode_project_dir) -> tuple[DataFrame, DataFrame]:
     """(PARSED rows, failures(provider, path, error)) of ``files(provider, path, size, content)``.
 
     A file fails where a line before the stop is the JSON value null.
@@ -287,7 +318,7 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.jsonl\z", "")
     provider = F.col("provider")
     parent = F.substring_index(F.substring_index("path", "/", -2), "/", 1)
-    cwd = F.when(provider == "claude", F.coalesce("cwd", decode_project_dir(parent))).otherwise(F.col("cwd"))
+    cwd = F.when(provider == "claude", F.coalesce("cwd", decode(parent))).otherwise(F.col("cwd"))
     known = known.withColumns(
         {
             "native_id": F.coalesce("native_id", F.nullif(F.regexp_extract("path", UUID, 1), F.lit("")), stem),
