@@ -47,6 +47,17 @@ def test_bm25_matches_sqlite(spark, seed):
         assert all(mine[k] == pytest.approx(want[k], rel=1e-9) for k in want)
 
 
+def test_saved_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the running cats"), (2, "a cat runs"), (3, None)], "uid long, body string")
+    made = lexical.build_index(docs, "uid", {"body": 1.0})
+    kept = made.saved(str(tmp_path / "index"))
+    asked = spark.createDataFrame([(0, ["run cats"]), (1, ["cat"])], "query int, phrases array<string>")
+    score = lambda i: sorted(map(tuple, lexical.bm25(i, lexical.phrase_table(i, asked, F.col("phrases"))).collect()))
+    assert score(made) == score(kept) == score(kept.only(["run", "cat"])) and len(score(made)) == 3
+    scan = kept.only(["cat"]).postings._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in scan or "EqualTo(term,cat)" in scan
+
+
 def test_excerpt_marks():
     assert match_excerpt("The cats run home", [["cat"], ["run", "home"]]) == "The «cats» «run home»"
     long = " ".join(f"w{i}" for i in range(100)) + " target end"

@@ -15,7 +15,7 @@ from threadloom.config import Config, env_text
 from threadloom.operators.store import Store
 from threadloom.plans import admin
 from threadloom.plans.query import iso, parse_query
-from threadloom.plans.search import Context, Corpus, recent, search
+from threadloom.plans.search import Context, recent, search, stored_corpus
 from threadloom.plans.sync import run_sync
 from threadloom.schemas import PROVIDERS
 
@@ -76,7 +76,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         for r in admin.report(store, config).collect():
             print(f"{r['item']}: {r['value']}")
     else:
-        corpus = Corpus.of(store.read("sessions"), store.read("session_docs"))
+        corpus = stored_corpus(store)
         cwd = os.getcwd()
         context = Context(now, os.path.basename(cwd) or None, cwd)
         if args.command == "recent":

@@ -1,15 +1,15 @@
 """Lexical search: positional postings, phrase matches and BM25.
 
-The index is two written tables: postings (term, doc, field, position) and document lengths. A query is a set of phrases
-that must all match. Postings are filtered by the terms of the queries at hand before anything is shuffled,
+The index is three tables: postings (doc, field, term, pos), the words of each text, and document lengths. ``saved`` writes
+them, postings in order of term, so that a query's terms reach the scan and prune it. A query is a set of phrases that must all match. Postings are filtered by the terms of the queries at hand before anything is shuffled,
 and shuffled by document, so a frequent term spreads over all tasks.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.tokens import plain_tokens, stemmed_tokens
@@ -33,6 +33,20 @@ class Index:
         """One row: n_docs, avg_tokens."""
         return self.lengths.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))
 
+    def only(self, terms: list[str]) -> Index:
+        """The same index for queries of these terms, of which there should be few: a filter that scans can push down."""
+        return replace(self, postings=self.postings.filter(F.col("term").isin(sorted(set(terms)))))
+
+    def saved(self, path: str) -> Index:
+        """Writes the tables below ``path`` and reads them from there."""
+        texts = self.texts
+        texts.write.mode("overwrite").parquet(f"{path}/texts")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        texts = texts.sparkSession.read.schema(texts.schema).parquet(f"{path}/texts")
+        n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        _postings(texts).repartitionByRange(n, "term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+        return load_index(texts.sparkSession, path, self.weights, self.tokens is stemmed_tokens)
+
 
 def build_index(docs: DataFrame, id_col: str, fields: dict[str, float], stemmed: bool = True) -> Index:
     """``fields``: text column -> weight. Null texts have no tokens; a document without tokens still counts."""
@@ -40,8 +54,16 @@ def build_index(docs: DataFrame, id_col: str, fields: dict[str, float], stemmed:
     split = docs.select(F.col(id_col).alias("doc"), *(make(F.col(f)).alias(f) for f in fields))
     n = sum((F.coalesce(F.size(f), F.lit(0)) for f in fields), F.lit(0))
     texts = split.select("doc", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens")) for f in fields))))
-    postings = texts.select("doc", "field", F.posexplode("tokens").alias("pos", "term"))
-    return Index(postings, texts, split.select("doc", n.cast("long").alias("n_tokens")), dict(fields), make)
+    return Index(_postings(texts), texts, split.select("doc", n.cast("long").alias("n_tokens")), dict(fields), make)
+
+
+def _postings(texts: DataFrame) -> DataFrame:
+    return texts.select("doc", "field", F.posexplode("tokens").alias("pos", "term"))
+
+
+def load_index(spark: SparkSession, path: str, weights: dict[str, float], stemmed: bool = True) -> Index:
+    read = spark.read.parquet
+    return Index(read(f"{path}/postings"), read(f"{path}/texts"), read(f"{path}/lengths"), dict(weights), stemmed_tokens if stemmed else plain_tokens)
 
 
 def phrase_table(index: Index, queries: DataFrame, phrases: Column) -> DataFrame:

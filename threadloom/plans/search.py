@@ -12,6 +12,7 @@ from threadloom.functions.tokens import folded
 from threadloom.operators import lexical, ranking, snippets, vectors
 from threadloom.operators.lexical import Index
 from threadloom.operators.ranking import Weights
+from threadloom.operators.store import Store
 from threadloom.plans.query import Filters, ParsedQuery, TextPlan, parse_query
 
 BROWSE_CANDIDATES = 500
@@ -36,6 +37,19 @@ class Corpus:
         return cls(sessions, docs, lexical.build_index(fields, "uid", lexical.SESSION_WEIGHTS, stemmed), chunk_vectors)
 
 
+def stored_corpus(store: Store) -> Corpus:
+    """The corpus of a store. The lexical index is built once for each version of the documents and kept beside them."""
+    docs, spark = store.read("session_docs"), store.spark
+    path = f"{store.root}/_index/v{store.version('session_docs')}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/postings/_SUCCESS")
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        index = lexical.load_index(spark, path, lexical.SESSION_WEIGHTS)
+    else:
+        index = lexical.build_index(docs, "uid", lexical.SESSION_WEIGHTS).saved(path)
+    vectors_ = store.read("chunk_embeddings").join(store.read("chunks").select("chunk_id", "text"), "chunk_id")
+    return Corpus(store.read("sessions"), docs, index, vectors_)
+
+
 @dataclass(frozen=True)
 class Context:
     """Where and when a search is made."""
@@ -58,8 +72,10 @@ def one_query(corpus: Corpus, text: str) -> DataFrame:
 
 def keyword_hits(corpus: Corpus, text: str, limit: int = lexical.CANDIDATES, among: DataFrame | None = None) -> DataFrame:
     """(uid, bm25, keyword_rank, keyword_score) of the best sessions, of those ``among`` only if given."""
-    phrases = lexical.phrase_table(corpus.index, one_query(corpus, text), F.col("phrases"))
-    scored = lexical.bm25(corpus.index, phrases)
+    terms = [w for t in TextPlan.of(text).tokens for w in folded(t)]
+    index = corpus.index.only(terms) if corpus.index.tokens is lexical.stemmed_tokens else corpus.index
+    phrases = lexical.phrase_table(index, one_query(corpus, text), F.col("phrases"))
+    scored = lexical.bm25(index, phrases)
     if among is not None:
         scored = scored.join(among.select(F.col("uid").alias("doc")), "doc", "left_semi")
     return lexical.top_keyword_hits(scored, limit).drop("query").withColumnRenamed("doc", "uid")

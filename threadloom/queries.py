@@ -441,7 +441,8 @@ def _asked(spark, texts: list[list[str]]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "query int, phrases array<string>")
 
 
-def _bm25(index, asked, limit=lexical.CANDIDATES) -> DataFrame:
+def _bm25(index, asked, limit=lexical.CANDIDATES, terms: str | None = None) -> DataFrame:
+    index = index.only(terms.split()) if terms else index
     return lexical.top_keyword_hits(lexical.bm25(index, lexical.phrase_table(index, asked, F.col("phrases"))), limit)
 
 
@@ -462,12 +463,12 @@ def _bm25_sql(phrases: list[str], limit: int = 100) -> str:
 
 @query(f"WITH {_bm25_sql(TERMS.split())} SELECT doc AS doc_id, round(bm25, 6) AS bm25, keyword_rank FROM top")
 def bm25_topk(spark, d):
-    return _bm25(doc_index(spark, d), _asked(spark, [TERMS.split()])).select(F.col("doc").alias("doc_id"), r6(F.col("bm25")).alias("bm25"), F.col("keyword_rank").cast("long"))
+    return _bm25(doc_index(spark, d), _asked(spark, [TERMS.split()]), terms=TERMS).select(F.col("doc").alias("doc_id"), r6(F.col("bm25")).alias("bm25"), F.col("keyword_rank").cast("long"))
 
 
 @query(f"WITH {_bm25_sql(['of the', 'in'])} SELECT doc AS doc_id, round(bm25, 6) AS bm25, keyword_rank FROM top")
 def bm25_and_phrases(spark, d):
-    return _bm25(doc_index(spark, d), _asked(spark, [["of the", "in"]])).select(F.col("doc").alias("doc_id"), r6(F.col("bm25")).alias("bm25"), F.col("keyword_rank").cast("long"))
+    return _bm25(doc_index(spark, d), _asked(spark, [["of the", "in"]]), terms="of the in").select(F.col("doc").alias("doc_id"), r6(F.col("bm25")).alias("bm25"), F.col("keyword_rank").cast("long"))
 
 
 @query(rf"""
@@ -532,7 +533,7 @@ def knn_session_best(spark, d):
 
 def _ranked_lists(spark, d) -> tuple[DataFrame, DataFrame]:
     """Keyword hits of documents and vector hits, with the number of a vector for that of a document."""
-    kw = _bm25(doc_index(spark, d), _asked(spark, [TERMS.split()])).select("query", F.col("doc").alias("uid"), "keyword_rank", "keyword_score")
+    kw = _bm25(doc_index(spark, d), _asked(spark, [TERMS.split()]), terms=TERMS).select("query", F.col("doc").alias("uid"), "keyword_rank", "keyword_score")
     vec = _near(spark, d).select("query", F.col("chunk_id").alias("uid"), "vector_rank", vectors.vector_score(F.col("distance")).alias("vector_score"))
     return kw, vec
 
