@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # The ECMAScript white space and line terminators, as members of a character class.
 WS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+#: The same as text.
+WS_CHARS = "".join(map(chr, (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 _WORD = "[A-Za-z0-9_]"
 BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
@@ -50,7 +52,7 @@ def replace_all(text: Column, *pairs: tuple[str, str]) -> Column:
 
 
 def trim(text: Column) -> Column:
-    return replace_all(text, (f"\\A[{WS}]+", ""), (f"[{WS}]+\\z", ""))
+    return F.trim(text, F.lit(WS_CHARS))
 
 
 def collapse_space(text: Column) -> Column:
@@ -87,7 +89,7 @@ def collapse_repeated_lines(text: Column) -> Column:
 
 def normalize_whitespace(text: Column) -> Column:
     return trim(
-        replace_all(text, (r"\r\n?", "\n"), (r"[\t\f\x0B]+", " "), (r"\n{3,}", "\n\n"), (r"[ \t]+(?=\n|\z)", ""))
+        replace_all(text, (r"\r\n?", "\n"), (r"[\t\f\x0B]+", " "), (r"\n{3,}", "\n\n"), (r"[ \t]++(?=\n|\z)", ""))
     )
 
 

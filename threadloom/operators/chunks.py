@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.textops import BOUNDARY, WS, redacted
+from threadloom.functions.textops import BOUNDARY, WS, WS_CHARS, redacted
 
 TARGET_TOKENS, OVERLAP_TOKENS, MAX_CHUNKS, EDGE_CHUNKS = 512, 96, 40, 8
 LEAST_TARGET = 64
@@ -102,9 +102,9 @@ def chunk_documents(
         for part in parts:
             rows = []
             for uid, text in zip(part["k"], part["t"], strict=True):
-                text = (text or "").strip(_STRIP)
+                text = (text or "").strip(WS_CHARS)
                 for ord_, (a, b, n) in enumerate(windows(text, target, overlap)):
-                    chunk = text[a:b].strip(_STRIP)
+                    chunk = text[a:b].strip(WS_CHARS)
                     rows.append((uid, ord_, chunk, n, a, b, hashlib.sha256(chunk.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["uid", "ord", "text", "approx_tokens", "start_char", "end_char", "text_sha256"])
 
@@ -114,10 +114,6 @@ def chunk_documents(
     return cap(made.withColumn("info_score", info_score(F.col("text"), F.col("approx_tokens"))), "uid", most)
 
 
-#: The characters of WS, for str.strip.
-_STRIP = "".join(chr(c) for c in [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
-
-
 def chunk_version(base: str, model_key: str, dimensions: int, redact: bool = True) -> str:
     return f"{base}:{model_key}:{dimensions}:{'redact' if redact else 'raw'}"
 
