@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.textops import BOUNDARY, WS, WS_CHARS, redacted
+from threadloom.functions.textops import BOUNDARY, WS, WS_CHARS, let, redacted
 
 TARGET_TOKENS, OVERLAP_TOKENS, MAX_CHUNKS, EDGE_CHUNKS = 512, 96, 40, 8
 LEAST_TARGET = 64
@@ -23,8 +23,8 @@ _PIECE = regex.compile(rf"[\p{{L}}\p{{N}}_-]+|[^{WS}]")
 # What counts as an identifier, a code-like one, a role marker and a file path.
 TERM = r"[A-Za-z_][A-Za-z0-9_./:-]{2,}"
 CODE_LIKE = r"[._/:=-]|[A-Z][a-z]+[A-Z]|[a-z]+[A-Z]"
-ROLE = rf"{BOUNDARY}(?:User|Assistant):"
-PATH = rf"(?:\A|[{WS}])[A-Za-z0-9_./-]+\.(?:ts|tsx|js|jsx|json|md|sql|py|go|rs|css|html){BOUNDARY}"
+ROLE = r"(?<![A-Za-z0-9_])(?:User|Assistant):"
+PATH = rf"(?<![^{WS}])[A-Za-z0-9_./-]+\.(?:ts|tsx|js|jsx|json|md|sql|py|go|rs|css|html){BOUNDARY}"
 
 
 def estimate(text: str) -> int:
@@ -61,15 +61,12 @@ def windows(text: str, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKEN
 
 def info_score(text: Column, tokens: Column) -> Column:
     """Distinct identifiers per token, and more for code-like ones, role markers and file paths."""
-    terms = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    distinct = F.size(F.array_distinct(F.transform(terms, F.lower)))
-    code = F.size(F.filter(terms, lambda t: t.rlike(CODE_LIKE)))
-    return (
-        distinct / F.greatest(F.lit(1), tokens)
-        + code * 0.05
-        + F.regexp_count(text, F.lit(ROLE)) * 0.1
-        + F.regexp_count(text, F.lit(PATH)) * 0.2
-    )
+    def by_terms(terms: Column) -> Column:
+        distinct = F.size(F.array_distinct(F.transform(terms, F.lower)))
+        return distinct / F.greatest(F.lit(1), tokens) + F.size(F.filter(terms, lambda t: t.rlike(CODE_LIKE))) * 0.05
+
+    terms = let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), by_terms)
+    return terms + F.regexp_count(text, F.lit(ROLE)) * 0.1 + F.regexp_count(text, F.lit(PATH)) * 0.2
 
 
 def cap(chunks: DataFrame, key: str = "uid", most: int = MAX_CHUNKS) -> DataFrame:
