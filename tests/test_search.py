@@ -14,9 +14,9 @@ LONG = " Lorem ipsum dolor sit amet." * 12
 
 def sessions(spark):
     rows = [
-        ("claude:1", "claude", "Fix login in auth.ts", "recall", "main", "cli", "/w/recall", "2026-06-19T00:00:00Z", False, 8, "please fix auth.ts", "User: please fix auth.ts login" + LONG),
+        ("claude:1", "claude", "Fix login in auth.ts", "atlas", "main", "cli", "/w/atlas", "2026-06-19T00:00:00Z", False, 8, "please fix auth.ts", "User: please fix auth.ts login" + LONG),
         ("codex:2", "codex", "Other things", "site", None, "ide", "/w/site", "2026-06-01T00:00:00Z", False, 9, "login page", "User: login page broken" + LONG),
-        ("pi:3", "pi", "Login agent", "recall", None, "subagent", "/w/recall", "2026-06-19T10:00:00Z", True, 9, "login", "User: login" + LONG),
+        ("pi:3", "pi", "Login agent", "atlas", None, "subagent", "/w/atlas", "2026-06-19T10:00:00Z", True, 9, "login", "User: login" + LONG),
         ("pi:4", "pi", "Cooking", None, None, "cli", "(unknown)", "not a time", False, 2, "soup", "User: soup and login"),
     ]
     names = "uid provider title repo branch surface cwd updated_at is_subagent message_count first_prompt body".split()
@@ -47,7 +47,7 @@ def test_keyword_search(spark):
     got = search(corpus(spark), "login auth.ts", Context(NOW)).collect()
     assert [r["uid"] for r in got] == ["claude:1"]
     assert "«login»" in got[0]["snippet"] and got[0]["snippet_source"] == "fts"
-    both = search(corpus(spark), "login", Context(NOW, current_repo="recall")).collect()
+    both = search(corpus(spark), "login", Context(NOW, current_repo="atlas")).collect()
     assert [r["uid"] for r in both] == ["claude:1", "codex:2"]  # no subagent, no unreadable time
     assert both[0]["keyword_score"] == 1.0 and both[0]["position"] == 1
 
@@ -89,7 +89,7 @@ def test_fusion_and_parts(spark):
     lists = a.select("query", "uid", F.col("keyword_rank").alias("rank")).unionByName(b.select("query", "uid", F.col("vector_rank").alias("rank")))
     assert {r["uid"]: r["fusion_score"] for r in ranking.rank_fusion(lists).collect()} == {k: pytest.approx(v) for k, v in got.items()}
     s = sessions(spark).withColumns({"keyword_rank": F.lit(1), "keyword_score": F.lit(1.0)})
-    parts = ranking.score_parts(s.columns, TextPlan.of("auth.ts"), NOW, Filters(), "recall", "/w")
+    parts = ranking.score_parts(s.columns, TextPlan.of("auth.ts"), NOW, Filters(), "atlas", "/w")
     r = s.select("uid", *(v.alias(k) for k, v in parts.items())).filter("uid = 'claude:1'").first()
     assert r["title_boost"] == pytest.approx(0.2) and r["exactish_boost"] == pytest.approx(0.1)
     assert r["repo_boost"] == pytest.approx(0.1) and r["cwd_boost"] == pytest.approx(0.05) and r["short_penalty"] == 0
