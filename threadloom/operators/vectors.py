@@ -8,11 +8,14 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CANDIDATE_CHUNKS, CANDIDATE_SESSIONS = 200, 100
 EMBED_BATCH, MOST_EMBED_BATCH, ERROR_CHARS = 32, 128, 2000
+#: Queries and vectors of a comparison task, where the queries are many.
+BLOCK_QUERIES, BLOCK_VECTORS = 512, 65_536
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -34,6 +37,52 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATE_CHUNKS, i
     return pairs.withColumn("vector_rank", F.row_number().over(best)).filter(F.col("vector_rank") <= max(1, k))
 
 
+def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATE_CHUNKS, id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
+    """What ``nearest`` gives, for queries that grow with the table: blocks of both meet in tasks, and a task hands on the k best of a query.
+
+    Ids are numbers; vectors hold no nulls.
+    """
+    k = max(1, k)
+    asked, known = queries.filter("vector is not null"), vectors.filter(F.col(vec_col).isNotNull())
+    cut_q, cut_v = max(1, -(-asked.count() // BLOCK_QUERIES)), max(1, -(-known.count() // BLOCK_VECTORS))
+
+    def block(c: Column, n: int) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    def to_all(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    sides = asked.select(block(F.col("query"), cut_q).alias("i"), to_all(cut_v).alias("j"), F.lit(True).alias("asks"), F.col("query").cast("long").alias("id"), "vector")
+    sides = sides.unionByName(
+        known.select(to_all(cut_q).alias("i"), block(F.col(id_col), cut_v).alias("j"), F.lit(False).alias("asks"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vector"))
+    )
+
+    def compare(part: pa.Table) -> pa.Table:
+        asks, ids = part.column("asks").to_numpy(), part.column("id").to_numpy()
+        vector = part.column("vector").combine_chunks()
+        width, flat = np.diff(vector.offsets.to_numpy()), vector.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        start = np.r_[0, np.cumsum(width)[:-1]]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for w in np.unique(width[asks]):
+            own = np.flatnonzero(~asks & (width == w))
+            own = own[np.argsort(ids[own], kind="stable")]  # ties go by id
+            if not own.size:
+                continue
+            x = flat[start[own][:, None] + np.arange(w)]
+            for n in np.flatnonzero(asks & (width == w)):
+                apart = x - flat[start[n] : start[n] + w]
+                distance = np.sqrt(np.einsum("ij,ij->i", apart, apart))
+                near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1]) if own.size > k else np.arange(own.size)
+                near = near[np.argsort(distance[near], kind="stable")[:k]]
+                found.append((np.full(near.size, ids[n]), ids[own[near]], distance[near]))
+        query, chunk, distance = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query": query, "chunk_id": chunk, "distance": distance})
+
+    pairs = sides.groupBy("i", "j").applyInArrow(compare, "query long, chunk_id long, distance double")
+    best = Window.partitionBy("query").orderBy("distance", "chunk_id")
+    return pairs.withColumn("vector_rank", F.row_number().over(best)).filter(F.col("vector_rank") <= k)
+
+
 def best_by_session(hits: DataFrame, text_col: str | None = None, key: str = "uid", limit: int = CANDIDATE_SESSIONS) -> DataFrame:
     """(query, uid, distance, vector_rank, vector_score[, text]): the nearest chunk of each session, ranked anew."""
     near = F.struct("distance", "chunk_id")

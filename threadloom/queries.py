@@ -531,6 +531,34 @@ def knn_session_best(spark, d):
     return best.select("label", F.col("chunk_id").alias("vec_id"), F.col("vector_rank").cast("long"), F.round("vector_score", 5).alias("vector_score"))
 
 
+_MANY_NEAR_SQL = """
+    q AS (SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
+    near AS (SELECT query, vec_id, label, sqrt(list_sum(list_transform(list_zip(embedding, v), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2))) AS distance FROM embeddings, q),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS vector_rank FROM near QUALIFY vector_rank <= 200)"""
+
+
+def _many_near(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return vectors.nearest_of_many(e, asked, 200, "vec_id")
+
+
+@query(f"WITH {_MANY_NEAR_SQL} SELECT query, vec_id, round(distance, 5) AS distance, vector_rank FROM top")
+def knn_l2_topk_many(spark, d):
+    """Every vector whose id is divisible by 20 against all vectors."""
+    return _many_near(spark, d).select("query", F.col("chunk_id").alias("vec_id"), F.round("distance", 5).alias("distance"), F.col("vector_rank").cast("long"))
+
+
+@query(f"""
+    WITH {_MANY_NEAR_SQL}, best AS (SELECT query, label, min(distance) AS distance, arg_min(vec_id, vector_rank) AS vec_id FROM top GROUP BY query, label)
+    SELECT query, label, vec_id, row_number() OVER (PARTITION BY query ORDER BY distance, label) AS vector_rank, round(1 / (1 + distance), 5) AS vector_score FROM best QUALIFY vector_rank <= 100
+""")
+def knn_session_best_many(spark, d):
+    hits = _many_near(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id")
+    best = vectors.best_by_session(hits, None, "label")
+    return best.select("query", "label", F.col("chunk_id").alias("vec_id"), F.col("vector_rank").cast("long"), F.round("vector_score", 5).alias("vector_score"))
+
+
 def _ranked_lists(spark, d) -> tuple[DataFrame, DataFrame]:
     """Keyword hits of documents and vector hits, with the number of a vector for that of a document."""
     kw = _bm25(doc_index(spark, d), _asked(spark, [TERMS.split()]), terms=TERMS).select("query", F.col("doc").alias("uid"), "keyword_rank", "keyword_score")
