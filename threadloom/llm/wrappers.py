@@ -268,6 +268,14 @@ def _held(items: list[dict]) -> tuple[int, int]:
     return slots, every
 
 
+#: What an element that holds main text is called, the surest first.
+_MAIN = (
+    lambda k: k.partition(".")[0] == "article",
+    lambda k: k.partition(".")[0] == "main" or "main" in k.partition(".")[2].split(),
+    lambda k: bool(k.partition(".")[2]) and not _MAIN_WORDS.isdisjoint(re.split(r"[^a-z]+", k.partition(".")[2])),
+)
+
+
 def main_paths(wrapper: list[dict]) -> list[tuple]:
     """Paths of keys to the elements that hold the main text.
 
@@ -275,11 +283,7 @@ def main_paths(wrapper: list[dict]) -> list[tuple]:
     text in slots (of all text, where a single page leaves no slots).
     """
     found = list(_elements(wrapper))
-    for wanted in (
-        lambda k: k.partition(".")[0] == "article",
-        lambda k: k.partition(".")[0] == "main" or "main" in k.partition(".")[2].split(),
-        lambda k: bool(k.partition(".")[2]) and not _MAIN_WORDS.isdisjoint(re.split(r"[^a-z]+", k.partition(".")[2])),
-    ):
+    for wanted in _MAIN:
         if paths := [p for p, x in found if wanted(x["k"]) and _held(x["c"])[1]]:
             return [p for p in dict.fromkeys(paths) if not any(p[:n] in paths for n in range(1, len(p)))]
     kind = 0 if _held(wrapper)[0] else 1
@@ -312,9 +316,69 @@ def _walk(element: list, paths: set[tuple], stems: set[tuple], path: tuple, out:
                 _walk(child, paths, stems, (*path, child[0]), out)
 
 
-def extract(source: str | None, paths: list[tuple], wrapper: list[dict]) -> str:
+def places(wrapper: list[dict], paths: list[tuple]) -> dict | None:
+    """The wrapper's elements as nested {key: elements inside}; None stands for main text, "#" for an element that holds texts."""
+
+    def inside(items: list[dict], path: tuple) -> dict | None:
+        if path in main:
+            return None
+        out: dict = {}
+        add(items, path, out)
+        return out
+
+    def add(items: list[dict], path: tuple, out: dict) -> None:
+        for x in items:
+            if "t" in x:
+                out["#"] = None
+            elif "g" in x:
+                add(x["g"], path, out)
+            elif x["k"] not in out:
+                out[x["k"]] = inside(x["c"], (*path, x["k"]))
+            elif out[x["k"]] is not None:
+                add(x["c"], (*path, x["k"]), out[x["k"]])
+
+    main = set(paths)
+    return inside(wrapper, ())
+
+
+def _unknown(element: list, known: dict | None, path: tuple, out: list[tuple[tuple, list]]) -> None:
+    """(path, element) of what holds text and isn't among the known places, the outermost ones."""
+    if known is None:
+        return
+    if "#" not in known and path and any(isinstance(x, str) and x.strip() for x in element[1]):
+        out.append((path, element))
+        return
+    for child in element[1]:
+        if not isinstance(child, str) and not _aside(child[0]):
+            if child[0] in known:
+                _unknown(child, known[child[0]], (*path, child[0]), out)
+            elif _chars(child):
+                out.append(((*path, child[0]), child))
+
+
+def _chars(element: list) -> int:
+    out: list[str] = []
+    _text(element, out)
+    return len(" ".join("".join(out).split()))
+
+
+def _named_main(element: list, path: tuple, most: int) -> Iterator[tuple]:
+    """Paths to the outermost elements that are called main text at least as surely as ``most`` says."""
+    if any(wanted(path[-1]) for wanted in _MAIN[: most + 1]):
+        yield path
+        return
+    for child in element[1]:
+        if not isinstance(child, str) and not _aside(child[0]):
+            yield from _named_main(child, (*path, child[0]), most)
+
+
+def extract(source: str | None, paths: list[tuple], wrapper: list[dict], known: dict | None = None) -> str:
     """The main text of a page: blocks in page order, white space as one space. A page where the wrapper's places hold nothing
-    refines the wrapper, and gives what stands in the places that follow."""
+    refines the wrapper, and gives what stands in the places that follow. So does a page with elements that the wrapper lacks:
+    those called main text as surely as the known ones are added, and all of them where they hold more than the rest.
+
+    ``known`` is ``places(wrapper, paths)``, made here where it isn't given.
+    """
     tree = tidy(source)
 
     def taken(paths: list[tuple]) -> str:
@@ -325,7 +389,17 @@ def extract(source: str | None, paths: list[tuple], wrapper: list[dict]) -> str:
     text = taken(paths) if wrapper else ""
     if not text:
         own = items_of(tree)
-        text = taken(main_paths(align(wrapper, own))) or taken(main_paths(own))
+        return taken(main_paths(align(wrapper, own))) or taken(main_paths(own))
+    new: list[tuple[tuple, list]] = []
+    if () not in paths:
+        _unknown(tree, places(wrapper, paths) if known is None else known, (), new)
+    if new:
+        most = min((n for p in paths for n, wanted in enumerate(_MAIN) if wanted(p[-1])), default=len(_MAIN))
+        more = list(dict.fromkeys(x for p, element in new for x in _named_main(element, p, most)))
+        text = taken([*paths, *more]) if more else text
+        left = [(p, element) for p, element in new if not any(x[: len(p)] == p for x in more)]
+        if sum(_chars(element) for _, element in left) > len(text):
+            text = taken([*paths, *more, *(p for p, _ in left)])
     return text
 
 
@@ -389,7 +463,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                     if key not in read:
                         if len(read) > 256:
                             read.clear()
-                        read[key] = ([tuple(p) for p in json.loads(paths.as_py() or "[]")], json.loads(key))
+                        where, items = [tuple(p) for p in json.loads(paths.as_py() or "[]")], json.loads(key)
+                        read[key] = where, items, places(items, where)
                     texts.append(extract(source.as_py(), *read[key]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
