@@ -30,11 +30,18 @@ DERIVED = (
 )
 _DERIVED_NAMES = [x.split()[0] for x in DERIVED.split(", ")]
 # Elements without visible text, and elements that begin a line.
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_LINE = re.compile(
-    r"</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>",
-    re.I,
+_LINE_TAGS = "address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
+# A head ends at its end tag, which may be left out, or before the first text or element that belongs to the body.
+_IN_HEAD = (
+    r"<!--.*?(?:-->|\Z)|<(?P<inner>script|style|noscript|template)\b[^>]*>.*?(?:</(?P=inner)\s*>|\Z)|<title\b[^>]*>.*?(?:</title\s*>|(?=<body\b)|\Z)"
+    r"|</?(?:base|basefont|bgsound|link|meta|noframes|noscript|script|style|template|title)\b[^>]*>?|<[!?][^>]*>?|\s+"
 )
+_HIDDEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<svg\b[^>]*/>|<head(?=[\s/>])[^>]*>(?:" + _IN_HEAD + r")*+(?:</head\s*>)?"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)",
+    re.S | re.I,
+)
+_LINE = re.compile(r"</?(?:" + _LINE_TAGS + r")\b[^>]*>", re.I)
 _TAG = re.compile(r"<(?:/?[a-zA-Z]|[!?])[^>]*>?")
 
 

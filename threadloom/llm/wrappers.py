@@ -37,6 +37,7 @@ _CLOSES_P = frozenset(
     "address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -57,7 +58,7 @@ _ASIDE_WORDS = frozenset(
 _MAIN_WORDS = frozenset("article main content post story entry".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + _RAW + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<(?P<raw>" + _RAW + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
     r"|<(?:/?[a-zA-Z]|[!?])[^>]*>?|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -72,31 +73,37 @@ def tidy(source: str | None) -> list:
     """The page as [key, children]; children are texts and elements. Inline tags leave their text to the element around."""
     root: list = ["", []]
     stack, tags = [root], [""]
+    where: dict[str, list[int]] = {}  # the open places of each tag
 
     def close(n: int) -> None:
+        for tag in reversed(tags[n:]):
+            where[tag].pop()
         del stack[n:], tags[n:]
 
+    def last(some: set | frozenset) -> int:
+        return max((where[t][-1] for t in some if where.get(t)), default=0)
+
     def above(wanted: set | frozenset, stop: set | frozenset) -> int:
-        for n in range(len(tags) - 1, 0, -1):
-            if tags[n] in wanted:
-                return n
-            if tags[n] in stop:
-                return 0
-        return 0
+        n = last(wanted)
+        return n if n and n > last(stop) else 0
 
     for m in _TOKEN.finditer(source or ""):
         text = m["text"]
         if text is not None:
+            if tags[-1] == "head" and text.strip():
+                close(len(tags) - 1)
             stack[-1][1].append(html.unescape(text))
             continue
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
+        if not m["end"] and where.get("head") and (tag == "body" or tags[-1] == "head" and tag not in _IN_HEAD):
+            close(where["head"][0])  # its end tag may be left out
         if tag in _INLINE:
             continue
         if m["end"]:
-            n = above({tag}, frozenset())
+            n = last({tag})
             if n:
                 close(n)
             continue
@@ -108,14 +115,16 @@ def tidy(source: str | None) -> list:
                 close(n)
         if tag in _BREAK:
             stack[-1][1].append("\n")
-        if tag in _VOID or tag in ("html", "body") and tag in tags:
-            continue
-        if len(stack) > DEPTH:  # deeper elements leave their text to the last one
+        if tag in _VOID or tag in ("html", "body") and where.get(tag):
             continue
-        named = "" if not m["attrs"] else " ".join(a or b or c for a, b, c in _NAMED.findall(m["attrs"]))
-        key = tag + ("." + re.sub(r"\d+", "", named.lower()) if named else "")
-        element = [key, []]
-        stack[-1][1].append(element)
+        if len(stack) > DEPTH:  # deeper elements leave their text to the last one, and their end tags close only them
+            element = stack[-1]
+        else:
+            named = "" if not m["attrs"] else " ".join(a or b or c for a, b, c in _NAMED.findall(m["attrs"]))
+            key = tag + ("." + re.sub(r"\d+", "", named.lower()) if named else "")
+            element = [key, []]
+            stack[-1][1].append(element)
+        where.setdefault(tag, []).append(len(tags))
         stack.append(element)
         tags.append(tag)
     return root
