@@ -287,7 +287,7 @@ def info_score(spark, d):
 
 @query()
 def chunk_windows(spark, d):
-    made = chunks.chunk_documents(table(spark, d, "documents"), "doc_id", "text", 128, 24, 12)
+    made = chunks.chunk_documents(table(spark, d, "documents"), "doc_id", "text")
     return made.select(F.col("uid").alias("doc_id"), "ord", "approx_tokens", "start_char", "end_char", "text_sha256", r6(F.col("info_score")).alias("info_score"))
 
 
