@@ -178,16 +178,14 @@ class Scanner:
             long.append((at + len(symbols), size, state))
 
     def _chain(self, long: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains stretches (end, size, state) that follow one another in the same template."""
-        open_: dict[int, list[int]] = {}  # sequence -> [from, to, template end, covered words]
-        done: list[tuple[str, int, int, float]] = []
-
-        def close(number: int) -> None:
-            a, b, _, covered = open_.pop(number)
-            share = covered / self.sizes[number]
-            if share >= COVER:
-                done.append((self.labels[number], a, b, min(1.0, share)))
+        """The best chains of stretches (end, size, state) that follow one another in the same template.
 
+        Every stretch begins a chain or goes on with the best one before it in the text and in the template, and leaves that
+        one open for others. Between two stretches there may be GAP words, or a third of the template. Of chains of a template that
+        overlap the one that covers most stays.
+        """
+        open_: dict[int, list[tuple[int, int, int, int]]] = {}  # sequence -> (from, to, template end, covered words)
+        full: dict[int, list[tuple[int, int, int, int]]] = {}
         for end, size, state in long:
             for number, to in self.automaton.ends[state]:
                 if self.base[number]:
@@ -195,17 +193,22 @@ class Scanner:
                 n = min(size, to)
                 if n < min(LONG, self.sizes[number]):
                     continue
-                chain = open_.get(number)
-                if chain and (to <= chain[2] or end - n - chain[1] > GAP):
-                    close(number)
-                    chain = None
-                if chain:
-                    n = min(n, to - chain[2], end - chain[1])
-                    open_[number] = [chain[0], end, to, chain[3] + n]
-                else:
-                    open_[number] = [end - n, end, to, n]
-        for number in list(open_):
-            close(number)
+                reach = end - n - max(GAP, self.sizes[number] // 3)
+                chains = open_[number] = [c for c in open_.get(number, ()) if c[1] >= reach]
+                made = (end - n, end, to, n)
+                for a, b, before, covered in chains:
+                    if before < to and b < end and covered + min(n, to - before, end - b) > made[3]:
+                        made = (a, end, to, covered + min(n, to - before, end - b))
+                chains.append(made)
+                if made[3] / self.sizes[number] >= COVER:
+                    full.setdefault(number, []).append(made)
+        done: list[tuple[str, int, int, float]] = []
+        for number, chains in full.items():
+            taken: list[tuple[int, int]] = []
+            for a, b, _, covered in sorted(chains, key=lambda c: (-c[3], c[1] - c[0], c[0])):
+                if all(b <= x or a >= y for x, y in taken):
+                    taken.append((a, b))
+                    done.append((self.labels[number], a, b, min(1.0, covered / self.sizes[number])))
         return sorted(done, key=lambda t: t[1:])
 
 
