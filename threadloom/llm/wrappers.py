@@ -2,8 +2,10 @@
 
 A page is tidied into a balanced stream of start tags, texts and end tags. Streams of one host are aligned one
 after another with the wrapper so far. Where they differ, texts become slots, an element that follows its like becomes a
-repeated group, and an element that only one side has becomes optional. The wrapper shows where the main text lies;
-each page of the host gives what stands there, without navigation, adverts and the like inside it.
+repeated group, and an element that only one side has becomes optional. Slots hold what a page says, constants and the
+texts that a slot repeats on most pages are the host's template. The region of the wrapper with most of the slot text is the main
+text; every page is matched against the wrapper and gives what stands in that region's slots. Names of elements tell
+regions of slots apart, and what in them is menu, advert and the like. A page with parts that the wrapper lacks refines it.
 """
 
 from __future__ import annotations
@@ -11,19 +13,26 @@ from __future__ import annotations
 import html
 import json
 import re
+import sys
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import sized_texts, written
+from threadloom.llm.common import BROADCAST_BYTES, written
 
 #: Inference takes at most so many pages of a host, drawn by a hash of their ids, each of at most so many characters.
 SAMPLE_PAGES, SAMPLE_CHARS = 24, 500_000
 SQUARE = 4
-DEPTH = 200
+#: A text of a slot is template if so many pages of the sample have it there, and this share of those that have the slot; but not
+#: where template would be more than that share of the main text: such pages are copies of one another.
+TEMPLATE_PAGES, TEMPLATE_SHARE, COPIES_SHARE = 8, 0.8, 0.5
+#: The main text is the deepest region with this share of the slot text; elements called main text are taken with half of it.
+MAIN_SHARE, NAMED_SHARE = 0.6, 0.5
 
 # Kinds of HTML elements.
 _RAW = "script|style|xmp|iframe|noembed|noframes|noscript|template|svg|math|object"
@@ -33,6 +42,8 @@ _INLINE = frozenset(
     "strike strong sub sup time tt u var".split()
 )
 _BREAK = frozenset(["br", "hr", "wbr"])
+#: An end tag of an inline element doesn't reach out of these.
+_BLOCKS_INLINE = frozenset("article aside blockquote body div dl fieldset figure footer form header html li main nav ol p section table td th tr ul".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr main menu nav ol p pre search section summary table ul".split()
@@ -56,6 +67,9 @@ _ASIDE_WORDS = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar skip".split()
 )
 _MAIN_WORDS = frozenset("article main content post story entry".split())
+# Parts of a class or id that say nothing about its kind: ahead of the words they qualify, and behind them.
+_QUALIFIERS = frozenset("has have with without no not is hide show".split())
+_CONTAINERS = frozenset("area bar block box container holder inner item items link links list outer panel section slot unit wrap wrapper zone".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<(?P<raw>" + _RAW + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -66,11 +80,49 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+# -- names ----------------------------------------------------------------------------------------------------------
+
+
+@lru_cache(100_000)
+def _kind(token: str) -> str:
+    """What a class or id calls its element: the last word of a compound, containers aside; nothing for qualifiers like has-sidebar."""
+    parts = [x for x in re.split(r"[^a-z]+", token) if x]
+    if not parts or parts[0] in _QUALIFIERS:
+        return ""
+    while len(parts) > 1 and parts[-1] in _CONTAINERS:
+        parts.pop()
+    return parts[-1]
+
+
+@lru_cache(100_000)
+def _named_aside(key: str) -> bool:
+    tag, _, named = key.partition(".")
+    return bool(named) and tag not in ("html", "body", "article", "main") and any(_kind(x) in _ASIDE_WORDS for x in named.split())
+
+
+def _tag_aside(key: str) -> bool:
+    return key.partition(".")[0] in _ASIDE_TAGS
+
+
+#: What an element that holds main text is called, the surest first.
+_MAIN = (
+    lambda k: k.partition(".")[0] == "article",
+    lambda k: k.partition(".")[0] == "main" or "main" in k.partition(".")[2].split(),
+    lambda k: any(_kind(x) in _MAIN_WORDS for x in k.partition(".")[2].split()),
+)
+
+
+@lru_cache(100_000)
+def _called_main(key: str) -> int:
+    return next((n for n, wanted in enumerate(_MAIN) if wanted(key)), len(_MAIN))
+
+
 # -- pages -> balanced elements -----------------------------------------------------------------------------------
 
 
 def tidy(source: str | None) -> list:
-    """The page as [key, children]; children are texts and elements. Inline tags leave their text to the element around."""
+    """The page as [key, children]; children are texts and elements. Inline tags leave their text to the element around,
+    but for those that are named as adverts and the like."""
     root: list = ["", []]
     stack, tags = [root], [""]
     where: dict[str, list[int]] = {}  # the open places of each tag
@@ -100,13 +152,25 @@ def tidy(source: str | None) -> list:
         tag = tag.lower()
         if not m["end"] and where.get("head") and (tag == "body" or tags[-1] == "head" and tag not in _IN_HEAD):
             close(where["head"][0])  # its end tag may be left out
-        if tag in _INLINE:
-            continue
         if m["end"]:
             n = last({tag})
-            if n:
+            if n and not (tag in _INLINE and n <= last(_BLOCKS_INLINE)):
                 close(n)
             continue
+        named = "" if not m["attrs"] else " ".join(a or b or c for a, b, c in _NAMED.findall(m["attrs"]))
+        key = tag + ("." + re.sub(r"\d+", "", named.lower()) if named else "")
+        if tag in _INLINE:
+            if where.get(tag):  # inside one that is kept: end tags must find their own
+                element = ["", stack[-1][1]]
+            elif _named_aside(key):
+                element = [key, []]
+                stack[-1][1].append(element)
+            else:
+                continue
+            where.setdefault(tag, []).append(len(tags))
+            stack.append(element)
+            tags.append(tag)
+            continue
         if tag in _CLOSES_P and (n := above({"p"}, {"div", "td", "li", "article", "section", "button"})):
             close(n)
         if tag in _CLOSED_BY:
@@ -117,13 +181,8 @@ def tidy(source: str | None) -> list:
             stack[-1][1].append("\n")
         if tag in _VOID or tag in ("html", "body") and where.get(tag):
             continue
-        if len(stack) > DEPTH:  # deeper elements leave their text to the last one, and their end tags close only them
-            element = stack[-1]
-        else:
-            named = "" if not m["attrs"] else " ".join(a or b or c for a, b, c in _NAMED.findall(m["attrs"]))
-            key = tag + ("." + re.sub(r"\d+", "", named.lower()) if named else "")
-            element = [key, []]
-            stack[-1][1].append(element)
+        element = [key, []]
+        stack[-1][1].append(element)
         where.setdefault(tag, []).append(len(tags))
         stack.append(element)
         tags.append(tag)
@@ -131,12 +190,19 @@ def tidy(source: str | None) -> list:
 
 
 # -- elements -> wrapper --------------------------------------------------------------------------------------------
-# A wrapper item: {"k": key, "c": items} for an element, {"g": items} for a group, {"t": text or None} for a text that
-# all pages share or a slot; with "o" if it may be missing, "r" if it may be repeated, "n" the characters it has held.
+# A wrapper item: {"k": key, "c": items} for an element, {"g": items} for a group, {"t": text or None} for a text that all
+# pages share or a slot, with "n" the characters it has held, "s" {text: pages} what it has held and "m" the pages that have it (sets
+# of pages as bits); each with "o" if it may be missing and "r" if it may be repeated.
 
 
 def _key(item: dict) -> str:
-    return item["k"] if "k" in item else "#" if "t" in item else "(" + " ".join(map(_key, item["g"])) + ")"
+    if "k" in item:
+        return item["k"]
+    return "#" if "t" in item else item["key"]
+
+
+def _group(items: list[dict]) -> dict:
+    return {"g": items, "key": "(" + " ".join(_key(x) for x in items) + ")"}
 
 
 def _flags(a: dict, b: dict, made: dict) -> dict:
@@ -149,15 +215,20 @@ def _flags(a: dict, b: dict, made: dict) -> dict:
 def merge(a: dict, b: dict) -> dict:
     """Two items of the same key as one."""
     if "t" in a:
-        return _flags(a, b, {"t": a["t"] if a["t"] == b["t"] else None, "n": a["n"] + b["n"]})
+        seen = dict(a["s"])
+        for text, pages in b["s"].items():
+            seen[text] = seen.get(text, 0) | pages
+        return _flags(a, b, {"t": a["t"] if a["t"] == b["t"] else None, "n": a["n"] + b["n"], "s": seen, "m": a["m"] | b["m"]})
     if "g" in a:
-        return _flags(a, b, {"g": align(a["g"], b["g"])})
+        return _flags(a, b, _group(align(a["g"], b["g"])))
     return _flags(a, b, {"k": a["k"], "c": align(a["c"], b["c"])})
 
 
 def fold(items: list[dict]) -> list[dict]:
     """Runs of like items become one repeated item; longer squares become repeated groups."""
     for size in range(1, SQUARE + 1):
+        if len(items) < 2 * size and not (size > 1 and len(items) > size):
+            break
         out: list[dict] = []
         keys: list[str] = []
         for item in items:
@@ -167,7 +238,7 @@ def fold(items: list[dict]) -> list[dict]:
                 first, second = out[-2 * size : -size], out[-size:]
                 both = [merge(x, y) for x, y in zip(first, second, strict=True)]
                 del out[-2 * size :], keys[-2 * size :]
-                made = both[0] if size == 1 else {"g": both}
+                made = both[0] if size == 1 else _group(both)
                 out.append({**made, "r": 1})
                 keys.append(_key(out[-1]))
             if size > 1 and len(out) > size and keys[-size - 1] == "(" + " ".join(keys[-size:]) + ")":  # one more of a group
@@ -178,17 +249,32 @@ def fold(items: list[dict]) -> list[dict]:
     return items
 
 
-def items_of(element: list) -> list[dict]:
+def _runs(element: list) -> list:
+    """Children with adjacent texts joined and their white space made one; texts of white space alone go."""
+    out: list = []
+    held: list[str] = []
+    for child in (*element[1], None):
+        if isinstance(child, str):
+            held.append(child)
+            continue
+        if held and (text := " ".join("".join(held).split())):
+            out.append(text)
+        held.clear()
+        if child is not None:
+            out.append(child)
+    return out
+
+
+def items_of(element: list, page: int = 0) -> list[dict]:
+    """The items of a page, whose number is the bit of the sets in them."""
     found: list[dict] = []
-    for child in element[1]:
+    for child in _runs(element):
         if isinstance(child, str):
-            text = " ".join(child.split())
-            if text and found and "t" in found[-1]:
-                found[-1] = {"t": found[-1]["t"] + " " + text, "n": found[-1]["n"] + len(text)}
-            elif text:
-                found.append({"t": text, "n": len(text)})
+            if found and "t" in found[-1]:  # around what was left out
+                child = found.pop()["t"] + " " + child
+            found.append({"t": child, "n": len(child), "s": {child: 1 << page}, "m": 1 << page})
         else:
-            found.append({"k": child[0], "c": items_of(child)})
+            found.append({"k": child[0], "c": items_of(child, page)})
     return fold(found)
 
 
@@ -196,38 +282,72 @@ def align(wrapper: list[dict], page: list[dict]) -> list[dict]:
     """The wrapper's items made general enough for the page's items too."""
     out: list[dict] = []
     i = j = 0
+    keys_w, keys_p = [_key(x) for x in wrapper], [_key(x) for x in page]
+    at_w, at_p = _places(keys_w), _places(keys_p)
     while i < len(wrapper) or j < len(page):
-        a, b = (wrapper[i] if i < len(wrapper) else None), (page[j] if j < len(page) else None)
-        if a and b and _key(a) == _key(b):
-            out.append(merge(a, b))
+        a, b = (keys_w[i] if i < len(wrapper) else None), (keys_p[j] if j < len(page) else None)
+        if a is not None and a == b:
+            out.append(merge(wrapper[i], page[j]))
             i, j = i + 1, j + 1
             continue
         if out and "t" not in out[-1]:  # another one of what stands before
-            for other in (b, a):
-                if other and _key(other) == _key(out[-1]):
-                    out[-1] = {**merge(out[-1], other), "r": 1}
-                    i, j = i + (other is a), j + (other is b)
-                    break
-            else:
-                other = None
-            if other:
+            last = _key(out[-1])
+            if b == last:
+                out[-1] = {**merge(out[-1], page[j]), "r": 1}
+                j += 1
+                continue
+            if a == last:
+                out[-1] = {**merge(out[-1], wrapper[i]), "r": 1}
+                i += 1
                 continue
-        ahead_w = next((n for n in range(i + 1, len(wrapper)) if b and _key(wrapper[n]) == _key(b)), None)
-        ahead_p = next((n for n in range(j + 1, len(page)) if a and _key(page[n]) == _key(a)), None)
-        if a and (b is None or ahead_p is None or (ahead_w is not None and ahead_w - i <= ahead_p - j)):
-            out.append({**a, "o": 1})
+        ahead_w = None if b is None else _next(at_w.get(b), i + 1)
+        ahead_p = None if a is None else _next(at_p.get(a), j + 1)
+        if a is not None and (b is None or ahead_p is None or (ahead_w is not None and ahead_w - i <= ahead_p - j)):
+            out.append({**wrapper[i], "o": 1})
             i += 1
         else:
-            out.append({**b, "o": 1})
+            out.append({**page[j], "o": 1})
             j += 1
     return fold(out)
 
 
+def _places(keys: list[str]) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for n, key in enumerate(keys):
+        out.setdefault(key, []).append(n)
+    return out
+
+
+def _next(places: list[int] | None, at: int) -> int | None:
+    """The first of some places that is ``at`` or later."""
+    if not places:
+        return None
+    n = bisect_left(places, at)
+    return places[n] if n < len(places) else None
+
+
+def _room(depth: int) -> None:
+    """Room for the recursion that pages of this depth need; Python's own frames don't use the C stack."""
+    if 8 * depth + 1000 > sys.getrecursionlimit():
+        sys.setrecursionlimit(8 * depth + 1000)
+
+
+def _allow(tree: list) -> None:
+    deepest, todo = 0, [(tree, 1)]
+    while todo:
+        element, n = todo.pop()
+        deepest = max(deepest, n)
+        todo += [(x, n + 1) for x in element[1] if not isinstance(x, str)]
+    _room(deepest)
+
+
 def infer(pages: list[str]) -> list[dict]:
-    """The wrapper of some pages of a host: each is aligned with what the pages before it have given."""
+    """The wrapper of some pages of a host: each is aligned with what the pages before it have given. Repeated pages count once."""
     wrapper: list[dict] = []
-    for n, source in enumerate(pages):
-        own = items_of(tidy(source))
+    for n, source in enumerate(dict.fromkeys(pages)):
+        tree = tidy(source)
+        _allow(tree)
+        own = items_of(tree, n)
         wrapper = own if n == 0 else align(wrapper, own)
     return wrapper
 
@@ -247,122 +367,189 @@ def expression(items: list[dict]) -> str:
     return "".join(out)
 
 
+def packed(wrapper: list[dict]) -> str:
+    """The wrapper as a flat list of tokens in JSON. Of the texts of slots only those that are template stay."""
+    out: list = []
+
+    def add(items: list[dict]) -> None:
+        for x in items:
+            flags = "o" * ("o" in x) + "r" * ("r" in x)
+            if "t" in x:
+                out.append([x["t"], flags, x["n"], x["m"].bit_count(), template_texts(x)])
+            else:
+                out.append([("<" + x["k"]) if "k" in x else "(", flags])
+                add(x["c"] if "k" in x else x["g"])
+                out.append(0)
+
+    add(wrapper)
+    return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
+
+
+def unpacked(tokens: str) -> list[dict]:
+    """The wrapper of ``packed``; its pages are numbered from 1, so that page 0 can refine it."""
+    stack: list[list[dict]] = [[]]
+    heads: list[list] = []
+    deepest = 1
+
+    def pages(n: int) -> int:
+        return ((1 << n) - 1) << 1
+
+    for token in json.loads(tokens):
+        if token == 0:
+            kind, flags = heads.pop()
+            items = stack.pop()
+            made = _group(items) if kind == "(" else {"k": kind[1:], "c": items}
+        elif len(token) > 2:
+            text, flags, n, m, shared = token
+            made = {"t": text, "n": n, "s": {x: pages(k) for x, k in shared.items()}, "m": pages(m)}
+        else:
+            heads.append(token)
+            stack.append([])
+            deepest = max(deepest, len(stack))
+            continue
+        for f in flags:
+            made[f] = 1
+        stack[-1].append(made)
+    _room(deepest)
+    return stack[0]
+
+
+def template_texts(slot: dict) -> dict[str, int]:
+    """The texts that most pages of the sample have in this slot, and how many do."""
+    least = max(TEMPLATE_PAGES, TEMPLATE_SHARE * slot["m"].bit_count())
+    return {x: n for x, pages in slot["s"].items() if (n := pages.bit_count()) >= least}
+
+
 # -- wrapper -> where the main text lies ------------------------------------------------------------------------------
 
 
-def _aside(key: str) -> bool:
-    tag, _, named = key.partition(".")
-    return tag in _ASIDE_TAGS or bool(named) and tag not in ("html", "body", "article", "main") and not _ASIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", named))
+class Region:
+    """An element of the wrapper, made ready for matching: what it holds by key, and whether it is main text."""
 
+    __slots__ = ("aside", "every", "inside", "key", "main", "plain", "r", "slots", "template", "up")
 
-def _elements(items: list[dict], path: tuple = ()) -> Iterator[tuple[tuple, dict]]:
-    for x in items:
-        if "g" in x:
-            yield from _elements(x["g"], path)
-        elif "k" in x and not _aside(x["k"]):
-            yield (*path, x["k"]), x
-            yield from _elements(x["c"], (*path, x["k"]))
+    def __init__(self, key: str, up: Region | None, repeated: bool):
+        self.key, self.up, self.r = key, up, repeated
+        self.inside: dict[str, Region] = {}
+        self.template: dict[str, int] = {}  # texts, and the pages of the sample that have them
+        self.plain = False  # texts stand here
+        self.main = False
+        self.aside = _tag_aside(key)
+        self.slots = self.every = 0  # characters below, without those of asides
+
+    def regions(self) -> list[Region]:
+        """All regions from here on that are not aside, outer ones first."""
+        out, todo = [], [self]
+        while todo:
+            x = todo.pop()
+            out.append(x)
+            todo += [y for y in reversed(x.inside.values()) if not y.aside]
+        return out
 
 
-def _held(items: list[dict]) -> tuple[int, int]:
-    """Characters of (slots, all texts) below items that may be main text."""
-    slots = every = 0
+def _region(items: list[dict], into: Region) -> None:
     for x in items:
         if "t" in x:
-            every += x["n"]
-            slots += x["n"] if x["t"] is None else 0
-        elif "g" in x or not _aside(x["k"]):
-            a, b = _held(x["g"] if "g" in x else x["c"])
-            slots, every = slots + a, every + b
-    return slots, every
+            into.plain = True
+            into.every += x["n"]
+            into.slots += x["n"] if x["t"] is None else 0
+            for text, pages in template_texts(x).items():
+                into.template[text] = max(pages, into.template.get(text, 0))
+        elif "g" in x:
+            _region(x["g"], into)
+        else:
+            own = into.inside.get(x["k"])
+            if own is None:
+                own = into.inside[x["k"]] = Region(x["k"], into, "r" in x)
+            else:
+                own.r = True
+            _region(x["c"], own)
 
 
-#: What an element that holds main text is called, the surest first.
-_MAIN = (
-    lambda k: k.partition(".")[0] == "article",
-    lambda k: k.partition(".")[0] == "main" or "main" in k.partition(".")[2].split(),
-    lambda k: bool(k.partition(".")[2]) and not _MAIN_WORDS.isdisjoint(re.split(r"[^a-z]+", k.partition(".")[2])),
-)
+def _weigh(root: Region, named: bool) -> None:
+    """Adds what regions hold to the ones around them. ``named``: leave out what is named as aside too."""
+    for x in reversed(root.regions()):
+        if x.up is not None and not (named and _named_aside(x.key)):
+            x.up.slots += x.slots
+            x.up.every += x.every
 
 
-def main_paths(wrapper: list[dict]) -> list[tuple]:
-    """Paths of keys to the elements that hold the main text.
+def main_paths(wrapper: list[dict]) -> Region:
+    """The wrapper's elements as regions below one root, with those of the main text marked.
 
-    Article elements, else main elements, else elements named like one; else the deepest element around blocks with most of the
-    text in slots (of all text, where a single page leaves no slots).
+    An element named as aside is none if it holds most of the slot text and no element outside of it is called main text. The
+    main text is the deepest region with most of the slot text that is left (of all text, where a single page leaves no slots); but
+    elements that are called main text are taken instead of it, the surest kind that holds half of the slot text (or any text, without slots).
     """
-    found = list(_elements(wrapper))
-    for wanted in _MAIN:
-        if paths := [p for p, x in found if wanted(x["k"]) and _held(x["c"])[1]]:
-            return [p for p in dict.fromkeys(paths) if not any(p[:n] in paths for n in range(1, len(p)))]
-    kind = 0 if _held(wrapper)[0] else 1
-    total = _held(wrapper)[kind]
-    best: tuple = ()
-    for p, x in found:
-        if "r" in x or not any("k" in y or "g" in y for y in x["c"]):  # one of several, or a block of text
-            continue
-        if total and _held(x["c"])[kind] >= 0.6 * total and len(p) > len(best) and p[:-1] == best[: len(p) - 1]:
-            best = p
-    return [best]
+    root = Region("", None, False)
+    _region(wrapper, root)
+    every = root.regions()
+    if any(_named_aside(x.key) for x in every):
+        own = [(x.slots, x.every) for x in every]
+        _weigh(root, False)
+        size = "slots" if root.slots else "every"
+        total = getattr(root, size)
+        main = [x for x in every if _called_main(x.key) < len(_MAIN) and getattr(x, size)]
+        for x in every:
+            if _named_aside(x.key) and not (total and getattr(x, size) >= MAIN_SHARE * total and all(_within(m, x) or _within(x, m) for m in main)):
+                x.aside = True
+        for x, (slots, all_) in zip(every, own, strict=True):
+            x.slots, x.every = slots, all_
+    _weigh(root, False)
+    size = "slots" if root.slots else "every"
+    total = getattr(root, size)
+    live = root.regions()
+    for kind in range(len(_MAIN)):
+        called = [x for x in live if _called_main(x.key) == kind and x.every]
+        outer = [x for x in called if not any(_called_main(up.key) == kind for up in _around(x))]
+        if outer and (not root.slots or sum(x.slots for x in outer) >= NAMED_SHARE * total):
+            for x in outer:
+                x.main = True
+            break
+    else:
+        best = root
+        while True:
+            inner = [x for x in best.inside.values() if not x.aside and not x.r and any(not y.aside for y in x.inside.values())]
+            down = next((x for x in inner if total and getattr(x, size) >= MAIN_SHARE * total), None)
+            if down is None:
+                break
+            best = down
+        best.main = True
+    for x in live:
+        if x.main:
+            inside = x.regions()
+            if sum(len(t) * n for y in inside for t, n in y.template.items()) > COPIES_SHARE * x.every:
+                for y in inside:
+                    y.template.clear()
+    return root
 
 
-def _text(element: list, out: list[str]) -> None:
-    out.append("\n")
-    for child in element[1]:
-        if isinstance(child, str):
-            out.append(child)
-        elif not _aside(child[0]):
-            _text(child, out)
-    out.append("\n")
+def _around(x: Region) -> list[Region]:
+    out = []
+    while x.up is not None:
+        x = x.up
+        out.append(x)
+    return out
 
 
-def _walk(element: list, paths: set[tuple], stems: set[tuple], path: tuple, out: list[str]) -> None:
-    if path in paths:
-        _text(element, out)
-    elif path in stems:
-        for child in element[1]:
-            if not isinstance(child, str):
-                _walk(child, paths, stems, (*path, child[0]), out)
+def _within(x: Region, y: Region) -> bool:
+    return x is y or y in _around(x)
 
 
-def places(wrapper: list[dict], paths: list[tuple]) -> dict | None:
-    """The wrapper's elements as nested {key: elements inside}; None stands for main text, "#" for an element that holds texts."""
+# -- pages against the wrapper ------------------------------------------------------------------------------------
 
-    def inside(items: list[dict], path: tuple) -> dict | None:
-        if path in main:
-            return None
-        out: dict = {}
-        add(items, path, out)
-        return out
 
-    def add(items: list[dict], path: tuple, out: dict) -> None:
-        for x in items:
-            if "t" in x:
-                out["#"] = None
-            elif "g" in x:
-                add(x["g"], path, out)
-            elif x["k"] not in out:
-                out[x["k"]] = inside(x["c"], (*path, x["k"]))
-            elif out[x["k"]] is not None:
-                add(x["c"], (*path, x["k"]), out[x["k"]])
-
-    main = set(paths)
-    return inside(wrapper, ())
-
-
-def _unknown(element: list, known: dict | None, path: tuple, out: list[tuple[tuple, list]]) -> None:
-    """(path, element) of what holds text and isn't among the known places, the outermost ones."""
-    if known is None:
-        return
-    if "#" not in known and path and any(isinstance(x, str) and x.strip() for x in element[1]):
-        out.append((path, element))
-        return
-    for child in element[1]:
-        if not isinstance(child, str) and not _aside(child[0]):
-            if child[0] in known:
-                _unknown(child, known[child[0]], (*path, child[0]), out)
-            elif _chars(child):
-                out.append(((*path, child[0]), child))
+def _text(element: list, out: list[str]) -> None:
+    """All text of an element without what is aside in it."""
+    todo: list = [element]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        out.append("\n")
+        todo.append("\n")
+        todo += [c for c in reversed(x[1]) if isinstance(c, str) or not (_tag_aside(c[0]) or _named_aside(c[0]))]
 
 
 def _chars(element: list) -> int:
@@ -371,45 +558,81 @@ def _chars(element: list) -> int:
     return len(" ".join("".join(out).split()))
 
 
-def _named_main(element: list, path: tuple, most: int) -> Iterator[tuple]:
-    """Paths to the outermost elements that are called main text at least as surely as ``most`` says."""
-    if any(wanted(path[-1]) for wanted in _MAIN[: most + 1]):
-        yield path
-        return
-    for child in element[1]:
-        if not isinstance(child, str) and not _aside(child[0]):
-            yield from _named_main(child, (*path, child[0]), most)
+def _match(tree: list, root: Region, template: bool, extra: frozenset = frozenset()) -> tuple[str, list[list]]:
+    """(text in the slots of the main regions, the outermost elements with text that the wrapper lacks outside of them).
+
+    ``extra``: identities of further elements that are taken as main text.
+    """
+    out: list[str] = []
+    lacking: list[list] = []
+    todo: list = [(tree, root, root.main)]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        element, region, inside = x
+        inside = inside or id(element) in extra
+        if not inside and not extra and not region.plain and element is not tree and any(isinstance(c, str) and c.strip() for c in element[1]):
+            lacking.append(element)
+            continue
+        known = region.template if template and region is not None else ()
+        for c in reversed(_runs(element) if inside else element[1]):
+            if isinstance(c, str):
+                if inside and c not in known:
+                    todo.append(c)
+                continue
+            below = region.inside.get(c[0]) if region is not None else None
+            if below.aside if below is not None else _tag_aside(c[0]) or _named_aside(c[0]):
+                continue
+            if inside or below is not None or extra:
+                todo.append((c, below, inside or below is not None and below.main))
+            elif _chars(c):
+                lacking.append(c)
+    return " ".join(out), lacking
+
 
+def extract(source: str | None, root: Region | None, wrapper: list[dict]) -> str:
+    """The main text of a page: what stands in the slots of the wrapper's main regions, in page order, white space as one space.
 
-def extract(source: str | None, paths: list[tuple], wrapper: list[dict], known: dict | None = None) -> str:
-    """The main text of a page: blocks in page order, white space as one space. A page where the wrapper's places hold nothing
-    refines the wrapper, and gives what stands in the places that follow. So does a page with elements that the wrapper lacks:
-    those called main text as surely as the known ones are added, and all of them where they hold more than the rest.
+    A page of which nothing stands there, or that has text outside of them in elements that the wrapper lacks, refines the wrapper by
+    alignment. Of the lacking elements those that are called main text as surely as the known regions are added, and all of
+    them where they hold more than the rest. A page of which everything is template gives that.
 
-    ``known`` is ``places(wrapper, paths)``, made here where it isn't given.
+    ``root`` is ``main_paths(wrapper)``.
     """
     tree = tidy(source)
-
-    def taken(paths: list[tuple]) -> str:
-        out: list[str] = []
-        _walk(tree, set(paths), {p[:n] for p in paths for n in range(len(p))}, (), out)
-        return " ".join("".join(out).split())
-
-    text = taken(paths) if wrapper else ""
+    text, lacking = "", []
+    if wrapper:
+        text, lacking = _match(tree, root, True)
+        text = text or _match(tree, root, False)[0]
+    if text and not lacking:
+        return text
+    _allow(tree)
+    own = items_of(tree)
+    refined = main_paths(align(wrapper, own) if wrapper else own)
     if not text:
-        own = items_of(tree)
-        return taken(main_paths(align(wrapper, own))) or taken(main_paths(own))
-    new: list[tuple[tuple, list]] = []
-    if () not in paths:
-        _unknown(tree, places(wrapper, paths) if known is None else known, (), new)
-    if new:
-        most = min((n for p in paths for n, wanted in enumerate(_MAIN) if wanted(p[-1])), default=len(_MAIN))
-        more = list(dict.fromkeys(x for p, element in new for x in _named_main(element, p, most)))
-        text = taken([*paths, *more]) if more else text
-        left = [(p, element) for p, element in new if not any(x[: len(p)] == p for x in more)]
-        if sum(_chars(element) for _, element in left) > len(text):
-            text = taken([*paths, *more, *(p for p, _ in left)])
-    return text
+        return _match(tree, refined, False)[0] or _match(tree, main_paths(own), False)[0]
+    most = min((_called_main(x.key) for x in root.regions() if x.main), default=len(_MAIN))
+    named, rest = [], 0
+    for element in lacking:
+        found = _outermost(element, most)
+        named += found
+        rest += 0 if found else _chars(element)
+    marks = frozenset(id(x) for x in (named if rest <= len(text) else [*named, *lacking]))
+    return _match(tree, refined, True, marks)[0] or text
+
+
+def _outermost(element: list, most: int) -> list[list]:
+    """The outermost elements that are called main text at least as surely as ``most`` says."""
+    out, todo = [], [element]
+    while todo:
+        x = todo.pop()
+        if _called_main(x[0]) < len(_MAIN) and _called_main(x[0]) <= most:
+            out.append(x)
+        else:
+            todo += [c for c in reversed(x[1]) if not isinstance(c, str) and not (_tag_aside(c[0]) or _named_aside(c[0]))]
+    return out
 
 
 # -- tables -------------------------------------------------------------------------------------------------------
@@ -431,19 +654,9 @@ def host_wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         wrapper = infer(part.sort_values("n")["html"].tolist())
-        return pd.DataFrame(
-            {
-                "host": [part["host"].iloc[0]],
-                "wrapper": [json.dumps(wrapper)],
-                "paths": [json.dumps(main_paths(wrapper))],
-                "pages": [len(part)],
-                "expression": [expression(wrapper)],
-            }
-        )
-
-    return sample.select("host", "n", "html").groupBy("host").applyInPandas(
-        work, "host string, wrapper string, paths string, pages int, expression string"
-    )
+        return pd.DataFrame({"host": [part["host"].iloc[0]], "wrapper": [packed(wrapper)], "pages": [len(part)], "expression": [expression(wrapper)]})
+
+    return sample.select("host", "n", "html").groupBy("host").applyInPandas(work, "host string, wrapper string, pages int, expression string")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -451,15 +664,24 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Null pages count as empty and give an empty text; pages without a host form one host. Repeated rows give
     repeated rows; an empty table gives an empty result; further columns are not read.
+
+    Wrappers of BROADCAST_BYTES in all go to the tasks as a whole, once; more are joined to the pages of their hosts.
     """
-    known = written(host_wrappers(pages, id_col, url_col, html_col).select(F.col("host").alias("of"), "wrapper", "paths"), "wrappers")
+    spark = pages.sparkSession
+    known = written(host_wrappers(pages, id_col, url_col, html_col).select(F.col("host").alias("of"), "wrapper"), "wrappers")
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
         F.col(html_col).cast("string").alias("html"),
         host(F.col(url_col)).alias("host"),
     )
-    both = rows.join(sized_texts(known, "of", "wrapper", "paths"), rows.host == F.col("of"), "left").select("page_id", "url", "html", "wrapper", "paths")
+    total = known.agg(F.sum(F.octet_length("wrapper") + F.octet_length("of") + 64).alias("n")).first()["n"] or 0
+    whole = None
+    if total <= BROADCAST_BYTES:
+        whole = spark.sparkContext.broadcast({r["of"]: r["wrapper"] for r in known.toLocalIterator()})
+        both = rows
+    else:
+        both = rows.join(known, rows.host == F.col("of"), "left").select("page_id", "url", "html", "wrapper")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read: dict[str, tuple] = {}
@@ -467,13 +689,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 texts = []
-                for source, wrapper, paths in zip(*(part.column(k) for k in (2, 3, 4)), strict=True):
-                    key = wrapper.as_py() or "[]"
+                for source, key in zip(part.column(2), part.column(3).to_pylist(), strict=True):
                     if key not in read:
                         if len(read) > 256:
                             read.clear()
-                        where, items = [tuple(p) for p in json.loads(paths.as_py() or "[]")], json.loads(key)
-                        read[key] = where, items, places(items, where)
+                        items = unpacked((whole.value.get(key) if whole is not None else key) or "[]")
+                        read[key] = main_paths(items), items
                     texts.append(extract(source.as_py(), *read[key]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
