@@ -76,3 +76,51 @@ def test_long_white_space():
     t = packing.Tokens()
     text = "a" + " " * 1_000_000 + "b"
     assert t.ids(text) == Tokenizer.from_file(t.path).encode(text, add_special_tokens=False).ids
+
+
+def fewest(pieces, capacity):
+    """Exact bin packing by search."""
+    pieces, low = sorted(pieces, reverse=True), -(-sum(pieces) // capacity)
+    best = [len(pieces)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0] or best[0] == low:
+            return
+        if i == len(pieces):
+            best[0] = len(rooms)
+            return
+        for room in sorted({r for r in rooms if r >= pieces[i]}):
+            j = rooms.index(room)
+            go(i + 1, [*rooms[:j], room - pieces[i], *rooms[j + 1 :]])
+        go(i + 1, [*rooms, capacity - pieces[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_exact_optima():
+    r = random.Random(4)
+    for _ in range(60):
+        capacity = r.choice([30, 60, 100])
+        pieces = [r.randint(capacity // 8, capacity * 6 // 10) for _ in range(r.randint(1, 11))]
+        got = packing.pack_report(Counter(pieces), capacity)
+        assert got.sequences == fewest(pieces, capacity) and got.at_least <= got.sequences
+
+
+def test_program_is_solved():
+    r = random.Random(2)
+    need = Counter(r.randint(600, 899) for _ in range(50_000))
+    got = packing.pack_report(dict(need))
+    assert check(need, 2048) == got.sequences
+    assert got.gap <= packing.GAP and got.by_program > 0.9
+    assert got.sequences < 0.96 * sum(n for _, n in packing.best_fit(dict(need), 2048)) and got.sequences < 1.02 * got.at_least
+
+
+def test_master_and_bound():
+    """Against the optimum of a small program by hand: halves, thirds and a mix of both."""
+    cover = np.array([[2, 0, 1], [0, 3, 1]]) / np.array([[10.0], [12.0]])
+    x, price = packing.master(cover)
+    assert x.sum() == pytest.approx(9, abs=1e-3) and price.sum() == pytest.approx(9, abs=1e-3)
+    assert (cover @ x).min() > 1 - 1e-5
+    program = packing.configuration_program({50: 10, 33: 12}, 100)
+    assert program.value == pytest.approx(9, abs=0.02) and 8.9 < program.bound <= 9.001 and program.sure <= 9.001

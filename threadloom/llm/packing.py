@@ -1,16 +1,20 @@
 """Sequence packing by a configuration linear program over the length histogram.
 
-A configuration says how many pieces of each length share a sequence. The covering program "fewest
-sequences whose configurations hold every piece" is solved by multiplicative weights: lengths that lack cover
-gain weight, and a knapsack dynamic program finds the configuration of most weight. The fractional
-solution is rounded down; what is left goes by best fit, longest first. All of this works on at most
-``capacity`` counts, so it is the same work for any corpus; pieces then find their place by rank within length.
+A configuration says how many pieces of each class of lengths share a sequence. The covering program "fewest sequences whose
+configurations hold every piece" is priced by multiplicative weights: a knapsack dynamic program finds the
+configurations of most weight, and the classes that these cover lose weight by a factor. After every few knapsacks the program over the
+configurations found so far is solved, and its prices are the weights to go on with; the knapsack's value bounds what any solution
+needs, so the work ends at a stated gap. The solution is rounded as a whole: its configurations are filled with pieces of their classes,
+and the few that are left go by best fit into the room that remains. All of this works on at most ``capacity`` counts, so it is the
+same work for any corpus; pieces then find their place by rank within length.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,68 +27,235 @@ from threadloom.llm.common import written
 
 CAPACITY = 2048
 END_ID = 0
-#: Knapsack solutions of the program, and the part of a length's need that one may cover.
-ROUNDS, STEP = 400, 0.25
+#: Lengths form at most so many classes of equal mass; each counts as its mean, rounded up.
+CLASSES = 128
+#: The program is solved when its value is within this share of the bound. A pass solves it over the known configurations and then
+#: runs so many knapsacks, each of which gives so many configurations and takes weight by this rate. Passes beyond the last are not made.
+GAP, KNAPSACKS, CONFIGURATIONS, RATE, PASSES = 0.002, 4, 8, 0.3, 120
+#: Roundings that are tried: (mass of the shortest pieces that is kept for the room that remains, most room of a sequence that stays
+#: as the program made it; others are opened again).
+ROUNDINGS = ((0.0, None), (0.05, None), (0.1, None), (0.2, None), (0.0, 4), (0.0, 2), (0.0, 1), (0.0, 0), (0.05, 2), (0.05, 0), (0.1, 0))
 
 
 # -- lengths -> configurations ------------------------------------------------------------------------------------
 
 
-def knapsack(value: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """Index of length -> copies, for the most value within the capacity (copies without bound)."""
+def tables(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(most value within each room up to the capacity, the last item taken there or -1); copies without bound, lengths ascending."""
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        best[c], took[c] = best[c - 1], -1
+        best[c] = best[c - 1]
         if n := upto[c]:
             got = value[:n] + best[c - lengths[:n]]
             k = int(got.argmax())
             if got[k] > best[c]:
                 best[c], took[c] = got[k], k
-    chosen: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
+    return best, took
+
+
+def chosen(took: np.ndarray, lengths: np.ndarray, room: int) -> dict[int, int]:
+    """Index of length -> copies, of the best filling of a room."""
+    out: dict[int, int] = {}
+    while room > 0:
+        k = int(took[room])
+        if k < 0:
+            room -= 1
         else:
-            chosen[int(took[c])] = chosen.get(int(took[c]), 0) + 1
-            c -= int(lengths[took[c]])
-    return chosen
+            out[k] = out.get(k, 0) + 1
+            room -= int(lengths[k])
+    return out
 
 
-def configuration_program(need: dict[int, int], capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[dict[int, int], float]]:
-    """(configuration, how often): a fractional cover of the needs by multiplicative weights."""
-    lengths = np.array(sorted(need))
-    wants = np.array([need[n] for n in lengths], float)
-    cover = np.zeros(len(lengths))
-    sharp = max(1.0, math.log(len(lengths) + 1)) * 2
-    found: dict[tuple, float] = {}
-    for _ in range(rounds):
-        if cover.min() >= 1:
+def knapsack(value: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
+    """Index of length -> copies, for the most value within the capacity (copies without bound)."""
+    return chosen(tables(value, lengths, capacity)[1], lengths, capacity)
+
+
+def master(cover: np.ndarray, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
+    """(x, prices) of the program: least sum of x with ``cover @ x >= 1`` and x >= 0, by a primal-dual interior-point method.
+
+    Every row of ``cover`` must have an entry above 0.
+    """
+    rows, columns = cover.shape
+    x = np.full(columns, 2 / cover.sum(axis=1).min())
+    slack = cover @ x - 1
+    price = np.full(rows, 0.5 / cover.sum(axis=0).max())
+    reduced = 1 - price @ cover
+    for _ in range(60):
+        off_rows, off_columns = 1 - cover @ x + slack, 1 - price @ cover - reduced
+        mean = (x @ reduced + slack @ price) / (rows + columns)
+        if mean * (rows + columns) < tolerance * x.sum():
             break
-        weight = np.exp(-sharp * np.minimum(cover, 1)) * (cover < 1)  # a length that is covered has no more weight
-        chosen = knapsack(weight / wants, lengths, capacity)
-        chosen = {k: min(n, int(wants[k])) for k, n in chosen.items()}
-        if not chosen:
+        normal = (cover * (x / reduced)) @ cover.T
+        normal[np.diag_indices(rows)] += slack / price
+
+        def step(target: float, bend_x: np.ndarray | float, bend_s: np.ndarray | float) -> tuple[np.ndarray, ...]:
+            for_x, for_s = target - x * reduced - bend_x, target - slack * price - bend_s
+            d_price = np.linalg.solve(normal, off_rows - cover @ ((for_x - x * off_columns) / reduced) + for_s / price)
+            d_reduced = off_columns - d_price @ cover
+            return (for_x - x * d_reduced) / reduced, (for_s - slack * d_price) / price, d_price, d_reduced
+
+        def most(v: np.ndarray, d: np.ndarray) -> float:
+            down = d < 0
+            return min(1.0, float((-v[down] / d[down]).min())) if down.any() else 1.0
+
+        dx, ds, dp, dr = step(0.0, 0.0, 0.0)
+        one, two = min(most(x, dx), most(slack, ds)), min(most(price, dp), most(reduced, dr))
+        ahead = ((x + one * dx) @ (reduced + two * dr) + (slack + one * ds) @ (price + two * dp)) / (rows + columns)
+        dx, ds, dp, dr = step(mean * (ahead / mean) ** 3, dx * dr, ds * dp)
+        one, two = 0.99 * min(most(x, dx), most(slack, ds)), 0.99 * min(most(price, dp), most(reduced, dr))
+        x, slack, price, reduced = x + one * dx, slack + one * ds, price + two * dp, reduced + two * dr
+    return x, price
+
+
+@dataclass(frozen=True)
+class Program:
+    """A solution: ``often[k]`` sequences of ``configurations[k]`` (class -> pieces), ``value`` of them in all.
+
+    ``bound``: the least value, where each piece counts as ``sizes`` of its class; ``sure``: no packing of the pieces themselves needs
+    fewer sequences than this.
+    """
+
+    sizes: np.ndarray
+    width: np.ndarray
+    of_class: dict[int, int]
+    configurations: list[dict[int, int]]
+    often: np.ndarray
+    value: float
+    bound: float
+    sure: float
+
+
+def classes(need: dict[int, int], most: int) -> np.ndarray:
+    """The class of each length in ascending order: all of their own if there are few, else ranges of equal mass."""
+    lengths = np.array(sorted(need))
+    if len(lengths) <= most:
+        return np.arange(len(lengths))
+    mass = lengths * np.array([need[n] for n in lengths], float)
+    at = np.minimum(((np.cumsum(mass) - mass / 2) / mass.sum() * most).astype(int), most - 1)
+    return np.unique(at, return_inverse=True)[1]
+
+
+def configuration_program(need: dict[int, int], capacity: int, most: int = CLASSES, gap: float = GAP) -> Program:
+    """The program solved to the gap, or after PASSES as far as it is."""
+    lengths = np.array(sorted(need))
+    counts = np.array([need[n] for n in lengths], float)
+    number = classes(need, most)
+    wants = np.bincount(number, counts)
+    sizes = np.ceil(np.bincount(number, counts * lengths) / wants).astype(int)
+    ends = np.r_[np.flatnonzero(np.diff(number)), len(lengths) - 1]
+    tops, lows = lengths[ends], lengths[np.r_[0, ends[:-1] + 1]]
+    known: dict[tuple, np.ndarray] = {}
+
+    def add(config: dict[int, int]) -> None:
+        key = tuple(sorted((int(k), n) for k, n in config.items()))
+        if key not in known:
+            cover = np.zeros(len(wants))
+            for k, n in key:
+                cover[k] = min(n, wants[k])
+            known[key] = cover / wants
+
+    for k, size in enumerate(sizes):
+        add({k: capacity // int(size)})
+    bound = sure = 0.0
+    for _ in range(PASSES):
+        cover = np.array(list(known.values())).T
+        x, price = master(cover)
+        value = x.sum() / min(1.0, (cover @ x).min())
+        weight, before = price / price.sum(), len(known)
+        for n in range(KNAPSACKS):
+            worth = weight / wants
+            best, took = tables(worth, sizes, capacity)
+            bound = max(bound, 1 / best[capacity])
+            if n == 0:
+                sure = max(sure, 1 / tables(worth, lows, capacity)[0][capacity])
+            use = np.zeros(len(wants))
+            for k in np.argsort(-(worth + best[capacity - sizes]), kind="stable")[:CONFIGURATIONS].tolist():
+                config = chosen(took, sizes, capacity - int(sizes[k]))
+                config[k] = config.get(k, 0) + 1
+                add(config)
+                for i, copies in config.items():
+                    use[i] += copies
+            use /= wants
+            weight = weight * np.exp(-RATE * use / use.max())
+            weight /= weight.sum()
+        if value <= bound * (1 + gap) or len(known) == before:
             break
-        amount = max(1.0, step * min(wants[k] / n for k, n in chosen.items()))
-        for k, n in chosen.items():
-            cover[k] += n * amount / wants[k]
-        key = tuple(sorted((int(lengths[k]), n) for k, n in chosen.items()))
-        found[key] = found.get(key, 0.0) + amount
-    return [(dict(k), x) for k, x in sorted(found.items(), key=lambda t: (-t[1], t[0]))]
+    scale = 1 / min(1.0, (cover @ x).min())
+    keys = [dict(k) for k in list(known)[: len(x)]]
+    return Program(sizes, tops - lows, dict(zip(lengths.tolist(), number.tolist(), strict=True)), keys, x * scale, float(value), bound, min(sure, bound))
+
+
+# -- configurations -> sequences ------------------------------------------------------------------------------------
 
+Group = tuple[list[tuple[int, int]], int]
 
-def best_fit(need: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Best fit, longest first, by counts: ([(length, copies), ...], sequences) groups."""
-    room: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}
+
+def fill(counts: list[tuple[dict[int, int], int]], program: Program, left: dict[int, int], capacity: int) -> list[Group]:
+    """Groups of equal sequences from so many of each configuration; takes their pieces from ``left``.
+
+    Places of a configuration get long and short pieces of their classes in turn. The places of its widest class come last: each takes
+    the longest piece of that class or its neighbours that fits there, or none.
+    """
+    lengths, number = sorted(left), dict(left)
+    ranges: dict[int, tuple[int, int]] = {}
+    for n, k in program.of_class.items():
+        low, high = ranges.get(k, (n, n))
+        ranges[k] = min(low, n), max(high, n)
+
+    def take(at: int, n: int) -> tuple[int, int]:
+        length = lengths[at]
+        got = min(n, number[length])
+        number[length] -= got
+        if not number[length]:
+            del lengths[at]
+        return length, got
+
+    groups: list[Group] = []
+    for config, n in counts:
+        order = sorted(config, key=lambda k: (program.width[k], k))
+        parts: list[tuple[tuple[int, ...], int, int]] = [((), capacity, n)]  # lengths so far, room, sequences
+        turn = 0
+        for k in order:
+            last = k == order[-1]
+            near = [ranges[x] for x in ((k - 1, k, k + 1) if last else (k,)) if x in ranges]
+            low, high = min(x for x, _ in near), max(x for _, x in near)
+            for place in range(config[k]):
+                turn += 1
+                fits = last and place == config[k] - 1
+                after: list[tuple[tuple[int, ...], int, int]] = []
+                for held, room, todo in sorted(parts, key=lambda t: t[1]) if fits else parts:
+                    while todo:
+                        if fits or turn % 2:
+                            at = bisect_right(lengths, min(room, high if fits else ranges[k][1])) - 1
+                        else:
+                            at = bisect_left(lengths, ranges[k][0])
+                        if not 0 <= at < len(lengths) or not (low if fits else ranges[k][0]) <= lengths[at] <= min(room, high):
+                            after.append((held, room, todo))
+                            break
+                        length, got = take(at, todo)
+                        after.append(((*held, length), room - length, got))
+                        todo -= got
+                parts = after
+        groups += [(sorted(Counter(held).items(), reverse=True), n) for held, _, n in parts if held]
+    left.clear()
+    left.update({n: number[n] for n in lengths})
+    return groups
+
+
+def best_fit(need: dict[int, int], capacity: int, opened: list[Group] | None = None) -> list[Group]:
+    """Best fit, longest first, by counts, beginning with some opened sequences: ([(length, copies), ...], sequences) groups."""
+    room: dict[int, list[Group]] = {}
     open_rooms = np.zeros(capacity + 1, bool)
 
     def put(left: int, group: list[tuple[int, int]], n: int) -> None:
         room.setdefault(left, []).append((group, n))
         open_rooms[left] = True
 
+    for group, n in opened or ():
+        put(capacity - sum(length * k for length, k in group), group, n)
     for length in sorted(need, reverse=True):
         todo = need[length]
         while todo:
@@ -110,30 +281,58 @@ def best_fit(need: dict[int, int], capacity: int) -> list[tuple[list[tuple[int,
     return [g for groups in room.values() for g in groups]
 
 
-def pack(need: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
-    """Groups of equal sequences that hold exactly the needed pieces.
+@dataclass(frozen=True)
+class Packing:
+    """Groups of equal sequences, how many there are, the fewest that there can be, the program's gap and the share of pieces it placed.
+
+    Whole sequences (pieces of the capacity) are no part of the program and count as placed by it nowhere: ``by_program`` is of shorter ones.
+    """
+
+    groups: list[Group]
+    sequences: int
+    at_least: int
+    gap: float
+    by_program: float
+
+
+def pack_report(need: dict[int, int], capacity: int = CAPACITY) -> Packing:
+    """Groups of equal sequences that hold exactly the needed pieces, with what is known of how good they are.
 
-    The program's solution is rounded down as a whole, by half and not at all, the rest by best fit; the
-    fewest sequences win.
+    The solution is rounded along its running sum, so that all configurations together are as many as the solution's. Classes are ranges,
+    so sequences come out with some room. The shortest pieces are kept for it and go there by best fit, with the pieces
+    whose place in a configuration was too small and those of sequences that came out with too much room. Of the ROUNDINGS
+    the one with fewest sequences wins, then the one of which the program has placed most.
     """
     need = {n: k for n, k in need.items() if k}
     whole = need.pop(capacity, 0)
-    done: list = []
-    if need:
-        solution = configuration_program(need, capacity)
-        tries = []
-        for share in (1.0, 0.5, 0.0):
-            left, groups = dict(need), []
-            for config, often in solution if share else []:
-                n = min(int(often * share), *(left[x] // k for x, k in config.items()))
-                if n > 0 and sum(x * k for x, k in config.items()) >= capacity - 1:
-                    groups.append((sorted(config.items(), reverse=True), n))
-                    for x, k in config.items():
-                        left[x] -= n * k
-            groups += best_fit({x: k for x, k in left.items() if k}, capacity)
-            tries.append(groups)
-        done = min(tries, key=lambda g: sum(n for _, n in g))
-    return [*done, *([([(capacity, 1)], whole)] if whole else [])]
+    tail: list[Group] = [([(capacity, 1)], whole)] if whole else []
+    if not need:
+        return Packing(tail, whole, whole, 0.0, 1.0)
+    program = configuration_program(need, capacity)
+    least = max(math.ceil(program.sure - 1e-6), -(-sum(n * k for n, k in need.items()) // capacity))
+    order = np.argsort(-program.often, kind="stable").tolist()
+    counts = np.diff(np.floor(np.r_[0.0, np.cumsum(program.often[order])] + 0.5))
+    lengths = sorted(need)
+    mass = np.cumsum([n * need[n] for n in lengths])
+    tries = []
+    for kept, room in ROUNDINGS:
+        rest = Counter({n: need[n] for n in lengths[: int(np.searchsorted(mass, kept * mass[-1], "right"))]})
+        left = {n: k for n, k in need.items() if n not in rest}
+        groups = fill([(program.configurations[k], int(n)) for k, n in zip(order, counts, strict=True) if n], program, left, capacity)
+        rest.update(left)
+        tight = [g for g in groups if room is None or capacity - sum(n * k for n, k in g[0]) <= room]
+        for group, n in groups:
+            if room is not None and capacity - sum(length * k for length, k in group) > room:
+                rest.update({length: k * n for length, k in group})
+        done = best_fit(dict(rest), capacity, tight)
+        tries.append((sum(n for _, n in done), sum(rest.values()), done))
+    n, rest, groups = min(tries, key=lambda t: t[:2])
+    return Packing([*groups, *tail], n + whole, least + whole, program.value / program.bound - 1, 1 - rest / sum(need.values()))
+
+
+def pack(need: dict[int, int], capacity: int = CAPACITY) -> list[Group]:
+    """The groups of ``pack_report``."""
+    return pack_report(need, capacity).groups
 
 
 @dataclass(frozen=True)
