@@ -71,3 +71,37 @@ def test_suffix_array():
         assert sorted(array) == [i for i in range(500) if runs[i] >= least]
         told = [tuple(symbols[i : i + min(10, runs[i])]) for i in array]
         assert told == sorted(told)
+
+
+def maximal(text, items, window=10):
+    """All pairs of places from which item and document agree for a window at least, and not one word before."""
+    split = lambda t: WORD.findall((t or "").encode().lower())
+    words, out = split(text), []
+    for item, body in items:
+        seq = split(body)
+        for j in range(len(seq)):
+            for p in range(len(words)):
+                n = 0
+                while j + n < len(seq) and p + n < len(words) and seq[j + n] == words[p + n]:
+                    n += 1
+                if n >= min(window, len(seq)) and not (j and p and seq[j - 1] == words[p - 1]):
+                    out.append((str(item), j, p, n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [8_000_000, 100])
+def test_longest_matches(spark, block, monkeypatch):
+    monkeypatch.setattr(decontam, "SHARD_WORDS", 300)
+    texts, items = tables()
+    a, b = items[0][1].split(), items[1][1].split()
+    texts = [t for t in texts if t] + [" ".join([*a[:12], *b[:12]])]
+    got = decontam.matches(docs(spark, plain(list(enumerate(texts)))), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    for r in got.collect():
+        assert [tuple(x) for x in r["longest"]] == maximal(texts[r["doc_id"]], items)
+
+
+def test_passes_run_one_worker(spark):
+    texts, items = tables()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = decontam.matches(docs(spark, plain(list(enumerate(texts)))), bench, block_bytes=100)
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1

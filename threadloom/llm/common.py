@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side may be broadcast when it has at most this many rows of a few machine words each.
@@ -19,12 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a local session (one JVM) takes a folder below its warehouse, and a cluster raises an error.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="threadloom-")
-        sc.setCheckpointDir(root)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/threadloom-checkpoints")
         root = sc.getCheckpointDir()
     return root.rstrip("/")
 
@@ -51,6 +54,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Chain:
+    """Tables that follow one another, each made from the one before: when one is written, the one before goes."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.path = spark, label, ""
+
+    def put(self, df: DataFrame) -> DataFrame:
+        before, self.path = self.path, shared_path(self.spark, self.label)
+        df.write.parquet(self.path)
+        if before:
+            remove_path(self.spark, before)
+        return self.spark.read.schema(df.schema).parquet(self.path)
+
+
 def sized(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``side`` with a broadcast hint if it is known to be small, else as it is. ``side`` should be a written table: it is counted."""
     return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
@@ -62,7 +79,14 @@ def sized_texts(side: DataFrame, *columns: str) -> DataFrame:
     return F.broadcast(side) if total <= BROADCAST_BYTES else side
 
 
-def without_ids(df: DataFrame, id_col: str, drops: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose id is not in the one-column table ``drops``. Null ids stay."""
-    gone = drops.select(F.col(drops.columns[0]).alias("__gone_id"))
-    return df.join(sized(gone), df[id_col] == F.col("__gone_id"), "left_anti")
+def digest_of(text_col: str) -> Column:
+    """What tells texts apart: the SHA-256 of the bytes; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+
+
+def without_rows(df: DataFrame, id_col: str, text_col: str, drops: DataFrame) -> DataFrame:
+    """Rows of ``df`` that aren't in ``drops(doc_id, digest)``: rows are the same where id and text are. Null ids equal each other."""
+    gone = drops.select(F.col("doc_id").alias("__gone_id"), F.col("digest").alias("__gone_digest")).distinct()
+    gone = written(gone, "gone")
+    same = df[id_col].cast("long").eqNullSafe(F.col("__gone_id")) & (digest_of(text_col) == F.col("__gone_digest"))
+    return df.join(sized(gone, BROADCAST_ROWS // 4), same, "left_anti")

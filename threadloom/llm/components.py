@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import written
+from threadloom.llm.common import Chain
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -20,9 +20,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, label: str = "edg
     planner can split; nothing is gathered on the driver but a count and a checksum. Rounds grow with the
     logarithm of the longest path. Null ends are ignored; an empty table gives an empty result.
     """
-    now = written(
-        edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u > v").distinct(), label
-    )
+    rounds = Chain(edges.sparkSession, label)
+    now = rounds.put(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u > v").distinct())
     before = _digest(now)
     while before[0]:
         # large star: a node's larger neighbours move to its smallest neighbour
@@ -40,7 +39,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, label: str = "edg
             .filter("u > v")
             .distinct()
         )
-        now = written(small, label)
+        now = rounds.put(small)
         after = _digest(now)
         if after == before:
             break

@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
 Each shard of documents (a run of about SHARD_WORDS words inside a task) gets a suffix array over its words.
-Every suffix of every benchmark item is then found by binary search, which gives its verbatim matches, how far
-they reach and where they lie. Words that no item has are one symbol that matches nothing, and suffixes
-that meet it too early to hold a window are left out of the array: they can't match.
+Every suffix of every benchmark item is searched in it by its first window; from each place that is found the match is followed as
+far as item and document agree, which gives the longest verbatim matches and where they lie. Words that no
+item has are one symbol that matches nothing, and suffixes that meet it too early to hold a window are left
+out of the array: they can't match.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import without_ids, written
+from threadloom.llm.common import Chain, digest_of, without_rows
 
 WINDOW_WORDS = 10
 #: Words of a shard, and bytes of benchmark text that are searched for in one pass.
@@ -27,6 +28,7 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 _ITEMS = pa.list_(pa.string())
+_LONGEST = pa.list_(pa.struct([("item", pa.string()), ("item_from", pa.int64()), ("from", pa.int64()), ("length", pa.int64())]))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -101,31 +103,36 @@ def search(symbols: np.ndarray, array: np.ndarray, patterns: np.ndarray, lengths
 
 @dataclass(frozen=True)
 class Suffixes:
-    """The suffixes of a block of items that begin a window: their windows, distinct, and which items have them."""
+    """The suffixes of a block of items that begin a window: their windows, distinct, and where in which items they stand."""
 
     symbol: dict[bytes, int]
     patterns: np.ndarray
     lengths: np.ndarray
-    items: list[list[str]]
+    places: list[list[tuple[int, int]]]
+    items: list[str]
+    texts: list[np.ndarray]
 
     @classmethod
     def of(cls, items: list[tuple[str, str]], window: int) -> Suffixes:
         symbol: dict[bytes, int] = {}
-        windows: dict[tuple, set[str]] = {}
-        for item, text in items:
-            seen = [symbol.setdefault(w, len(symbol) + 1) for w in words(text)]
+        windows: dict[bytes, list[tuple[int, int]]] = {}
+        texts = []
+        for number, (_, text) in enumerate(items):
+            seen = np.array([symbol.setdefault(w, len(symbol) + 1) for w in words(text)], np.int64)
+            texts.append(seen)
             size = min(window, len(seen))
-            for a in range(len(seen) - size + 1) if seen else []:
-                windows.setdefault(tuple(seen[a : a + size]), set()).add(item)
+            for a in range(len(seen) - size + 1) if size else []:
+                windows.setdefault(seen[a : a + size].tobytes(), []).append((number, a))
         patterns = np.zeros((len(windows), window), np.int64)
+        lengths = np.array([len(k) // 8 for k in windows], np.int64)
         for row, key in zip(patterns, windows, strict=True):
-            row[: len(key)] = key
-        return cls(symbol, patterns, np.array([len(k) for k in windows], np.int64), [sorted(v) for v in windows.values()])
+            row[: len(key) // 8] = np.frombuffer(key, np.int64)
+        return cls(symbol, patterns, lengths, list(windows.values()), [item for item, _ in items], texts)
 
 
 def shard_matches(symbols: np.ndarray, tests: Suffixes) -> Iterator[tuple[int, np.ndarray]]:
     """(window number, positions where it occurs) for the windows that occur in the shard."""
-    if not len(tests.items):
+    if not len(tests.places):
         return
     array = suffix_array(symbols, int(tests.lengths.min()), int(tests.lengths.max()))
     first, last = search(symbols, array, tests.patterns, tests.lengths)
@@ -133,6 +140,19 @@ def shard_matches(symbols: np.ndarray, tests: Suffixes) -> Iterator[tuple[int, n
         yield int(k), array[first[k] : last[k]]
 
 
+def reach(symbols: np.ndarray, at: int, text: np.ndarray, begin: int, known: int) -> int:
+    """How many symbols agree from these two places on, of which ``known`` are known to."""
+    n = known
+    most = min(len(symbols) - at, len(text) - begin)
+    while n < most:
+        part = min(most - n, 64)
+        differ = np.flatnonzero(symbols[at + n : at + n + part] != text[begin + n : begin + n + part])
+        if differ.size:
+            return n + int(differ[0])
+        n += part
+    return n
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -143,56 +163,70 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _scan(shard: list[tuple[np.ndarray, list, set]], tests: Suffixes) -> None:
-    """Adds to each document of a shard the spans and items that occur in it."""
-    starts = np.cumsum([0, *(len(s) + 1 for s, _, _ in shard)])
+def _scan(shard: list[tuple[np.ndarray, list, set, list]], tests: Suffixes) -> None:
+    """Adds to each document of a shard the spans, items and longest matches that occur in it."""
+    starts = np.cumsum([0, *(len(s) + 1 for s, *_ in shard)])
     symbols = np.zeros(int(starts[-1]), np.int64)
-    for a, (s, _, _) in zip(starts, shard, strict=False):
+    for a, (s, *_) in zip(starts, shard, strict=False):
         symbols[a : a + len(s)] = s
     for k, positions in shard_matches(symbols, tests):
         doc = np.searchsorted(starts, positions, "right") - 1
         size = int(tests.lengths[k])
-        for d, p in zip(doc.tolist(), (positions - starts[doc]).tolist(), strict=True):
-            shard[d][1].append((p, p + size))
-            shard[d][2].update(tests.items[k])
+        for d, p, place in zip(doc.tolist(), (positions - starts[doc]).tolist(), positions.tolist(), strict=True):
+            _, spans, items, longest = shard[d]
+            spans.append((p, p + size))
+            before = int(symbols[place - 1]) if p else 0  # 0: no word, or one that no item has
+            for number, begin in tests.places[k]:
+                items.add(tests.items[number])
+                text = tests.texts[number]
+                if not (begin and before and text[begin - 1] == before):  # else it is inside a longer one
+                    longest.append((tests.items[number], begin, p, reach(symbols, place, text, begin, size)))
 
 
 def _pass(df: DataFrame, tests: Suffixes, last: bool) -> DataFrame:
+    more = [f.name for f in df.schema if f.name not in ("doc_id", "text", "n_words", "spans", "items", "longest")]
     kept = [] if last else ["text"]
-    schema = "doc_id long, " + ("" if last else "text string, ") + "n_words long, spans array<struct<a:long,b:long>>, items array<string>"
+    schema = "doc_id long, " + ("" if last else "text string, ") + "".join(f"{c} binary, " for c in more) + (
+        "n_words long, spans array<struct<a:long,b:long>>, items array<string>, longest array<struct<item:string,item_from:long,`from`:long,length:long>>"
+    )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = tests.symbol.get
         for batch in batches:
             names = batch.schema.names
-            begin, size, shard = 0, 0, []
+            begin, size, shard, counts = 0, 0, [], []
 
-            def settle(begin: int, shard: list) -> pa.RecordBatch:
-                _scan([(s, spans, items) for s, spans, items, _ in shard], tests)
+            def settle(begin: int, shard: list, counts: list) -> pa.RecordBatch:
+                _scan(shard, tests)
                 part = batch.slice(begin, len(shard))
+                found = [[dict(zip(("item", "item_from", "from", "length"), x, strict=True)) for x in sorted(longest)] for *_, longest in shard]
                 return pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        *(part.column(names.index(c)) for c in kept),
-                        pa.array([n for *_, n in shard], pa.int64()),
-                        pa.array([[{"a": a, "b": b} for a, b in _merged(spans)] for _, spans, _, _ in shard], _SPANS),
+                        *(part.column(names.index(c)) for c in (*kept, *more)),
+                        pa.array(counts, pa.int64()),
+                        pa.array([[{"a": a, "b": b} for a, b in _merged(spans)] for _, spans, *_ in shard], _SPANS),
                         pa.array([sorted(items) for _, _, items, _ in shard], _ITEMS),
+                        pa.array(found, _LONGEST),
                     ],
-                    ["doc_id", *kept, "n_words", "spans", "items"],
+                    ["doc_id", *kept, *more, "n_words", "spans", "items", "longest"],
                 )
 
+            def held(i: int, name: str) -> list:
+                return batch.column(names.index(name))[i].as_py() if name in names else []
+
             for i in range(batch.num_rows):
                 found = words(batch.column(1)[i].as_py())
                 symbols = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
-                spans = [(x["a"], x["b"]) for x in batch.column(names.index("spans"))[i].as_py() or []] if "spans" in names else []
-                items = set(batch.column(names.index("items"))[i].as_py() or []) if "items" in names else set()
-                shard.append((symbols, spans, items, len(found)))
+                longest = [(x["item"], x["item_from"], x["from"], x["length"]) for x in held(i, "longest")]
+                shard.append((symbols, [(x["a"], x["b"]) for x in held(i, "spans")], set(held(i, "items")), longest))
+                counts.append(len(found))
                 size += len(found)
                 if size >= SHARD_WORDS:
-                    yield settle(begin, shard)
-                    begin, size, shard = i + 1, 0, []
+                    yield settle(begin, shard, counts)
+                    begin, size, shard, counts = i + 1, 0, [], []
             if shard:
-                yield settle(begin, shard)
+                yield settle(begin, shard, counts)
 
     return df.mapInArrow(work, schema)
 
@@ -206,27 +240,33 @@ def matches(
     item_text_col: str = "text",
     window: int = WINDOW_WORDS,
     block_bytes: int = BLOCK_BYTES,
+    digests: bool = False,
 ) -> DataFrame:
-    """(doc_id, n_words, spans, items), one row per input row of ``docs``.
+    """(doc_id, n_words, spans, items, longest), one row per input row of ``docs``.
 
-    spans: the longest verbatim matches as word ranges [a, b), merged where they touch; items: ids, as strings
-    and sorted, of the items with a window in the document. A window is ``window`` consecutive words of an item, the whole
+    spans: the word ranges [a, b) that windows of items cover, merged where they touch; items: ids, as strings
+    and sorted, of the items with a window in the document; longest: the verbatim matches of at least a window that can't be made longer
+    on either side, as (item, word of the item, word of the document, words). A window is ``window`` consecutive words of an item, the whole
     of a shorter item; items and documents without words match nothing, null texts have no words. Null item ids
     are the text ``null``. Repeated rows give repeated rows. Empty tables are taken as they are;
-    further columns are not read.
+    further columns are not read. ``digests`` adds the digest of the text.
 
-    Benchmarks of more than ``block_bytes`` go in blocks by a hash of item and text, a pass over the documents for each; the driver and
-    each task hold one block at a time.
+    Benchmarks of more than ``block_bytes`` go in blocks by a hash of item and text, a pass over the documents for each, written to
+    the shared folder in between; the driver and each task hold one block at a time.
     """
     test = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")
     )
     total = test.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    more = [digest_of(text_col).alias("digest")] if digests else []
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    passes = Chain(docs.sparkSession, "decontamination-pass")
     for k in range(blocks):
         part = test.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else test
         df = _pass(df, Suffixes.of(sorted((r["item"], r["text"]) for r in part.collect()), window), k == blocks - 1)
+        if k < blocks - 1:
+            df = passes.put(df)
     return df
 
 
@@ -243,7 +283,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window. All columns stay."""
-    found = matches(docs, benchmark, id_col=id_col, **options)
-    return without_ids(docs, id_col, written(found.filter(F.size("spans") > 0).select("doc_id"), "contaminated"))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark window. All columns stay.
+
+    The verdict is on rows: of rows that share an id each goes by its own text, null ids included; repeated rows go or stay
+    together. Null and empty texts stay, and so does everything where the benchmark is empty.
+    """
+    found = matches(docs, benchmark, id_col=id_col, text_col=text_col, digests=True, **options)
+    return without_rows(docs, id_col, text_col, found.filter(F.size("spans") > 0).select("doc_id", "digest"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import without_ids, written
+from threadloom.llm.common import digest_of, without_rows
 
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
@@ -166,8 +166,11 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     return sorted((r["lang"], r["excerpt"]) for r in rows.limit(limit).collect())
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score), one row per input row. Null texts and texts without a letter: ``und`` with score 0."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score), one row per input row. Null texts and texts without a letter: ``und`` with score 0.
+
+    ``digests`` adds the digest of the text, so that a row can be told from others with its id.
+    """
 
     def scored(texts: list[str | None], has: list[bool]) -> tuple[list[str], np.ndarray]:
         names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -200,12 +203,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 names, score = scored(part.column(1).to_pylist(), part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(names, pa.string()), pa.array(score), *part.columns[3:]], ["doc_id", "lang_pred", "score", *part.schema.names[3:]]
+                )
 
     letters = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), letters.alias("letters")).mapInArrow(
-        work, "doc_id long, lang_pred string, score double"
-    )
+    more = [digest_of(text_col).alias("digest")] if digests else []
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), letters.alias("letters"), *more)
+    return own.mapInArrow(work, "doc_id long, lang_pred string, score double" + ", digest binary" * digests)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -220,7 +225,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
-    """``docs`` without those whose language is unknown or scored below ``least``. All columns stay."""
-    found = identify(docs, id_col, text_col, lang_col)
-    drops = written(found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id"), "langid-drops")
-    return without_ids(docs, id_col, drops)
+    """``docs`` without those whose language is unknown or scored below ``least``. All columns stay.
+
+    The verdict is on rows: of rows that share an id each goes by its own text, null ids included; repeated rows go or stay
+    together. Null and empty texts go. An empty table gives an empty result.
+    """
+    model = fit(training_sample(docs, id_col, text_col, lang_col))
+    found = predict(docs, model, id_col, text_col, digests=True)
+    return without_rows(docs, id_col, text_col, found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id", "digest"))

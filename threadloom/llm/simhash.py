@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import without_ids, written
+from threadloom.llm.common import digest_of, without_rows, written
 from threadloom.llm.components import connected_components
 
 SEED = 42
@@ -52,17 +52,19 @@ def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int
     return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): one row per input row; fp holds the 64 bits as a signed long."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = SHINGLE_WORDS, digests: bool = False
+) -> DataFrame:
+    """(doc_id, fp): one row per input row; fp holds the 64 bits as a signed long. ``digests`` adds the digest of the text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), words_per_shingle) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        work, "doc_id long, fp long"
-    )
+    more = [digest_of(text_col).alias("digest")] if digests else []
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return own.mapInArrow(work, "doc_id long, fp long" + ", digest binary" * digests)
 
 
 class _Forest:
@@ -168,29 +170,31 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, stratum_rows: int = STRAT
     """(u, v): links among distinct fingerprints ``nodes(fp)`` that keep every component within ``radius`` bits.
 
     The driver sees 65 counts. A stratum of more than ``stratum_rows`` is cut by hash, so a task holds two
-    bounded blocks; each block goes to the tasks of the strata it can reach and to no others.
+    bounded blocks; each block goes to the tasks of the strata it can reach and to no others, which rows work out for themselves.
     """
     sizes = {r["pc"]: r["n"] for r in nodes.groupBy(F.bit_count("fp").alias("pc")).agg(F.count("*").alias("n")).collect()}
-    cut = {pc: -(-n // stratum_rows) for pc, n in sizes.items()}
-    blocks = [(pc, c) for pc in sorted(cut) for c in range(cut[pc])]
     spark = nodes.sparkSession
-    sends = [
-        (*block, i, j, int(block == blocks[j]))
-        for i in range(len(blocks))
-        for j in range(i, len(blocks))
-        if blocks[j][0] - blocks[i][0] <= radius
-        for block in dict.fromkeys((blocks[i], blocks[j]))
-    ]
-    if not sends:
+    if not sizes:
         return spark.createDataFrame([], "u long, v long")
-    where = spark.createDataFrame(sends, "pc int, cut int, i int, j int, side int")
-    cuts = spark.createDataFrame(list(cut.items()), "pc int, cuts int")
-    dealt = (
+    cuts = {pc: -(-n // stratum_rows) for pc, n in sizes.items()}
+    # a block's number is the blocks of smaller strata and its cut; the blocks that a stratum can reach are one range on either side
+    first, done = {}, 0
+    for pc in sorted(cuts):
+        first[pc] = done
+        done += cuts[pc]
+    near = {pc: [x for x in cuts if abs(x - pc) <= radius] for pc in cuts}
+    strata = spark.createDataFrame(
+        [(pc, cuts[pc], first[pc], first[min(near[pc])], first[max(near[pc])] + cuts[max(near[pc])] - 1) for pc in cuts],
+        "pc int, cuts int, first int, low int, high int",
+    )
+    own = (
         nodes.select("fp", F.bit_count("fp").alias("pc"))
-        .join(F.broadcast(cuts), "pc")
-        .withColumn("cut", F.expr("cast(pmod(xxhash64(fp), cuts) as int)"))
-        .join(F.broadcast(where), ["pc", "cut"])
-        .select("i", "j", "side", "fp")
+        .join(F.broadcast(strata), "pc")
+        .withColumn("block", F.col("first") + F.expr("cast(pmod(xxhash64(fp), cuts) as int)"))
+    )
+    other = F.explode(F.sequence("low", "high")).alias("other")
+    dealt = own.select("fp", "block", other).select(
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") != F.least("block", "other")).cast("int").alias("side"), "fp"
     )
 
     def compare(key: tuple, part: pa.Table) -> pa.Table:
@@ -218,17 +222,39 @@ def near_groups(
     the others; a component of null ids only has a null id. Repeated rows give repeated rows. An empty
     table gives an empty result; further columns of the input are not read.
     """
-    prints = written(fingerprints(docs, id_col, text_col, words_per_shingle), "simhash")
-    by_print = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    roots = connected_components(near_links(by_print.select("fp"), radius), "u", "v", "simhash-links")
-    placed = by_print.join(roots, by_print.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    prints, placed = _placed(docs, id_col, text_col, words_per_shingle, radius, False)
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     known = placed.join(lows, "root").select("fp", "component_id")
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the smallest id. All columns stay."""
-    groups = near_groups(docs, id_col, text_col, **options)
-    drops = written(groups.filter("doc_id <> component_id").select("doc_id"), "simhash-drops")
-    return without_ids(docs, id_col, drops)
+def _placed(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int, radius: int, digests: bool) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of all rows, (fp, low, root) of the distinct ones: smallest id and component)."""
+    prints = written(fingerprints(docs, id_col, text_col, words_per_shingle, digests), "simhash")
+    by_print = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
+    roots = connected_components(near_links(by_print.select("fp"), radius), "u", "v", "simhash-links")
+    return prints, by_print.join(roots, by_print.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS
+) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the one with the smallest id. All columns stay.
+
+    Rows with a null id stay only where their whole group has none. Of rows of a group that share the smallest id the one with
+    the smallest digest of its text stays, of rows that repeat both any one. Null and empty texts are a group, of one row with the
+    others of fingerprint zero. An empty table gives an empty result.
+    """
+    prints, placed = _placed(docs, id_col, text_col, words_per_shingle, radius, True)
+    rows = prints.join(placed.select("fp", "root"), "fp").select("doc_id", "digest", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest"))
+    keeps = rows.groupBy("root").agg(first.alias("k"), F.count("*").alias("n")).select(
+        F.col("root").alias("of"), F.col("k.id").alias("keep_id"), F.col("k.digest").alias("keep_digest")
+    )
+    own = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest"))
+    told = written(rows.join(keeps, F.col("root") == F.col("of")).select("doc_id", "digest", own.alias("stays")), "simhash-told")
+    left = without_rows(docs, id_col, text_col, told.filter("not stays"))
+    kept = told.filter("stays").agg(F.count("*").alias("n"), F.count_distinct("digest", F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull()).alias("d")).first()
+    if kept["n"] == kept["d"]:
+        return left
+    return left.withColumn("__digest", digest_of(text_col)).dropDuplicates([id_col, "__digest"]).drop("__digest")
