@@ -61,3 +61,40 @@ def test_stream_goes_on(spark):
 def test_main_path_is_native(spark):
     plan = exact.exact_groups(docs(spark, plain(ROWS)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def by_row(df):
+    return sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in df.collect())
+
+
+def told(rows, every=None):
+    groups = defaultdict(list)
+    for i, t in every or rows:
+        groups[t or ""].append(i)
+    keep = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    return sorted((str(i), str(keep[t or ""]), len(groups[t or ""]), i == keep[t or ""]) for i, t in rows)
+
+
+def test_ingests_add_up(spark):
+    state = shared_path(spark, "state")
+    first, second, third = [(1, "a"), (2, "b"), (3, "b"), (4, None)], [(9, "a"), (5, "c"), (None, "b"), (6, "")], [(7, "c"), (8, "d")]
+    assert by_row(exact.ingest(docs(spark, plain(first)), state, "one")) == told(first)
+    assert by_row(exact.ingest(docs(spark, plain(second)), state, "two")) == told(second, first + second)
+    assert by_row(exact.ingest(docs(spark, plain(second)), state, "two")) == told(second, first + second)  # again after a failure: nothing counts twice
+    assert by_row(exact.ingest(docs(spark, []), state, "none")) == []
+    got = exact.ingest(docs(spark, plain(third)), state, "three")
+    assert by_row(got) == told(third, first + second + third)
+    located = {r["doc_id"]: r["locator"] for r in got.collect()}
+    assert "/content/two/" in located[7] and located[8] is None  # the text came first in the second ingest
+    assert by_row(exact.ingested(spark, state)) == told(first + second + third)
+
+
+def test_digest_clash_across_ingests(spark, monkeypatch):
+    monkeypatch.setattr(exact, "_digest", lambda c: F.unhex(F.lpad(F.hex(F.length(F.coalesce(F.col(c), F.lit("")))), 64, "0")))
+    state = shared_path(spark, "state")
+    parts = [[(1, "ab"), (2, "xyz")], [(3, "cd")], [(4, "ab"), (5, "xyz"), (6, "ef")]]
+    seen = []
+    for n, part in enumerate(parts):
+        seen += part
+        assert by_row(exact.ingest(docs(spark, plain(part)), state, f"p{n}")) == told(part, seen)
+    assert by_row(exact.ingested(spark, state)) == told(seen)

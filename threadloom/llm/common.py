@@ -46,6 +46,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
