@@ -62,3 +62,57 @@ def test_rewrite(spark, tmp_path):
         if path not in old.values():
             ids = {r["doc_id"] for r in spark.read.parquet(path).collect()}
             assert ids == {r["doc_id"] for r in placed.filter(f"shard = {s}").collect()}
+
+
+def test_given_layout(spark, tmp_path):
+    d = docs(spark, plain([(i, f"text {i} " * (1 + i % 7)) for i in range(400)]))
+    files = spark.read.parquet(*[(d.filter(f"doc_id % 5 = {k}").coalesce(1).write.parquet(str(tmp_path / str(k))), str(tmp_path / str(k)))[1] for k in range(5)])
+    laid = reshard.file_layout(files)
+    own = {r["doc_id"]: r["__old_shard"] for r in laid.collect()}
+    assert len(own) == 400 and len(set(own.values())) == 5
+    before = Counter()
+    for r in d.collect():
+        before[own[r["doc_id"]]] += len(r["text"]) + 8
+    for together in (True, False):
+        got = reshard.reshard(laid, shards=4, blocks_per_shard=64, old_col="__old_shard", together=together).collect()
+        assert {r["doc_id"]: r["old_shard"] for r in got} == own
+        sizes, moved = Counter(), 0
+        for r in got:
+            sizes[r["shard"]] += r["size"]
+            moved += r["size"] * (r["shard"] != r["old_shard"])
+        total = sum(sizes.values())
+        assert set(sizes) == set(range(4)) and max(sizes.values()) - min(sizes.values()) < 0.1 * total / 4
+        if not together:  # what lies above the new capacity has to move, and little more does
+            assert moved < 1.15 * sum(max(0, n - (total / 4 if s < 4 else 0)) for s, n in before.items()) + 200
+
+
+def test_equal_texts_stay_together(spark):
+    r = random.Random(2)
+    texts = [f"t{r.randint(0, 300)} " * 5 for _ in range(3000)] + ["hot text " * 3] * 900 + ["hotter " * 9] * 3000
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = reshard.reshard(docs(spark, plain(rows)), shards=6, blocks_per_shard=4).collect()
+    sizes, where = Counter(), defaultdict(set)
+    for x in got:
+        sizes[x["shard"]] += x["size"]
+        where[texts[x["doc_id"]]].add(x["shard"])
+    share = sum(sizes.values()) / 6
+    groups = Counter()
+    for t in texts:
+        groups[t] += len(t) + 8
+    assert all(len(where[t]) == 1 for t, n in groups.items() if n <= share) and len(where["hotter " * 9]) > 1
+    assert max(sizes.values()) - min(sizes.values()) < 0.1 * share
+    slots = defaultdict(list)
+    for x in got:
+        slots[x["shard"]].append(x["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_rewrite_repeated_and_null_ids(spark, tmp_path):
+    rows = [(i % 7, f"x{i % 3}") for i in range(60)] + [(None, "n")] * 5 + [(None, None)] * 3
+    d = docs(spark, plain(rows))
+    placed = reshard.reshard(d, shards=3, blocks_per_shard=8)
+    paths = reshard.rewrite_affected(d, placed, {}, str(tmp_path / "new"), file_rows=10)
+    new = [r for p in paths.values() for r in spark.read.parquet(p).collect()]
+    assert Counter((r["doc_id"], r["text"]) for r in new) == Counter(rows)
+    assert new and spark.read.parquet(paths[0]).columns == d.columns

@@ -39,7 +39,7 @@ def op9_exact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = reshard.reshard(table(spark, sf_dir, "documents"), shards=24)
+    placed = reshard.reshard(reshard.file_layout(table(spark, sf_dir, "documents")), shards=24, old_col="__old_shard")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

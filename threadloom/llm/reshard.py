@@ -1,9 +1,9 @@
 """Resharding by minimum-cost flow over blocks of a corpus.
 
-Documents form blocks by a hash of their text, so equal texts lie together unless their block is too large
-and is cut by id. Block sizes are few and bounded whatever the corpus holds; from them the driver solves a
-flow from old shard sizes to new capacities that moves the fewest bytes, picks blocks that make the
-transfers up, and evens out what is left. Only shards that gave or got a block are rewritten.
+Documents form blocks by a hash of their text, so equal texts lie together; a text whose copies fill more than a few blocks is a
+block of its own, and only one that is larger than a shard is cut by id. Block sizes are few and bounded
+whatever the corpus holds; from them the driver solves a flow from old shard sizes to new capacities that moves the fewest bytes, picks
+blocks that make the transfers up, and evens out what is left. Only shards that gave or got rows are rewritten.
 """
 
 from __future__ import annotations
@@ -16,11 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from threadloom.llm.common import written
+from threadloom.llm.common import sized, written
 
 BLOCKS_PER_SHARD = 1024
-#: A block larger than a shard's share over the first is cut into pieces of a share over the second.
-CUT_ABOVE, CUT_INTO = 4, 64
+#: A text whose rows are larger than so many average blocks is a block of its own, numbered in pieces of a 64th of a shard's share.
+HOT_BLOCKS, CUT_INTO = 8, 64
+#: Old shards are told apart up to so many; files beyond that share one.
+MAX_OLD = 1024
+#: Rows of a file that ``rewrite_affected`` writes.
+FILE_ROWS = 1_000_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -81,7 +85,7 @@ class Block:
     key: tuple
     old: int
     size: int
-    rows: int
+    rows: int = 0
 
 
 def _even_out(held: list[dict[tuple, Block]], totals: list[float], rounds: int) -> None:
@@ -143,70 +147,117 @@ def plan_transfers(blocks: list[Block], shards: int, weights: list[float] | None
     return {key: j for j, x in enumerate(held) for key in x}
 
 
+def file_layout(docs: DataFrame) -> DataFrame:
+    """``docs`` with the column __old_shard: the number of the file that a row lies in, files in order of their names.
+
+    Rows that come from no file form one shard. Beyond MAX_OLD files, those with the same number modulo MAX_OLD share one.
+    """
+    named = docs.withColumn("__file", F.coalesce(F.input_file_name(), F.lit("")))
+    files = [r["f"] for r in named.select(F.col("__file").alias("f")).distinct().orderBy("f").limit(MAX_OLD * 1024).collect()]
+    numbers = docs.sparkSession.createDataFrame([(f, n % MAX_OLD) for n, f in enumerate(files)], "__file string, __old_shard int")
+    return named.join(F.broadcast(numbers), "__file").drop("__file")
+
+
 def reshard(
     docs: DataFrame,
     shards: int = 24,
     id_col: str = "doc_id",
     text_col: str = "text",
     blocks_per_shard: int = BLOCKS_PER_SHARD,
+    old_col: str | None = None,
+    together: bool = True,
 ) -> DataFrame:
     """(doc_id, size, text_crc32, old_shard, shard, slot), one row per input row.
 
-    Old shards hold blocks by hash, block number modulo ``shards``. A block larger than a quarter of a
-    shard is cut by a hash of ids into pieces of about a 64th of a shard; other blocks, and so the equal texts in
-    them, stay whole. Slots count from 0 in each shard, in order of block and id.
+    ``old_col`` holds the number of the shard that a row lies in now, from 0; without it rows lie in the shard that their block's
+    number modulo ``shards`` says. A null counts as 0. With ``together`` equal texts go to one shard (a text that is larger than a shard's
+    share is cut by a hash of ids), wherever they lay; without it only whole blocks of one old shard move, and fewer bytes. Slots
+    count from 0 in each shard, in order of block and id.
     Null texts have no bytes; null ids come first in their block; repeated rows get slots of their own. An
     empty table gives an empty result; further columns are not read.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     n_blocks = shards * blocks_per_shard
+    hashed = F.xxhash64(text)
+    block = F.pmod(hashed, F.lit(n_blocks)).cast("int")
+    old = F.coalesce(F.col(old_col).cast("int"), F.lit(0)) if old_col else F.pmod(block, F.lit(shards))
     base = written(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
-            F.pmod(F.xxhash64(text), F.lit(n_blocks)).cast("int").alias("block"),
+            hashed.alias("hashed"),
+            block.alias("block"),
+            old.alias("old"),
         ),
         "shard-sizes",
     )
-    spark = docs.sparkSession
     sums = base.groupBy("block").agg(F.sum("size").alias("size")).collect()
-    share = max(1, sum(r["size"] for r in sums) // shards)
-    cuts = [(r["block"], -(-r["size"] * CUT_INTO // share)) for r in sums if r["size"] * CUT_ABOVE > share]
-    cut = spark.createDataFrame(cuts, "block int, cuts long")
-    fine = base.join(F.broadcast(cut), "block", "left").select(
+    total = sum(r["size"] for r in sums)
+    share, hot_size = max(1, total // shards), max(1, total * HOT_BLOCKS // n_blocks)
+    large = [(r["block"],) for r in sums if r["size"] > hot_size]
+    hot: list[tuple[int, int, int, int]] = []  # (hash of a text, number of its block, pieces, whether they may go to different shards)
+    if large:  # at most n_blocks / HOT_BLOCKS of them, and as many texts at most
+        inside = base.join(F.broadcast(spark.createDataFrame(large, "block int")), "block").groupBy("hashed").agg(F.sum("size").alias("size"))
+        for n, r in enumerate(inside.filter(F.col("size") > hot_size).orderBy("hashed").collect()):
+            hot.append((r["hashed"], n_blocks + n, -(-r["size"] * CUT_INTO // share), int(r["size"] > share)))
+    marks = spark.createDataFrame(hot, "hashed long, own int, cuts long, apart int")
+    fine = base.join(F.broadcast(marks), "hashed", "left").select(
         "doc_id",
         "size",
         "text_crc32",
-        "block",
+        "old",
+        F.coalesce("own", "block").alias("block"),
         F.when(F.col("cuts").isNotNull(), F.expr("pmod(xxhash64(doc_id), cuts)")).otherwise(0).cast("int").alias("cut"),
+        F.coalesce("apart", F.lit(0)).alias("apart"),
     )
-    stats = fine.groupBy("block", "cut").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    blocks = [Block((r["block"], r["cut"]), r["block"] % shards, r["size"], r["n"]) for r in stats]
+    # a piece is numbered by one task, a unit is placed as a whole: a block, a piece of a text that is too large, or a block of one old shard
+    stats = [r.asDict() for r in fine.groupBy("block", "cut", "apart", "old").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()]
+    units: dict[tuple, dict[int, int]] = {}
+    for r in stats:
+        r["unit"] = (r["block"], r["cut"] if r["apart"] else 0, -1 if together else r["old"])
+        held = units.setdefault(r["unit"], {})
+        held[r["old"]] = held.get(r["old"], 0) + r["size"]
+    blocks = [Block(k, max(sorted(held), key=held.__getitem__), sum(held.values())) for k, held in units.items()]
     placed = plan_transfers(blocks, shards)
-    filled = [0] * shards
-    where = []
-    for b in sorted(blocks, key=lambda b: b.key):
-        shard = placed[b.key]
-        where.append((*b.key, b.old, shard, filled[shard]))
-        filled[shard] += b.rows
-    places = spark.createDataFrame(where, "block int, cut int, old_shard int, shard int, first_slot long")
-    at = F.row_number().over(Window.partitionBy("block", "cut").orderBy("doc_id", "size", "text_crc32"))
+    filled, where = [0] * shards, []
+    for r in sorted(stats, key=lambda r: (r["unit"], r["cut"], r["old"])):
+        shard = placed[r["unit"]]
+        where.append((r["block"], r["cut"], r["old"], shard, filled[shard]))
+        filled[shard] += r["n"]
+    places = spark.createDataFrame(where, "block int, cut int, old int, shard int, first_slot long")
+    at = F.row_number().over(Window.partitionBy("block", "cut", "old").orderBy("doc_id", "size", "text_crc32"))
     return (
         fine.withColumn("at", at)
-        .join(F.broadcast(places), ["block", "cut"])
-        .select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first_slot") + F.col("at") - 1).cast("long").alias("slot"))
+        .join(sized(places), ["block", "cut", "old"])
+        .select("doc_id", "size", "text_crc32", F.col("old").alias("old_shard"), "shard", (F.col("first_slot") + F.col("at") - 1).cast("long").alias("slot"))
     )
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, old_paths: dict[int, str], out: str, id_col: str = "doc_id") -> dict[int, str]:
+def rewrite_affected(
+    docs: DataFrame, placed: DataFrame, old_paths: dict[int, str], out: str, id_col: str = "doc_id", text_col: str = "text", file_rows: int = FILE_ROWS
+) -> dict[int, str]:
     """Write anew the files of shards that gave or got documents; returns shard -> path, old paths where nothing changed.
 
     ``placed`` is the result of ``reshard``, ``old_paths`` where each old shard lies. Documents of other
-    shards are not written. Ids must be unique.
+    shards are not written. Rows are told by id, size and checksum, repeated ones by a running number, so every row is written
+    once, null ids included. A task writes ``file_rows`` slots of a shard, in their order.
     """
     moved = placed.filter("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
     affected = {r["s"] for r in moved.collect()} | {r["shard"] for r in placed.select("shard").distinct().collect() if r["shard"] not in old_paths}
-    new = placed.filter(F.col("shard").isin(sorted(affected))).select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    docs.join(new, docs[id_col] == F.col("__id")).drop("__id").repartition("__shard").sortWithinPartitions("__shard", "__slot").write.partitionBy("__shard").parquet(out)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keys = [F.col(id_col).cast("long").alias("__id"), (F.octet_length(text) + 8).cast("long").alias("__size"), F.crc32(text).alias("__crc")]
+    number = F.row_number().over(Window.partitionBy("__id", "__size", "__crc").orderBy("__size"))
+    of_slot = F.row_number().over(Window.partitionBy("doc_id", "size", "text_crc32").orderBy("shard", "slot")).alias("number")
+    rows = docs.select("*", *keys).withColumn("__number", number)
+    new = placed.select("doc_id", "size", "text_crc32", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"), of_slot).filter(
+        F.col("__shard").isin(sorted(affected))
+    )
+    same = F.col("__id").eqNullSafe(F.col("doc_id_2")) & (F.col("__size") == F.col("size_2")) & (F.col("__crc") == F.col("text_crc32")) & (F.col("__number") == F.col("number"))
+    new = new.withColumnsRenamed({"doc_id": "doc_id_2", "size": "size_2"})
+    rows = rows.withColumnsRenamed({c: f"__own_{n}" for n, c in enumerate(docs.columns)})
+    both = rows.join(new, same).select(*(F.col(f"__own_{n}").alias(c) for n, c in enumerate(docs.columns)), "__shard", "__slot")
+    part = F.floor(F.col("__slot") / file_rows)
+    both.repartition("__shard", part).sortWithinPartitions("__shard", "__slot").drop("__slot").write.partitionBy("__shard").parquet(out)
     return {**{s: p for s, p in old_paths.items() if s not in affected}, **{s: f"{out}/__shard={s}" for s in affected}}
