@@ -2,7 +2,8 @@
 
 All templates go into one automaton over words. A file streams through it word by word, which gives at each
 word the longest stretch ending there that some template holds. Base phrases are found where a stretch ends
-with them; long stretches are chained, in the order of a template, into the span of it that the file covers.
+with them; long stretches are chained, in the order of a template, into the span of it that the file covers. Of templates that cover
+the same place the one that is covered best gives its label.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.licence_texts import LICENCE_TEXTS
+
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 # Phrases that name a licence.
@@ -24,39 +27,6 @@ BASE_PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Customary wording of public licences and of notices that refer to them.
-TEMPLATES = {
-    "agpl": ["licensed under the gnu affero general public license"],
-    "apache": [
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
-        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
-        "without warranties or conditions of any kind either express or implied"
-    ],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
-        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
-    ],
-    "cc-by": [
-        "this work is licensed under a creative commons attribution 4 0 international license",
-        "licensed under cc by 4 0",
-    ],
-    "cc-by-nc": ["licensed under cc by nc 4 0"],
-    "cc-by-sa": ["licensed under cc by sa 4 0"],
-    "gpl": [
-        "this work is licensed under the gnu general public license version 3",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
-        "as published by the free software foundation either version 3 of the license or at your option any later version",
-    ],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "lgpl": ["under the terms of the gnu lesser general public license as published by the free software foundation"],
-    "mit": [
-        "released under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
-        "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
-        "distribute sublicense and or sell copies of the software",
-    ],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-}
 #: Stretches of so many words, or of a whole shorter template, are chained; a chain that covers this share of its template gives a label.
 LONG, COVER, GAP = 4, 0.75, 12
 
@@ -65,6 +35,10 @@ def words(text: str | None) -> list[bytes]:
     return _WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
 
 
+#: The texts of licences and notices as words, single spaces between.
+TEMPLATES = {label: [" ".join(w.decode() for w in words(text)) for text in texts] for label, texts in LICENCE_TEXTS.items()}
+
+
 class Automaton:
     """Generalised suffix automaton; symbols are numbers from 1 on."""
 
@@ -138,10 +112,26 @@ class Scanner:
                         up = self.automaton.link[up]
                     if up == own:
                         self.phrases[s].append((len(sequence), number))
+        #: of each phrase the share that it is of the shortest template that has it and its label
+        self.phrase_share = {}
+        for number, sequence in enumerate(sequences):
+            if self.base[number]:
+                n = len(sequence)
+                holders = [
+                    len(other)
+                    for k, other in enumerate(sequences)
+                    if not self.base[k] and self.labels[k] == self.labels[number] and any(other[i : i + n] == sequence for i in range(len(other) - n + 1))
+                ]
+                self.phrase_share[number] = n / min(holders) if holders else 1.0
+        self.shortest = min((n for n, base in zip(self.sizes, self.base, strict=True) if not base), default=LONG)
         self.least = min((n for n, base in zip(self.sizes, self.base, strict=True) if base), default=1)
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[tuple[str, int, int, float]]]:
         """(number of words, base hits as (first word, sequence), covered spans as (label, from, to, share))."""
+        return self.read(text)[:3]
+
+    def read(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[tuple[str, int, int, float]], float]:
+        """``scan``, and the score: the largest share of any template that the text covers, phrases included."""
         found = words(text)
         symbols = np.fromiter(map(self.symbol.get, found, (0 for _ in found)), np.int64, len(found)) if found else np.zeros(0, np.int64)
         hits: list[tuple[int, int]] = []
@@ -153,7 +143,8 @@ class Scanner:
             wide = tails - heads >= self.least
             for a, b in zip(heads[wide].tolist(), tails[wide].tolist(), strict=True):
                 self._stream(symbols[a:b].tolist(), a, hits, long)
-        return len(found), hits, self._chain(long)
+        spans, score = self._chain(long)
+        return len(found), hits, spans, max([score, *{self.phrase_share[k] for _, k in hits}])
 
     def _stream(self, symbols: list[int], at: int, hits: list, long: list) -> None:
         """Matching statistics of a run of known words; keeps base hits and stretches that can't be made longer."""
@@ -177,16 +168,19 @@ class Scanner:
         if size > 1:
             long.append((at + len(symbols), size, state))
 
-    def _chain(self, long: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """The best chains of stretches (end, size, state) that follow one another in the same template.
+    def _chain(self, long: list[tuple[int, int, int]]) -> tuple[list[tuple[str, int, int, float]], float]:
+        """The best chains of stretches (end, size, state) that follow one another in the same template, and the largest share of one.
 
         Every stretch begins a chain or goes on with the best one before it in the text and in the template, and leaves that
-        one open for others. Between two stretches there may be GAP words, or a third of the template. Of chains of a template that
-        overlap the one that covers most stays.
+        one open for others. Between two stretches there may be GAP words, or a third of the template. Of chains that overlap by more
+        than half the one with the largest share stays, then the one that covers most words.
         """
         open_: dict[int, list[tuple[int, int, int, int]]] = {}  # sequence -> (from, to, template end, covered words)
-        full: dict[int, list[tuple[int, int, int, int]]] = {}
+        full: list[tuple[float, int, int, int, int]] = []
+        best = 0.0
         for end, size, state in long:
+            if size < min(LONG, self.shortest):
+                continue
             for number, to in self.automaton.ends[state]:
                 if self.base[number]:
                     continue
@@ -200,23 +194,22 @@ class Scanner:
                     if before < to and b < end and covered + min(n, to - before, end - b) > made[3]:
                         made = (a, end, to, covered + min(n, to - before, end - b))
                 chains.append(made)
-                if made[3] / self.sizes[number] >= COVER:
-                    full.setdefault(number, []).append(made)
+                share = made[3] / self.sizes[number]
+                best = max(best, share)
+                if share >= COVER:
+                    full.append((share, made[3], made[0], made[1], number))
         done: list[tuple[str, int, int, float]] = []
-        for number, chains in full.items():
-            taken: list[tuple[int, int]] = []
-            for a, b, _, covered in sorted(chains, key=lambda c: (-c[3], c[1] - c[0], c[0])):
-                if all(b <= x or a >= y for x, y in taken):
-                    taken.append((a, b))
-                    done.append((self.labels[number], a, b, min(1.0, covered / self.sizes[number])))
-        return sorted(done, key=lambda t: t[1:])
+        for share, _, a, b, number in sorted(full, key=lambda c: (-min(c[0], 1.0), -c[1], c[3] - c[2], c[2], c[4])):
+            if all(2 * (min(b, y) - max(a, x)) <= min(b - a, y - x) for _, x, y, _ in done):
+                done.append((self.labels[number], a, b, min(1.0, share)))
+        return sorted(done, key=lambda t: t[1:]), min(1.0, best)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scanner: Scanner | None = None) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans), one row per input row.
 
-    spans: (label, from, to, share) of the templates that are covered, as word ranges [from, to). score: 1 where a base
-    phrase stands, else the largest share. Null and empty texts have no words, no labels (empty strings) and score 0. Repeated
+    spans: (label, from, to, share) of the templates that are covered, as word ranges [from, to). score: the largest share of a
+    template that is covered, from a phrase alone (which is part of one) to a whole licence text. Null and empty texts have no words, no labels (empty strings) and score 0. Repeated
     rows give repeated rows; an empty table gives an empty result; further columns are not read.
     """
     scanner = scanner or Scanner()
@@ -238,11 +231,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scanne
                 part = batch.slice(a, 1024)
                 out = []
                 for text in part.column(1):
-                    n, hits, spans = scanner.scan(text.as_py())
+                    n, hits, spans, score = scanner.read(text.as_py())
                     base = {scanner.labels[k] for _, k in hits}
                     both = base | {label for label, *_ in spans}
                     starts = [s for s, _ in hits]
-                    score = 1.0 if hits else max((share for *_, share in spans), default=0.0)
                     out.append(
                         (
                             n,

@@ -58,7 +58,7 @@ def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
+    return licences.scan(table(spark, sf_dir, "documents"))
 
 
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
