@@ -2,7 +2,7 @@
 
 A conversion record holds the visible text of a response's HTML; a metadata record holds the source's record and
 HTTP headers. Both refer to the response by WARC-Refers-To, its target and its date, and name each other
-by WARC-Concurrent-To. Digests are kept from the source where it has them, and made where not.
+by WARC-Concurrent-To. Chunked and compressed payloads are decoded first. Digests are kept from the source where it has them, and made where not.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ _HIDDEN = re.compile(
 )
 _LINE = re.compile(r"</?(?:" + _LINE_TAGS + r")\b[^>]*>", re.I)
 _TAG = re.compile(r"<(?:/?[a-zA-Z]|[!?])[^>]*>?")
+_GAP = re.compile(rb"\r?\n\r?\n")
 
 
 def digest(data: bytes) -> str:
@@ -100,7 +101,7 @@ def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
         data = out.getvalue()
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
-        end = re.compile(rb"\r?\n\r?\n").search(data, at)
+        end = _GAP.search(data, at)
         if not end:
             return
         named = fields(data[at : end.start()].decode("utf-8", "replace"))
@@ -110,18 +111,50 @@ def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
         at = stop
 
 
+#: What stands between the records of a file; the first record begins with the end of it.
+_BETWEEN = "\r\n\r\nWARC/1."
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files at a path, as RECORD. A file is a task's unit; files are customarily about a gigabyte."""
+    """Records of the WARC files at a path, as RECORD, read as a stream: a task holds a record at a time, whatever the file's size.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                for named, block in parse(content.as_py()):
-                    row = [field(named, "WARC-Record-ID")], [field(named, "WARC-Type")], [[{"name": n, "value": v} for n, v in named]], [block]
-                    kinds = pa.string(), pa.string(), _HEADERS, pa.binary()
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["record_id", "warc_type", "headers", "block"])
+    Spark's text source opens gzip members one after another and cuts the stream where a record begins; a block that holds such a place
+    itself is put together again by its Content-Length. Uncompressed files are read in splits; there a block that holds the beginning of
+    a record just at the border of a split is cut short. A record that is cut off at the end of a file gives what there
+    is of its block; headers without a length have an empty block; an empty file gives no record.
+    """
+    lines = spark.read.option("lineSep", _BETWEEN).text(path).select(F.col("value").cast("binary").alias("part"), F.input_file_name().alias("file"))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, RECORD)
+    def batch(found: list[tuple[list[tuple[str, str]], bytes]]) -> pa.RecordBatch:
+        rows = [(field(n, "WARC-Record-ID"), field(n, "WARC-Type"), [{"name": k, "value": v} for k, v in n], block) for n, block in found]
+        columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), _HEADERS, pa.binary()), strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["record_id", "warc_type", "headers", "block"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = b"", None
+        for some in batches:
+            for part, file in zip(some.column(0), some.column(1).to_pylist(), strict=True):
+                data = part.as_py() or b""
+                if held and file == of:
+                    held += _BETWEEN.encode() + data
+                else:
+                    if held:
+                        yield from map(lambda r: batch([r]), parse(held))
+                    held, of = data if data.startswith(b"WARC/") else b"WARC/1." + data, file
+                if whole(held):
+                    yield from map(lambda r: batch([r]), parse(held))
+                    held = b""
+        if held:
+            yield from map(lambda r: batch([r]), parse(held))
+
+    return lines.mapInArrow(work, RECORD)
+
+
+def whole(data: bytes) -> bool:
+    """Whether the one record that this begins with has all of its block."""
+    end = _GAP.search(data)
+    size = field(fields(data[: end.start()].decode("utf-8", "replace")), "Content-Length") or "0" if end else "0"
+    return not end or not size.isdigit() or len(data) - end.end() >= int(size)
 
 
 def page_responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -161,8 +194,43 @@ def page_responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 # -- derivatives ----------------------------------------------------------------------------------------------------
 
 
+def unchunked(data: bytes) -> bytes:
+    """A body without its chunk sizes. What doesn't follow the syntax ends it; a body that doesn't begin with a size is taken as it is."""
+    out, at = [], 0
+    while m := _CHUNK.match(data, at):
+        size = int(m[1], 16)
+        if not size:
+            break
+        out.append(data[m.end() : m.end() + size])
+        at = m.end() + size
+        if data[at : at + 2] == b"\r\n":
+            at += 2
+    return b"".join(out) if out or _CHUNK.match(data) else data
+
+
+_CHUNK = re.compile(rb"([0-9a-fA-F]{1,15})[ \t]*(?:;[^\r\n]*)?\r?\n")
+
+
+def decoded(payload: bytes, http: list[tuple[str, str]]) -> bytes:
+    """The payload without transfer and content coding (chunked; gzip, deflate). Bodies that are cut off give what can be read of
+    them, those that aren't coded as their headers say, and other codings, are taken as they are."""
+    if "chunked" in (field(http, "Transfer-Encoding") or "").lower():
+        payload = unchunked(payload)
+    for coding in reversed((field(http, "Content-Encoding") or "").lower().split(",")):
+        coding = coding.strip()
+        if coding in ("gzip", "x-gzip", "deflate"):
+            for bits in (47, -15):  # gzip or zlib by their heads; bare deflate
+                one = zlib.decompressobj(bits)
+                try:
+                    payload = one.decompress(payload) + one.flush()
+                    break
+                except zlib.error:
+                    continue
+    return payload
+
+
 def derive_one(headers: list[tuple[str, str]], block: bytes) -> list[tuple]:
-    """Metadata and conversion record of one response, as rows of DERIVED."""
+    """Metadata and conversion record of one response, as rows of DERIVED. The payload digest is of the stored form, codings included."""
     source = field(headers, "WARC-Record-ID") or f"<urn:sha1:{hashlib.sha1(block).hexdigest()}>"
     target, date = field(headers, "WARC-Target-URI"), field(headers, "WARC-Date")
     head, gap, payload = block.partition(b"\r\n\r\n")
@@ -172,13 +240,14 @@ def derive_one(headers: list[tuple[str, str]], block: bytes) -> list[tuple]:
     http = fields(rest)
     kind = field(http, "Content-Type") or ""
     charset = re.search(r"charset=[\"']?([\w.:-]+)", kind)
+    stored, payload = payload, decoded(payload, http)
     try:
         text = payload.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
         text = payload.decode("utf-8", "replace")
     is_html = "html" in kind.lower() or not kind and "<" in text
     lines = plain_text(text) if is_html else text if kind.startswith("text/") or not kind else ""
-    payload_digest = field(headers, "WARC-Payload-Digest") or digest(payload)
+    payload_digest = field(headers, "WARC-Payload-Digest") or digest(stored)
     ids = {k: derived_id(source, k) for k in ("metadata", "conversion")}
     about = [("source-" + n.lower(), v) for n, v in headers] + ([("http-status", status)] if status else []) + [("http-" + n.lower(), v) for n, v in http]
     bodies = {"metadata": ("application/warc-fields", "".join(f"{n}: {v}{CRLF}" for n, v in about)), "conversion": ("text/plain; charset=utf-8", lines)}
