@@ -178,3 +178,19 @@ def test_command_line(spark, roots, tmp_path, capsys):
     assert "sessions: 4" in capsys.readouterr().out
     run(["config"])
     assert json.loads(capsys.readouterr().out)["chunk_tokens"] == 512
+
+
+def test_contents_open_only_what_is_asked(spark, tmp_path):
+    """Files that aren't asked for may be unreadable: they aren't opened. Odd names are taken as they are."""
+    root = tmp_path / "r"
+    (root / "-w-x").mkdir(parents=True)
+    names = ["a.jsonl", "b{1}[c]*.jsonl", "c.jsonl"]
+    for n in names:
+        (root / "-w-x" / n).write_text('{"type":"user"}\n')
+    roots = {"claude": [str(root)], "codex": [], "pi": []}
+    found = transcripts.discover(spark, roots)
+    some = found.filter("path like '%b{1}%'")
+    read = transcripts.contents(spark, roots, some)
+    assert [r["path"].rpartition("/")[2] for r in read.collect()] == [names[1]]
+    assert len(read.inputFiles()) == 1
+    assert transcripts.contents(spark, roots, found.limit(0)).count() == 0

@@ -96,28 +96,29 @@ def normalize_whitespace(text: Column) -> Column:
 def clean_text(text: Column, provider: Column | None = None) -> Column:
     """Conversation text without escape codes, tagged blocks, provider preambles, tags and long runs of equal lines."""
     text = strip_tagged_blocks(F.regexp_replace(text, r"\x1B\[[0-9;]*m", ""))
-    if provider is not None:
-        text = F.when(provider == "codex", strip_codex_preamble(text)).otherwise(text)
+    if provider is not None:  # the text so far is a value of its own there: two branches would compute it twice
+        text = let(text, lambda t: F.when(provider == "codex", strip_codex_preamble(t)).otherwise(t))
     return normalize_whitespace(collapse_repeated_lines(F.regexp_replace(text, r"<[^>]+>", " ")))
 
 
 def is_noise(cleaned: Column) -> Column:
-    """Whether a cleaned text looks machine-written rather than said."""
+    """Whether a cleaned text looks machine-written rather than said. The text is computed once, however it came about."""
 
     def any_of(marks: tuple[str, ...]) -> str:
-        return "(?i)" + "|".join(rf"\Q{m}\E" for m in marks)
-
-    return (
-        (F.length(cleaned) == 0)
-        | cleaned.rlike(rf"(?s)\A[{WS}]*[\[{{].{{200,}}[\]}}][{WS}]*\z")
-        | cleaned.rlike(any_of(TOOL_MARKS))
-        | cleaned.rlike(any_of(INSPECTOR_MARKS))
-        | cleaned.contains(SANDBOX_MARK)
-        | cleaned.contains(SKILL_MARKS[0])
-        | cleaned.contains(SKILL_MARKS[1])
-        | (cleaned.contains(DATE_MARKS[0]) & cleaned.contains(DATE_MARKS[1]))
-        | ((F.length(cleaned) > 1000) & cleaned.rlike(r"(?m)^[A-Z0-9_]{3,}=.+$"))
-    )
+        return "|".join(rf"\Q{m}\E" for m in marks)
+
+    marks = f"(?i:{any_of(TOOL_MARKS + INSPECTOR_MARKS)})|{any_of((SANDBOX_MARK, *SKILL_MARKS))}"
+
+    def looks_written(t: Column) -> Column:
+        return (
+            (F.length(t) == 0)
+            | t.rlike(rf"(?s)\A[{WS}]*[\[{{].{{200,}}[\]}}][{WS}]*\z")
+            | t.rlike(marks)
+            | (t.contains(DATE_MARKS[0]) & t.contains(DATE_MARKS[1]))
+            | ((F.length(t) > 1000) & t.rlike(r"(?m)^[A-Z0-9_]{3,}=.+$"))
+        )
+
+    return let(cleaned, looks_written)
 
 
 def strip_for_title(text: Column) -> Column:
@@ -150,7 +151,8 @@ def token_estimate(text: Column) -> Column:
     return F.when(chars == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil(F.greatest(words.cast("double"), chars)))).cast("long")
 
 
-# Before a word character, a boundary is the absence of another one.
+# Before a word character, a boundary is the absence of another one. In the rules that begin with a literal the look-behind stands
+# after it, so that the engine's search for the literal skips most texts.
 _START = f"(?<!{_WORD})"
 
 # What is redacted before a text leaves for an embedding service, in this order.

@@ -94,18 +94,37 @@ def discover(spark: SparkSession, roots: dict[str, list[str]]) -> DataFrame:
     return found.dropDuplicates(["provider", "path"])
 
 
+#: Up to so many files are named to the reader; more are read from their roots and joined.
+NAMED_FILES = 10_000
+
+
 def contents(spark: SparkSession, roots: dict[str, list[str]], files: DataFrame) -> DataFrame:
-    """``files`` with their ``content`` as text and its ``sha256``."""
-    read = None
-    for root in dict.fromkeys(r for rs in roots.values() for r in rs):
-        if _exists(spark, root):
-            one = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root)
-            one = one.select(plain_path(F.col("path")).alias("path"), "content")
-            read = one if read is None else read.unionByName(one)
-    if read is None:
-        read = spark.createDataFrame([], "path string, content binary")
+    """``files`` with their ``content`` as text and its ``sha256``. Only these files are opened, as long as they are few: what a sync
+    reads then follows from what has changed, not from what there is."""
+    paths = sorted({r["path"] for r in files.select("path").distinct().limit(NAMED_FILES + 1).collect()})
+    source = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl")
+    if len(paths) <= NAMED_FILES:
+        read = source.load([_glob_safe(p) for p in paths]) if paths else spark.createDataFrame([], "path string, content binary")
+    else:
+        found = [r for r in _outermost(r for rs in roots.values() for r in rs) if _exists(spark, r)]
+        read = source.option("recursiveFileLookup", True).load(found)
+    read = read.select(plain_path(F.col("path")).alias("path"), "content")
     text = F.decode("content", "utf-8")
-    return files.join(read.dropDuplicates(["path"]), "path").withColumns({"sha256": F.sha2("content", 256), "content": text})
+    return files.join(read, "path").withColumns({"sha256": F.sha2("content", 256), "content": text})
+
+
+def _glob_safe(path: str) -> str:
+    """A path that a reader takes as it is, not as a pattern."""
+    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
+
+
+def _outermost(roots) -> list[str]:
+    """Roots that lie below no other one, so that no file is read twice."""
+    out: list[str] = []
+    for root in sorted({r.rstrip("/") for r in roots}):
+        if not any(root.startswith(o + "/") for o in out):
+            out.append(root)
+    return out
 
 
 def json_lines(files: DataFrame, most: int = MOST_INVALID_LINES, rate: float = MOST_INVALID_RATE) -> DataFrame:
