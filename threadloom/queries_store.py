@@ -1,0 +1 @@
+"""Registered queries of discovery, sync and maintenance, each with the SQL that says the same."""
