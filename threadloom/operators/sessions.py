@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions.textops import clean_text, fork_command, is_noise, resume_command, synthesize_title
 from threadloom.schemas import CHUNK_VERSION, NORMALIZE_VERSION, UNKNOWN_CWD
@@ -76,6 +78,29 @@ def default_repo(cwd: Column) -> Column:
     return F.when((cwd != UNKNOWN_CWD) & (cwd != ""), base_name(cwd))
 
 
+def enclosing_repo(exists: Callable[[str], bool]) -> Callable[[Column], Column]:
+    """The name of the nearest folder around a path that holds ``.git``, else the last part of the path.
+
+    ``exists`` runs in tasks and must see there what it is to see; each distinct path of a batch is looked up once.
+    """
+
+    def name(path: str | None) -> str | None:
+        if not path or path == UNKNOWN_CWD:
+            return None
+        parts = [p for p in path.split("/") if p]
+        for n in range(len(parts), 0, -1):
+            if exists("/" + "/".join(parts[:n]) + "/.git"):
+                return parts[n - 1]
+        return parts[-1] if parts else None
+
+    @F.pandas_udf(T.StringType())
+    def names(paths: pd.Series) -> pd.Series:
+        known = {p: name(p) for p in paths.unique()}
+        return paths.map(lambda p: known[p])
+
+    return names
+
+
 def normalize(
     parsed: DataFrame,
     indexed_at: str,

@@ -92,6 +92,19 @@ def embed_query(store: Store, embedder: Embedder, text: str, redact: bool = True
     return vector
 
 
+def query_vector(store: Store, embedder: Embedder | None, text: str, redact: bool = True) -> tuple[list[float] | None, str]:
+    """(the query's vector, "") or (None, why there is none): whatever a model does, a search by keywords goes on."""
+    if not text.strip() or embedder is None:
+        return None, ""
+    try:
+        if not store.read("chunk_embeddings").limit(1).count():
+            return None, "no vectors are stored yet"
+        ensure_width(store, embedder.dimensions)
+        return embed_query(store, embedder, text, redact), ""
+    except Exception as e:  # noqa: BLE001  a model's failure isn't the search's
+        return None, f"the search is by keywords only: {e}"
+
+
 def result_window(count: int, selected: int, visible: int) -> tuple[int, int]:
     """(first, last) of the rows to show so that the selected one is about in the middle."""
     visible = max(1, visible)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.config import Config
 from threadloom.operators import chunks as chunking
 from threadloom.operators import store as tables
 from threadloom.operators import vectors
-from threadloom.operators.sessions import normalize
+from threadloom.operators.sessions import default_repo, normalize
 from threadloom.operators.store import Store
 from threadloom.schemas import CHUNK_VERSION, PROVIDERS
 from threadloom.sources import transcripts
@@ -45,6 +46,7 @@ def run_sync(
     embedder: vectors.Embedder | None = None,
     full: bool = False,
     provider: str | None = None,
+    repo: Callable[[Column], Column] = default_repo,
 ) -> Summary:
     """One pass: list, parse what changed, merge, store, forget what is gone, chunk and embed.
 
@@ -77,7 +79,7 @@ def run_sync(
     more = transcripts.contents(spark, roots, others)
     parsed, failures = (a.unionByName(store.stage(b)) for a, b in zip((parsed, failures), transcripts.parse_files(more), strict=True))
     read = read.unionByName(more)
-    documents = store.stage(normalize(parsed, now, config.prefer_pi_session_id))
+    documents = store.stage(normalize(parsed, now, config.prefer_pi_session_id, repo))
     out.indexed, out.failed = documents.count(), failures.count()
 
     stamps = (F.lit(now).alias("first_seen_at"), F.lit(now).alias("last_seen_at"), F.lit(None).cast("string").alias("last_error"))

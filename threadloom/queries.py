@@ -259,11 +259,10 @@ def title_synthesis(spark, d):
 
 
 @query(f"""
-    SELECT doc_id, sha256(source || chr(0) || lang || chr(0) || text || chr(0) || 'x' || chr(0) || '{NORMALIZE_VERSION}') AS sha
-    FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL
+    SELECT doc_id, sha256(concat_ws(chr(0), source, lang, text, 'x', '{NORMALIZE_VERSION}')) AS sha FROM documents
 """)
 def body_sha256(spark, d):
-    docs = table(spark, d, "documents").dropna(subset=["text", "source", "lang"]).withColumns({"x": F.lit("x"), "v": F.lit(NORMALIZE_VERSION)})
+    docs = table(spark, d, "documents").withColumns({"x": F.lit("x"), "v": F.lit(NORMALIZE_VERSION)})
     return docs.select("doc_id", body_hash("source", "lang", "text", "x", "v").alias("sha"))
 
 
@@ -383,12 +382,14 @@ def transcript_parse(spark, d):
 @query("""
     WITH t AS (SELECT 'claude:n' || (conv_id % 40) AS uid, turn, conv_id, role, text,
         lag(role || chr(0) || text) OVER (PARTITION BY conv_id % 40 ORDER BY turn, conv_id) AS before FROM conversations WHERE role <> 'system')
-    SELECT uid, count(*) FILTER (WHERE before IS NULL OR before <> role || chr(0) || text) AS message_count, count(DISTINCT conv_id) AS n_paths, 'synthesized' AS title_source FROM t GROUP BY uid
+, n AS (SELECT uid, count(*) FILTER (WHERE before IS NULL OR before <> role || chr(0) || text) AS message_count FROM t GROUP BY uid)
+    SELECT uid, coalesce(any_value(message_count), 0) AS message_count, count(DISTINCT conv_id) AS n_paths, 'synthesized' AS title_source
+    FROM (SELECT 'claude:n' || (conv_id % 40) AS uid, conv_id FROM conversations) LEFT JOIN n USING (uid) GROUP BY uid
 """)
 def session_merge(spark, d):
     parsed, _ = transcripts.parse_files(_files(spark, d))
     docs = normalize(parsed, "2026-01-01T00:00:00Z")
-    return docs.filter("message_count > 0").select("uid", "message_count", F.size("transcript_paths").cast("long").alias("n_paths"), "title_source")
+    return docs.select("uid", "message_count", F.size("transcript_paths").cast("long").alias("n_paths"), "title_source")
 
 
 # -- filters ----------------------------------------------------------------------------------------------------------
@@ -599,16 +600,14 @@ def recency_decay(spark, d):
 
 
 @query(f"""
-    WITH {SESSIONS_SQL}, p AS (SELECT conv_id, round(1 / (60 + row_number() OVER (ORDER BY conv_id)), 6) AS base_score,
+    WITH {SESSIONS_SQL}, p AS (SELECT conv_id, round(1 / (61 + conv_id % 100), 6) AS base_score,
         (CASE WHEN contains(lower(title), 'of the') THEN 0.12 ELSE 0.0 END) + (CASE WHEN contains(lower(title), 'of') AND contains(lower(title), 'the') THEN 0.08 ELSE 0.0 END) AS title_boost,
         0.0 AS exactish_boost, {_SHARED_SQL} FROM sessions)
     SELECT conv_id, base_score, round(title_boost, 6) AS title_boost, exactish_boost, recency_boost, repo_boost, cwd_boost, short_penalty, subagent_penalty, missing_cwd_penalty,
         round(base_score + title_boost + recency_boost + repo_boost + cwd_boost - short_penalty - subagent_penalty - missing_cwd_penalty, 4) AS total FROM p
 """)
 def score_breakdown(spark, d):
-    s = sessions(spark, d)
-    order = s.select("conv_id").orderBy("conv_id")
-    ranked = s.join(order.withColumn("keyword_rank", F.row_number().over(Window.orderBy("conv_id"))), "conv_id").withColumn("keyword_score", F.lit(1.0))
+    ranked = sessions(spark, d).withColumns({"keyword_rank": F.col("conv_id") % 100 + 1, "keyword_score": F.lit(1.0)})
     parts = ranking.score_parts(ranked.columns, TextPlan.of("of the"), NOW, Filters(), "repo2", "/work/Repo3")
     return ranked.select("conv_id", *(F.round(v.cast("double"), 4 if k == "total" else 6).alias(k) for k, v in parts.items()))
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from threadloom.config import Embeddings
-from threadloom.operators.vectors import checked
+from threadloom.operators.vectors import Embedder, HashingEmbedder, checked
 
 Post = Callable[[str, dict, dict, float], tuple[int, str]]
 TIMEOUT, READY_TIMEOUT = 60.0, 3.0
@@ -113,6 +113,34 @@ class OllamaEmbedder:
         return True, ""
 
 
+@dataclass
+class LlamaServerEmbedder:
+    """A llama.cpp server with an embedding model loaded, by its OpenAI-like interface."""
+
+    model: str
+    dimensions: int
+    endpoint: str = "http://127.0.0.1:8080"
+    post: Post = http_post
+
+    @property
+    def model_key(self) -> str:
+        return f"llama:{self.model}"
+
+    def embed(self, texts: Sequence[str], input_type: str = "document") -> np.ndarray:
+        body = {"model": self.model, "input": [with_prefix(t, input_type, self.model) for t in texts]}
+        status, text = self.post(f"{base_url(self.endpoint)}/v1/embeddings", body, {}, TIMEOUT)
+        if status != 200:
+            raise ServiceError(error_text(parsed(text), status))
+        return checked(np.array(answer_vectors(parsed(text)), np.float32), len(texts), self.dimensions)
+
+    def ready(self, get: Callable[[str, float], tuple[int, str]] = http_get) -> tuple[bool, str]:
+        try:
+            status, _ = get(f"{base_url(self.endpoint)}/health", READY_TIMEOUT)
+        except OSError as e:
+            return False, f"the llama.cpp server can't be reached: {e}"
+        return (True, "") if status == 200 else (False, f"the llama.cpp server isn't ready: status {status}")
+
+
 @dataclass
 class VoyageEmbedder:
     model: str
@@ -134,7 +162,7 @@ class VoyageEmbedder:
 
 
 def make_embedder(settings: Embeddings, endpoint: str | None = None):
-    """The client that the settings name. Local models inside the process aren't offered: give an ``Embedder`` of your own."""
+    """The client that the settings name. Models run in a service, local ones too; for one inside the process give an ``Embedder`` of your own."""
     if not settings.configured:
         raise ServiceError("embeddings are disabled, or the service's key is missing")
     more = {"endpoint": endpoint} if endpoint else {}
@@ -142,4 +170,16 @@ def make_embedder(settings: Embeddings, endpoint: str | None = None):
         return VoyageEmbedder(settings.model, settings.dimensions, settings.api_key, **more)
     if settings.provider == "ollama":
         return OllamaEmbedder(settings.model, settings.dimensions, **more)
-    raise ServiceError(f"no client for {settings.provider}")
+    if settings.provider == "hashing":
+        return HashingEmbedder(settings.dimensions, settings.model_key)
+    return LlamaServerEmbedder(settings.model, settings.dimensions, **more)
+
+
+def ready_embedder(settings: Embeddings, endpoint: str | None = None) -> tuple[Embedder | None, str]:
+    """(the client, "") where it can be used now, else (None, why not and what would help)."""
+    try:
+        embedder = make_embedder(settings, endpoint)
+    except ServiceError as e:
+        return None, f"{e}; search is by keywords only"
+    ok, why = embedder.ready() if hasattr(embedder, "ready") else (True, "")
+    return (embedder, "") if ok else (None, f"{why}; start it, or choose another with THREADLOOM_EMBEDDING_PROVIDER; search is by keywords only")
