@@ -34,6 +34,7 @@ def test_language(spark):
 def test_near_copies(spark):
     a, b = "a long enough text of several words to be told " * 4, "quite another text that has nothing of the first in it " * 4
     rows = [(3, a), (3, b), (9, a), (None, a), (None, b), (2, "x y z"), (2, "x y z"), (None, "p q r"), (None, "p q r"), (4, None), (5, ""), (None, "")]
-    got = kept(simhash.drop_near_copies(docs(spark, plain(rows))))
-    assert got == Counter([(3, a), (3, b), (2, "x y z"), (None, "p q r"), (4, None)])
-    assert simhash.drop_near_copies(docs(spark, [])).collect() == []
+    for drop in (simhash.drop_near_copies, simhash.drop_similar):
+        got = kept(drop(docs(spark, plain(rows))))
+        assert got == Counter([(3, a), (3, b), (2, "x y z"), (None, "p q r"), (4, None)])
+        assert drop(docs(spark, [])).collect() == []

@@ -6,11 +6,16 @@ tile, with numpy exclusive-or and bit counts. Tiles hold fingerprints with the s
 each 16-bit word; a pair of tiles whose counts differ by more than the radius in sum is skipped, because
 each differing bit changes one of these counts by one. A task hands on a spanning forest of what it linked,
 never the pairs themselves.
+
+Near copies by similarity take fingerprints of 128 bits, whose distance estimates the cosine of shingle counts well enough to
+tell 0.8 from chance among many documents. They are compared by the same tiles in either half: of a pair within the radius one
+half is within half of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import digest_of, without_rows, written
+from threadloom.llm.common import BROADCAST_ROWS, digest_of, sized, without_rows, written
 from threadloom.llm.components import connected_components
 
 SEED = 42
 SHINGLE_WORDS = 4
 RADIUS = 4
+#: Near copies: words of a shingle, the least similarity, and the bits of a fingerprint.
+COPY_WORDS, COPY_SIMILARITY, COPY_BITS = 5, 0.8, 128
+#: Blocks of these are made so small that there are so many, down to so many fingerprints.
+COPY_BLOCKS, COPY_BLOCK_ROWS = 8, 4096
 #: Fingerprints of one side of a comparison task (8 bytes each).
 STRATUM_ROWS = 262_144
 #: From so many pairs on, a tile is compared by its smaller tiles.
@@ -31,25 +40,44 @@ LARGE_PAIRS = 1 << 20
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash of one whole text; 0 where it has no words or is null."""
-    if not text:
-        return 0
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+def _majority(text: str | None, words_per_shingle: int, hashes: Callable[[list[bytes]], np.ndarray], size: int) -> np.ndarray:
+    """``size`` bytes: of each bit whether it is set in over half of the shingles' hashes; zero where there are no words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(size, np.uint8)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     k = min(words_per_shingle, len(words))
     starts = [0, *(ends[: len(words) - k] + 1).tolist()]
     stops = ends[k - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros(8 * size, np.int64)
     for a in range(0, len(starts), _BLOCK):
-        part = [digest(joined[i:j], SEED) for i, j in zip(starts[a : a + _BLOCK], stops[a : a + _BLOCK], strict=True)]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<u8")[0])
+        part = hashes([joined[i:j] for i, j in zip(starts[a : a + _BLOCK], stops[a : a + _BLOCK], strict=True)])
+        ones += np.unpackbits(part.reshape(-1, size), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(starts), bitorder="little")
+
+
+def _xxh64(shingles: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles], "<u8").view(np.uint8)
+
+
+def _xxh128(shingles: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, SEED) for x in shingles]), np.uint8)
+
+
+def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int:
+    """64-bit SimHash of one whole text; 0 where it has no words or is null."""
+    return int(_majority(text, words_per_shingle, _xxh64, 8).view("<u8")[0])
+
+
+def wide_fingerprint(text: str | None, words_per_shingle: int = COPY_WORDS) -> bytes:
+    """128-bit SimHash of one whole text; zero bytes where it has no words or is null."""
+    return _majority(text, words_per_shingle, _xxh128, COPY_BITS // 8).tobytes()
+
+
+def radius_of(similarity: float, bits: int = COPY_BITS) -> int:
+    """The most bits that fingerprints of texts with this cosine similarity differ by, on average."""
+    return int(bits * math.acos(similarity) / math.pi)
 
 
 def fingerprints(
@@ -109,18 +137,14 @@ def _bounds(*columns: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(new), n]
 
 
-def linked(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (node, root) of the links between two sets of fingerprints, or within one.
+def _each_link(values: np.ndarray, side: np.ndarray | None, radius: int, found: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """Calls ``found`` with the places of all pairs within the radius, a batch at a time: pairs of different sides, or any without sides.
 
     Tiles hold fingerprints with equal population counts in each 16-bit word. Inside large tiles, smaller ones with equal
     counts in each byte are told apart in the same way.
     """
-    values = left if right is None else np.concatenate([left, right])
-    if values.size == 0:
-        return values, values
-    side = np.zeros(values.size, np.int8)
-    if right is not None:
-        side[left.size :] = 1
+    two = side is not None
+    side = side if two else np.zeros(values.size, np.int8)
     in_bytes = np.bitwise_count(values.view(np.uint8).reshape(-1, 8)).astype(np.int8)
     in_words = in_bytes[:, ::2] + in_bytes[:, 1::2]
     order = np.lexsort((*in_bytes.T, *in_words.T, side))
@@ -130,7 +154,6 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
     small_of_tile = np.searchsorted(small, tile)  # every tile begins with a small one
     tile_counts, tile_side = in_words[tile[:-1]].astype(np.int16), side[tile[:-1]]
     small_counts, small_sizes = in_bytes[small[:-1]], np.diff(small)
-    forest = _Forest(values.size)
 
     def compare(a: int, b: int, at: np.ndarray) -> None:
         for i0 in range(a, b, 256):
@@ -139,12 +162,12 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
                 some = at[j0 : j0 + 8192]
                 i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ values[some][None, :]) <= radius)
                 if i.size:
-                    forest.join(i + i0, some[j])
+                    found(order[i + i0], order[some[j]])
 
     for t in range(tile.size - 1):
-        if right is not None and tile_side[t]:
+        if two and tile_side[t]:
             break
-        others = np.flatnonzero(tile_side == 1) if right is not None else np.arange(t, tile.size - 1)
+        others = np.flatnonzero(tile_side == 1) if two else np.arange(t, tile.size - 1)
         near = others[np.abs(tile_counts[others] - tile_counts[t]).sum(axis=1) <= radius]
         if not near.size:
             continue
@@ -160,12 +183,42 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
                 apart += np.abs(counts[k] - small_counts[s, k])
             close = subs[apart <= radius]
             compare(int(small[s]), int(small[s + 1]), _runs(small[close], small_sizes[close]))
+
+
+def _sides(left: int, right: int | None) -> np.ndarray | None:
+    return None if right is None else np.repeat(np.array([0, 1], np.int8), (left, right))
+
+
+def linked(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (node, root) of the links between two sets of fingerprints, or within one."""
+    values = left if right is None else np.concatenate([left, right])
+    forest = _Forest(values.size)
+    if values.size:
+        _each_link(values, _sides(left.size, None if right is None else right.size), radius, forest.join)
     every = np.arange(values.size)
     root = forest.roots(every)
     moved = root != every
     return values[moved], values[root[moved]]
 
 
+def linked_wide(halves: np.ndarray, side: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (node, root) of a spanning forest of the links within the radius; a row of ``halves`` is a fingerprint of two words."""
+    forest = _Forest(len(halves))
+
+    def found(i: np.ndarray, j: np.ndarray) -> None:
+        apart = np.bitwise_count(halves[i] ^ halves[j]).sum(axis=1, dtype=np.int64)
+        near = apart <= radius
+        if near.any():
+            forest.join(i[near], j[near])
+
+    if len(halves):
+        for k in (0, 1):  # of two halves one differs by half of the radius at most
+            _each_link(np.ascontiguousarray(halves[:, k]), side, radius // 2, found)
+    every = np.arange(len(halves))
+    root = forest.roots(every)
+    return every[root != every], root[root != every]
+
+
 def near_links(nodes: DataFrame, radius: int = RADIUS, stratum_rows: int = STRATUM_ROWS) -> DataFrame:
     """(u, v): links among distinct fingerprints ``nodes(fp)`` that keep every component within ``radius`` bits.
 
@@ -222,31 +275,92 @@ def near_groups(
     the others; a component of null ids only has a null id. Repeated rows give repeated rows. An empty
     table gives an empty result; further columns of the input are not read.
     """
-    prints, placed = _placed(docs, id_col, text_col, words_per_shingle, radius, False)
+    prints = written(fingerprints(docs, id_col, text_col, words_per_shingle), "simhash")
+    by_print = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
+    roots = connected_components(near_links(by_print.select("fp"), radius), "u", "v", "simhash-links")
+    placed = by_print.join(roots, by_print.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     known = placed.join(lows, "root").select("fp", "component_id")
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int, radius: int, digests: bool) -> tuple[DataFrame, DataFrame]:
-    """(fingerprints of all rows, (fp, low, root) of the distinct ones: smallest id and component)."""
-    prints = written(fingerprints(docs, id_col, text_col, words_per_shingle, digests), "simhash")
-    by_print = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    roots = connected_components(near_links(by_print.select("fp"), radius), "u", "v", "simhash-links")
-    return prints, by_print.join(roots, by_print.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+def copy_links(nodes: DataFrame, radius: int, block_rows: int = STRATUM_ROWS) -> DataFrame:
+    """(u, v): links among distinct fingerprints ``nodes(fp)`` of 16 bytes that keep every component within ``radius`` bits.
+
+    Fingerprints form blocks by hash, of ``block_rows`` at most and fewer where there are few; each pair of blocks is a task.
+    """
+    n = nodes.count()
+    cuts = max(-(-n // block_rows), min(COPY_BLOCKS, -(-n // COPY_BLOCK_ROWS)))
+    if not n:
+        return nodes.sparkSession.createDataFrame([], "u binary, v binary")
+    own = nodes.select("fp", F.expr(f"cast(pmod(xxhash64(fp), {cuts}) as int)").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("other")
+    dealt = own.select("fp", "block", other).select(
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") != F.least("block", "other")).cast("int").alias("side"), "fp"
+    )
+
+    def compare(key: tuple, part: pa.Table) -> pa.Table:
+        i, j = (x.as_py() for x in key)
+        found = part.column("fp").to_pylist()
+        halves = np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
+        side = part.column("side").combine_chunks().to_numpy()
+        order = np.argsort(side, kind="stable")
+        u, v = linked_wide(halves[order], None if i == j else side[order].astype(np.int8), radius)
+        pick = lambda at: pa.array([found[k] for k in order[at].tolist()], pa.binary())
+        return pa.table({"u": pick(u), "v": pick(v)})
+
+    return dealt.groupBy("i", "j").applyInArrow(compare, "u binary, v binary")
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = COPY_WORDS) -> DataFrame:
+    """(doc_id, fp, digest): one row per input row; fp holds the 16 bytes, digest tells the text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(x.as_py(), words_per_shingle) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["doc_id", "fp", "digest"])
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), digest_of(text_col).alias("digest"))
+    return own.mapInArrow(work, "doc_id long, fp binary, digest binary")
 
 
 def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS
 ) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest id. All columns stay.
+    """``docs`` with one row of each group of ``near_groups``, as ``one_of_each`` picks it. All columns stay."""
+    prints = written(fingerprints(docs, id_col, text_col, words_per_shingle, digests=True), "simhash")
+    nodes = written(prints.select("fp").distinct(), "simhash-distinct")
+    roots = connected_components(near_links(nodes, radius), "u", "v", "simhash-links")
+    return one_of_each(docs, id_col, text_col, _rooted(prints, roots))
+
+
+def drop_similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = COPY_WORDS, similarity: float = COPY_SIMILARITY
+) -> DataFrame:
+    """``docs`` with one row of each group of near copies, as ``one_of_each`` picks it. All columns stay.
+
+    Texts are near copies where their fingerprints of 128 bits differ by no more than those of texts whose counts of shingles have this
+    cosine do on average (26 bits for 0.8). Groups are the components of these links.
+    """
+    prints = written(wide_fingerprints(docs, id_col, text_col, words_per_shingle), "simhash")
+    nodes = written(prints.select("fp").distinct(), "simhash-distinct")
+    roots = connected_components(copy_links(nodes, radius_of(similarity)), "u", "v", "simhash-links")
+    return one_of_each(docs, id_col, text_col, _rooted(prints, roots))
+
+
+def _rooted(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, digest, root) of every row; fingerprints without a link are groups of their own."""
+    known = sized(written(roots, "simhash-roots"), BROADCAST_ROWS // 4)
+    return prints.join(known, F.col("fp") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "fp").alias("root"))
+
+
+def one_of_each(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group that ``rows(doc_id, digest, root)`` tells: the one with the smallest id.
 
     Rows with a null id stay only where their whole group has none. Of rows of a group that share the smallest id the one with
     the smallest digest of its text stays, of rows that repeat both any one. Null and empty texts are a group, of one row with the
     others of fingerprint zero. An empty table gives an empty result.
     """
-    prints, placed = _placed(docs, id_col, text_col, words_per_shingle, radius, True)
-    rows = prints.join(placed.select("fp", "root"), "fp").select("doc_id", "digest", "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest"))
     keeps = rows.groupBy("root").agg(first.alias("k"), F.count("*").alias("n")).select(
         F.col("root").alias("of"), F.col("k.id").alias("keep_id"), F.col("k.digest").alias("keep_digest")
