@@ -74,7 +74,7 @@ def test_given_layout(spark, tmp_path):
     for r in d.collect():
         before[own[r["doc_id"]]] += len(r["text"]) + 8
     for together in (True, False):
-        got = reshard.reshard(laid, shards=4, blocks_per_shard=64, old_col="__old_shard", together=together).collect()
+        got = reshard.reshard(laid, shards=4, blocks_per_shard=512, old_col="__old_shard", together=together).collect()
         assert {r["doc_id"]: r["old_shard"] for r in got} == own
         sizes, moved = Counter(), 0
         for r in got:

@@ -21,8 +21,8 @@ from threadloom.llm.common import sized, written
 BLOCKS_PER_SHARD = 1024
 #: A text whose rows are larger than so many average blocks is a block of its own, numbered in pieces of a 64th of a shard's share.
 HOT_BLOCKS, CUT_INTO = 8, 64
-#: Old shards are told apart up to so many; files beyond that share one.
-MAX_OLD = 1024
+#: Old shards are told apart up to so many. Where blocks of each old shard are placed by themselves, each has so many at least.
+MAX_OLD, LEAST_BLOCKS = 1024, 16
 #: Rows of a file that ``rewrite_affected`` writes.
 FILE_ROWS = 1_000_000
 
@@ -150,11 +150,13 @@ def plan_transfers(blocks: list[Block], shards: int, weights: list[float] | None
 def file_layout(docs: DataFrame) -> DataFrame:
     """``docs`` with the column __old_shard: the number of the file that a row lies in, files in order of their names.
 
-    Rows that come from no file form one shard. Beyond MAX_OLD files, those with the same number modulo MAX_OLD share one.
+    Rows that come from no file form one shard. More than MAX_OLD files share that many numbers by a hash of their names.
     """
     named = docs.withColumn("__file", F.coalesce(F.input_file_name(), F.lit("")))
-    files = [r["f"] for r in named.select(F.col("__file").alias("f")).distinct().orderBy("f").limit(MAX_OLD * 1024).collect()]
-    numbers = docs.sparkSession.createDataFrame([(f, n % MAX_OLD) for n, f in enumerate(files)], "__file string, __old_shard int")
+    files = [r["f"] for r in named.select(F.col("__file").alias("f")).distinct().orderBy("f").limit(MAX_OLD + 1).collect()]
+    if len(files) > MAX_OLD:
+        return named.withColumn("__old_shard", F.expr(f"cast(pmod(xxhash64(__file), {MAX_OLD}) as int)")).drop("__file")
+    numbers = docs.sparkSession.createDataFrame([(f, n) for n, f in enumerate(files)], "__file string, __old_shard int")
     return named.join(F.broadcast(numbers), "__file").drop("__file")
 
 
@@ -179,6 +181,8 @@ def reshard(
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     n_blocks = shards * blocks_per_shard
+    if old_col and not together:  # the driver sees as many blocks, whatever the number of old shards
+        n_blocks = max(LEAST_BLOCKS, n_blocks // max(1, docs.select(old_col).distinct().count()))
     hashed = F.xxhash64(text)
     block = F.pmod(hashed, F.lit(n_blocks)).cast("int")
     old = F.coalesce(F.col(old_col).cast("int"), F.lit(0)) if old_col else F.pmod(block, F.lit(shards))
@@ -212,25 +216,28 @@ def reshard(
         F.when(F.col("cuts").isNotNull(), F.expr("pmod(xxhash64(doc_id), cuts)")).otherwise(0).cast("int").alias("cut"),
         F.coalesce("apart", F.lit(0)).alias("apart"),
     )
-    # a piece is numbered by one task, a unit is placed as a whole: a block, a piece of a text that is too large, or a block of one old shard
-    stats = [r.asDict() for r in fine.groupBy("block", "cut", "apart", "old").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()]
-    units: dict[tuple, dict[int, int]] = {}
+    # a piece is numbered by one task; a unit is placed as a whole: a block, a piece of a text that is too large, or a block of one old shard
+    piece = ["block", "cut", "apart"] if together else ["block", "cut", "apart", "old"]
+    by_old = fine.groupBy("block", "cut", "apart", "old").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    most = F.max(F.struct("size", (-F.col("old")).alias("old")))["old"]
+    stats = [r.asDict() for r in by_old.groupBy(*piece).agg(F.sum("size").alias("bytes"), F.sum("n").alias("n"), (-most).alias("from")).collect()]
+    units: dict[tuple, list[dict]] = {}
     for r in stats:
-        r["unit"] = (r["block"], r["cut"] if r["apart"] else 0, -1 if together else r["old"])
-        held = units.setdefault(r["unit"], {})
-        held[r["old"]] = held.get(r["old"], 0) + r["size"]
-    blocks = [Block(k, max(sorted(held), key=held.__getitem__), sum(held.values())) for k, held in units.items()]
+        r["unit"] = (r["block"], r["cut"] if r["apart"] else 0, r.get("old", -1))
+        units.setdefault(r["unit"], []).append(r)
+    blocks = [Block(k, max(rs, key=lambda r: (r["bytes"], -r["from"]))["from"], sum(r["bytes"] for r in rs)) for k, rs in units.items()]
     placed = plan_transfers(blocks, shards)
     filled, where = [0] * shards, []
-    for r in sorted(stats, key=lambda r: (r["unit"], r["cut"], r["old"])):
+    for r in sorted(stats, key=lambda r: (r["unit"], r["cut"])):
         shard = placed[r["unit"]]
-        where.append((r["block"], r["cut"], r["old"], shard, filled[shard]))
+        where.append((r["block"], r["cut"], r.get("old", -1), shard, filled[shard]))
         filled[shard] += r["n"]
-    places = spark.createDataFrame(where, "block int, cut int, old int, shard int, first_slot long")
-    at = F.row_number().over(Window.partitionBy("block", "cut", "old").orderBy("doc_id", "size", "text_crc32"))
+    places = spark.createDataFrame(where, "block int, cut int, part int, shard int, first_slot long")
+    fine = fine.withColumn("part", F.lit(-1) if together else F.col("old"))
+    at = F.row_number().over(Window.partitionBy("block", "cut", "part").orderBy("doc_id", "size", "text_crc32"))
     return (
         fine.withColumn("at", at)
-        .join(sized(places), ["block", "cut", "old"])
+        .join(sized(places), ["block", "cut", "part"])
         .select("doc_id", "size", "text_crc32", F.col("old").alias("old_shard"), "shard", (F.col("first_slot") + F.col("at") - 1).cast("long").alias("slot"))
     )
 
