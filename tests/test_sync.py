@@ -190,7 +190,25 @@ def test_contents_open_only_what_is_asked(spark, tmp_path):
     roots = {"claude": [str(root)], "codex": [], "pi": []}
     found = transcripts.discover(spark, roots)
     some = found.filter("path like '%b{1}%'")
+    some = spark.createDataFrame(some.collect(), some.schema)  # without the listing's plan
     read = transcripts.contents(spark, roots, some)
     assert [r["path"].rpartition("/")[2] for r in read.collect()] == [names[1]]
     assert len(read.inputFiles()) == 1
     assert transcripts.contents(spark, roots, found.limit(0)).count() == 0
+
+
+def test_tables_change_together(spark, tmp_path):
+    store, reader = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    rows = lambda n: spark.createDataFrame([(f"u{i}", f"/p{i}") for i in range(n)], "uid string, path string")
+    store.write("session_sources", rows(1))
+    with store.together():
+        store.write("session_sources", rows(2))
+        store.write("index_meta", spark.createDataFrame([("a", "b")], "key string, value string"))
+        assert store.read("session_sources").count() == 2 and reader.read("session_sources").count() == 1 and reader.version("index_meta") == 0
+    assert reader.read("session_sources").count() == 2 and reader.read("index_meta").count() == 1
+    with pytest.raises(RuntimeError), store.together():
+        store.write("session_sources", rows(9))
+        raise RuntimeError
+    assert store.read("session_sources").count() == reader.read("session_sources").count() == 2
+    store.write("session_sources", rows(3))
+    assert reader.read("session_sources").count() == 3

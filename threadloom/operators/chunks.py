@@ -6,7 +6,9 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +19,7 @@ from threadloom.functions.textops import BOUNDARY, WS, WS_CHARS, let, redacted
 TARGET_TOKENS, OVERLAP_TOKENS, MAX_CHUNKS, EDGE_CHUNKS = 512, 96, 40, 8
 LEAST_TARGET = 64
 
-_UNIT = re.compile(f"([^{WS}]+)[{WS}]*")
+_SPACES = re.compile(f"([{WS}]+)")
 _PIECE = regex.compile(rf"[\p{{L}}\p{{N}}_-]+|[^{WS}]")
 
 # What counts as an identifier, a code-like one, a role marker and a file path.
@@ -27,6 +29,7 @@ ROLE = r"(?<![A-Za-z0-9_])(?:User|Assistant):"
 PATH = rf"(?<![^{WS}])[A-Za-z0-9_./-]+\.(?:ts|tsx|js|jsx|json|md|sql|py|go|rs|css|html){BOUNDARY}"
 
 
+@lru_cache(1 << 18)
 def estimate(text: str) -> int:
     """Model tokens of a text without outer white space."""
     if text.isalnum():  # one piece
@@ -42,20 +45,22 @@ def windows(text: str, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKEN
     """
     target = max(LEAST_TARGET, target)
     overlap = max(0, min(overlap, target // 2))
-    units = [(m.start(), m.end(), estimate(m[1])) for m in _UNIT.finditer(text)]
-    first = 0
-    while first < len(units):
-        last, tokens = first, 0
-        while last < len(units) and (tokens < target or last == first):
-            tokens += units[last][2]
-            last += 1
-        yield units[first][0], units[last - 1][1], tokens
-        if last == len(units):
+    parts = _SPACES.split(text)  # words and the spaces between them in turn
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(sizes)
+    words = np.flatnonzero(sizes[::2])
+    if not words.size:
+        return
+    start = (ends - sizes)[::2][words]
+    end = ends[np.minimum(2 * words + 1, len(parts) - 1)]  # with the spaces behind the word
+    upto = np.r_[0, np.cumsum([estimate(parts[2 * k]) for k in words.tolist()])]
+    first, n = 0, words.size
+    while True:
+        last = min(n, max(first + 1, int(np.searchsorted(upto, upto[first] + target))))
+        yield int(start[first]), int(end[last - 1]), int(upto[last] - upto[first])
+        if last == n:
             return
-        back, shared = last, 0
-        while overlap and back > 1 and shared < overlap:
-            back -= 1
-            shared += units[back][2]
+        back = max(1, int(np.searchsorted(upto, upto[last] - overlap, "right")) - 1) if overlap else last
         first = max(first + 1, back)
 
 

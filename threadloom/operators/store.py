@@ -1,12 +1,17 @@
 """Tables as versioned Parquet snapshots, and the keyed changes that the maintenance of an index needs.
 
-A change reads the current version, writes the next one beside it and then moves a pointer, so readers see either. Changes are
-plain table-to-table functions and can be used without the store.
+One small file, the catalogue, names the current version of every table. A change writes the next version beside the current one;
+then a new catalogue takes the old one's place by a rename, so readers see either, and the tables that are written inside
+``together`` change at once or, where something fails, not at all. Changes are plain table-to-table functions and can be used
+without the store.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,21 +88,48 @@ def status_counts(chunks: DataFrame, status: str = "embedding_status") -> DataFr
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._open: dict[str, int] | None = None
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _pointer(self, table: str):
-        return self._path(f"{self.root}/{table}/_CURRENT")
+    def _catalogue(self) -> dict[str, int]:
+        at = self._path(f"{self.root}/_CATALOGUE")
+        if not self._fs.exists(at):
+            return {}
+        stream = self._fs.open(at)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
-    def version(self, table: str) -> int:
-        """0 before the first write."""
-        if not self._fs.exists(self._pointer(table)):
-            return 0
-        stream = self._fs.open(self._pointer(table))
+    def _point(self, versions: dict[str, int]) -> None:
+        """Puts a new catalogue in the place of the old one. Where a file system can't rename over a file, the old one goes first."""
+        aside, at = self._path(f"{self.root}/_CATALOGUE.{uuid.uuid4().hex}"), self._path(f"{self.root}/_CATALOGUE")
+        stream = self._fs.create(aside, True)
         try:
-            return int(stream.readUTF())
+            stream.write(bytearray(json.dumps(versions).encode()))
         finally:
             stream.close()
+        if not self._fs.rename(aside, at):
+            self._fs.delete(at, False)
+            self._fs.rename(aside, at)
+
+    @contextmanager
+    def together(self) -> Iterator[None]:
+        """Writes inside become visible to other readers at the end, all at once; an error leaves everything as it was."""
+        if self._open is not None:  # inside another one
+            yield
+            return
+        self._open = dict(self._catalogue())
+        try:
+            yield
+            self._point(self._open)
+        finally:
+            self._open = None
+
+    def version(self, table: str) -> int:
+        """0 before the first write; inside ``together`` what has been written there counts."""
+        return (self._catalogue() if self._open is None else self._open).get(table, 0)
 
     def read(self, table: str) -> DataFrame:
         n = self.version(table)
@@ -107,16 +139,21 @@ class Store:
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
         """Writes the next version and makes it the current one."""
-        n = self.version(table) + 1
+        n = max([self.version(table), *self._known(table)]) + 1
         kinds = self.spark.createDataFrame([], TABLES[table]).schema
         df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds)).write.mode("overwrite").parquet(f"{self.root}/{table}/v{n}")
-        stream = self._fs.create(self._pointer(table), True)
-        try:
-            stream.writeUTF(str(n))
-        finally:
-            stream.close()
+        if self._open is None:
+            self._point({**self._catalogue(), table: n})
+        else:
+            self._open[table] = n
         return self.read(table)
 
+    def _known(self, table: str) -> list[int]:
+        """Versions that lie there, also those of changes that came to nothing."""
+        at = self._path(f"{self.root}/{table}")
+        names = [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
+
     def stage(self, df: DataFrame) -> DataFrame:
         """The same rows written aside and read again, so that plans stay short and nothing is computed twice."""
         path = f"{self.root}/_staging/{uuid.uuid4().hex}"
@@ -127,23 +164,26 @@ class Store:
         self._fs.delete(self._path(f"{self.root}/_staging"), True)
 
     def vacuum(self, keep: int = 2) -> None:
-        """Removes all but the latest versions of each table."""
+        """Removes all but the latest versions of each table up to the current one."""
         for table in TABLES:
-            for n in range(1, self.version(table) - keep + 1):
-                self._fs.delete(self._path(f"{self.root}/{table}/v{n}"), True)
+            current = self.version(table)
+            for n in self._known(table):
+                if n <= current - keep:
+                    self._fs.delete(self._path(f"{self.root}/{table}/v{n}"), True)
 
     def clear(self, provider: str | None = None) -> None:
         """Forgets everything but the vector caches, or all that one provider's files gave."""
-        if provider is None:
-            for table in TABLES:
-                if not table.endswith("_cache"):
-                    self.write(table, self.spark.createDataFrame([], TABLES[table]))
-            return
-        gone = self.read("sessions").filter(F.col("provider") == provider).select("uid")
-        for table in ("chunk_embeddings", "chunks", "session_sources", "session_docs", "sessions"):
-            self.write(table, delete_keys(self.read(table), gone, ["uid"]))
-        for table in ("parse_errors", "sources"):
-            self.write(table, self.read(table).filter(~F.col("provider").eqNullSafe(provider)))
+        with self.together():
+            if provider is None:
+                for table in TABLES:
+                    if not table.endswith("_cache"):
+                        self.write(table, self.spark.createDataFrame([], TABLES[table]))
+                return
+            gone = self.read("sessions").filter(F.col("provider") == provider).select("uid")
+            for table in ("chunk_embeddings", "chunks", "session_sources", "session_docs", "sessions"):
+                self.write(table, delete_keys(self.read(table), gone, ["uid"]))
+            for table in ("parse_errors", "sources"):
+                self.write(table, self.read(table).filter(~F.col("provider").eqNullSafe(provider)))
 
     def status(self) -> DataFrame:
         """One row: sessions, vectors, and chunks by status."""
