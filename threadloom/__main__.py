@@ -95,7 +95,11 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     admin.migrate(store, iso(now))
     if args.command in ("sync", "index"):
         embedder = usable(config)
-        out = run_sync(spark, store, roots_of(args, config), iso(now), config, embedder, args.full, args.provider, enclosing_repo(os.path.exists))
+
+        def tell(step: str) -> None:
+            print(step, file=sys.stderr)
+
+        out = run_sync(spark, store, roots_of(args, config), iso(now), config, embedder, args.full, args.provider, enclosing_repo(os.path.exists), tell)
         print(json.dumps(asdict(out)) if args.json else "\n".join(f"{k}: {v}" for k, v in asdict(out).items()))
     elif args.command == "doctor":
         for r in admin.report(store, config, usable(config)).collect():

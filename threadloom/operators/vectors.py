@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 CANDIDATE_CHUNKS, CANDIDATE_SESSIONS = 200, 100
 EMBED_BATCH, MOST_EMBED_BATCH, ERROR_CHARS = 32, 128, 2000
+#: Queries that may be broadcast.
+MOST_QUERIES = 1024
 #: Queries and vectors of a comparison task, where the queries are many.
 BLOCK_QUERIES, BLOCK_VECTORS = 512, 65_536
 
@@ -26,9 +28,11 @@ def l2(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATE_CHUNKS, id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
     """(query, chunk_id, distance, vector_rank): the exact k nearest vectors of each row of ``queries(query, vector)``.
 
-    The queries are a stated, bounded set; every vector is compared with each. Each task keeps the k best of a query
-    before the shuffle. Vectors whose width differs from the query's, and null ones, never match. Ties go by id.
+    The queries are a stated set; every vector is compared with each. Up to MOST_QUERIES of them are broadcast, more go the way of
+    ``nearest_of_many`` (which takes numbers as ids). Each task keeps the k best of a query before the shuffle. Vectors whose width differs from the query's, and null ones, never match. Ties go by id.
     """
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        return nearest_of_many(vectors, queries, k, id_col, vec_col)
     fits = F.size(vec_col) == F.size("vector")
     pairs = vectors.join(F.broadcast(queries.select("query", "vector")), fits).select(
         "query", F.col(id_col).alias("chunk_id"), l2(F.col(vec_col), F.col("vector")).alias("distance")

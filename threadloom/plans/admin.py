@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +107,12 @@ def query_vector(store: Store, embedder: Embedder | None, text: str, redact: boo
         return None, f"the search is by keywords only: {e}"
 
 
+def launch_warnings(provider: str, cwd: str, exists: Callable[[str], bool], search_path: str) -> list[str]:
+    """What stands in the way of resuming a session here: its folder, or the provider's command below ``search_path``, isn't there."""
+    found = any(exists(f"{folder}/{provider}") for folder in search_path.split(":") if folder)
+    return [w for w, bad in ((f"the folder {cwd} is missing", not exists(cwd)), (f"{provider} is not on the path", not found)) if bad]
+
+
 def result_window(count: int, selected: int, visible: int) -> tuple[int, int]:
     """(first, last) of the rows to show so that the selected one is about in the middle."""
     visible = max(1, visible)

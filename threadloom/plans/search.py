@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -145,7 +146,7 @@ def browse(corpus: Corpus, filters: Filters, context: Context = Context(), limit
 def recent(corpus: Corpus, limit: int, context: Context = Context()) -> DataFrame:
     """The latest sessions without subagents."""
     main = Corpus(corpus.sessions.filter(~F.col("is_subagent")), corpus.docs, corpus.index)
-    n = max(1, int(limit))
+    n = max(1, int(limit)) if math.isfinite(limit) else BROWSE_CANDIDATES
     return browse(main, Filters(), context, n, candidates=n)
 
 

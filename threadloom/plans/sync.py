@@ -47,6 +47,7 @@ def run_sync(
     full: bool = False,
     provider: str | None = None,
     repo: Callable[[Column], Column] = default_repo,
+    progress: Callable[[str], None] = lambda step: None,
 ) -> Summary:
     """One pass: list, parse what changed, merge, store, forget what is gone, chunk and embed.
 
@@ -59,6 +60,7 @@ def run_sync(
     if full:
         store.clear(provider)
 
+    progress("listing files")
     found = store.stage(transcripts.discover(spark, roots).drop("relative"))
     manifest = store.read("sources")
     own = manifest.filter(F.col("provider").isin(*chosen))
@@ -67,6 +69,7 @@ def run_sync(
     changed = store.stage(tables.changed_files(found, own).select("provider", "path", "size", "mtime_ms", "likely_subagent"))
     out.discovered, out.changed, out.deleted_sources = found.count(), changed.count(), gone.count()
 
+    progress("parsing what changed")
     # parse what changed; then the other files of every session it touches
     read = transcripts.contents(spark, roots, changed)
     parsed, failures = (store.stage(x) for x in transcripts.parse_files(read))
@@ -87,6 +90,7 @@ def run_sync(
         read.join(failures.select("path"), "path", "left_anti").select("path", "provider", "size", "mtime_ms", "sha256", *stamps)
     )
 
+    progress("writing sessions")
     with store.together():
         new_links = documents.select("uid", F.explode("transcript_paths").alias("path"))
         links = tables.replace_group(links, new_links, ["uid"])
@@ -103,6 +107,7 @@ def run_sync(
         if out.deleted_sessions:
             for table in ("chunk_embeddings", "chunks", "session_docs", "sessions"):
                 store.write(table, tables.delete_keys(store.read(table), lost, ["uid"]))
+    progress("chunking and embedding")
     index_chunks(spark, store, documents.select("uid").join(lost, "uid", "left_anti"), now, config, embedder, out)
     store.clear_stages()
     store.vacuum()

@@ -143,6 +143,29 @@ def kept_entries(spark, d):
     return table(spark, d, "documents").select("doc_id", transcripts.kept_entry(path).alias("kept"))
 
 
+@query("""
+    SELECT event_id, CASE event_id % 4 WHEN 0 THEN '2026-03-01T00:00:0' || (event_id % 10) || 'Z' WHEN 1 THEN strftime(make_timestamp(event_id * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') END AS ts FROM events
+""")
+def iso_timestamps(spark, d):
+    """Times as texts, as milliseconds, as something else, and missing ones."""
+    i = F.col("event_id")
+    said = F.when(i % 4 == 0, F.concat(F.lit('{"t": "2026-03-01T00:00:0'), i % 10, F.lit('Z"}'))).when(i % 4 == 1, F.concat(F.lit('{"t": '), i * 1000, F.lit("}")))
+    value = F.parse_json(F.coalesce(said, F.when(i % 4 == 2, F.lit('{"t": "soon"}')).otherwise("{}")))
+    return table(spark, d, "events").select("event_id", transcripts.iso_timestamp(value, "$.t").alias("ts"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'app' || (doc_id % 3) WHEN 1 THEN 'app' || (doc_id % 3) WHEN 2 THEN 'loose' END AS repo FROM documents")
+def enclosing_repos(spark, d):
+    """The name of the folder around a path that holds a repository, where there is one."""
+    from threadloom.operators.sessions import enclosing_repo  # noqa: PLC0415
+    from threadloom.schemas import UNKNOWN_CWD  # noqa: PLC0415
+
+    app = F.concat(F.lit("/w/app"), F.col("doc_id") % 3)
+    cwd = F.when(F.col("doc_id") % 4 == 0, app).when(F.col("doc_id") % 4 == 1, F.concat(app, F.lit("/src/deep"))).when(F.col("doc_id") % 4 == 2, "/tmp/loose").otherwise(UNKNOWN_CWD)
+    known = frozenset(f"/w/app{n}/.git" for n in range(3))
+    return table(spark, d, "documents").select("doc_id", enclosing_repo(known.__contains__)(cwd).alias("repo"))
+
+
 # -- text -----------------------------------------------------------------------------------------------------------
 
 _CLEAN_FIRST = [(r"\x1B\[[0-9;]*m", "", "g"), *_TAG_RULES[:-2], (r"(?is)\A(.*?)(?m:^)# AGENTS\.md instructions.*?</INSTRUCTIONS>", r"\1 ", ""), _TAG_RULES[-2]]
