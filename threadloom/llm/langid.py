@@ -7,6 +7,7 @@ the driver from a bounded, stratified sample of labelled texts; every window of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ WIDTHS = (2, 3, 4, 5)
 FILTERS = 12
 EMBED = 8
 #: The sample: about so many documents of each of at most so many languages, with so many excerpts of each.
-SAMPLE_DOCS, SAMPLE_LANGS, SAMPLE_EXCERPTS = 800, 200, 3
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_EXCERPTS = 800, 160_000, 3
 UNKNOWN = "und"
 _ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -143,18 +144,22 @@ def held_out(id_col: str) -> Column:
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
     """About SAMPLE_DOCS documents of each language, drawn by a hash of their ids, with SAMPLE_EXCERPTS excerpts each.
 
+    Every language is learned; where there are so many that this would come to more than SAMPLE_ALL documents, each has its part of
+    that number (the rarer ones all that they have).
+
     Only rows that aren't held out and have text and language. The driver gets at most
-    SAMPLE_LANGS * SAMPLE_DOCS * SAMPLE_EXCERPTS excerpts of about a window, whatever the corpus holds.
+    about SAMPLE_ALL * SAMPLE_EXCERPTS excerpts of about a window, whatever the corpus holds.
     """
     own = docs.filter(~held_out(id_col)).select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
     own = own.filter("text is not null and lang is not null")
-    counts = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).collect()
+    counts = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return []
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(counts)))
     chance = docs.sparkSession.createDataFrame(
-        [(r["lang"], int(min(1.0, SAMPLE_DOCS / r["n"]) * (1 << 30))) for r in counts], "lang string, below long"
+        [(r["lang"], math.ceil(min(1.0, each / r["n"]) * (1 << 30))) for r in counts], "lang string, below long"
     )
     drawn = own.join(F.broadcast(chance), "lang").filter("pmod(xxhash64(id, 'langid'), 1073741824) < below")
     excerpts = [
@@ -162,7 +167,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
         for k in range(SAMPLE_EXCERPTS)
     ]
     rows = drawn.select("lang", F.explode(F.array_distinct(F.array(*excerpts))).alias("excerpt"))
-    limit = 2 * SAMPLE_LANGS * SAMPLE_DOCS * SAMPLE_EXCERPTS
+    limit = 2 * max(SAMPLE_ALL, len(counts)) * SAMPLE_EXCERPTS  # the draw is by chance; twice its mean is never met
     return sorted((r["lang"], r["excerpt"]) for r in rows.limit(limit).collect())
 
 

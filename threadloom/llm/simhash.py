@@ -38,6 +38,8 @@ STRATUM_ROWS = 262_144
 #: From so many pairs on, a tile is compared by its smaller tiles.
 LARGE_PAIRS = 1 << 20
 _BLOCK = 1 << 16
+#: Fingerprints of a tile's sides where near copies are compared; its buffers stay in the processor's cache.
+_TILE_ROWS, _TILE_COLUMNS = 64, 4096
 
 
 def _majority(text: str | None, words_per_shingle: int, hashes: Callable[[list[bytes]], np.ndarray], size: int) -> np.ndarray:
@@ -201,19 +203,42 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
     return values[moved], values[root[moved]]
 
 
+def _each_wide_link(values: np.ndarray, side: np.ndarray | None, radius: int, found: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """What ``_each_link`` does, for a radius that few pairs of small tiles exceed: tiles are runs in order of population counts, of the
+    same size each, and those whose counts are further apart than the radius are skipped."""
+    counts = np.bitwise_count(values)
+    left = np.arange(values.size) if side is None else np.flatnonzero(side == 0)
+    right = left if side is None else np.flatnonzero(side == 1)
+    left, right = left[np.argsort(counts[left], kind="stable")], right[np.argsort(counts[right], kind="stable")]
+    ours, theirs, ordered = values[left], values[right], counts[right].astype(np.int16)
+    apart, bits = np.empty((_TILE_ROWS, _TILE_COLUMNS), np.uint64), np.empty((_TILE_ROWS, _TILE_COLUMNS), np.uint8)
+    for i0 in range(0, left.size, _TILE_ROWS):
+        rows = ours[i0 : i0 + _TILE_ROWS]
+        low, high = int(counts[left[i0]]), int(counts[left[i0 + rows.size - 1]])
+        begin, end = (int(np.searchsorted(ordered, c, s)) for c, s in ((low - radius, "left"), (high + radius, "right")))
+        for j0 in range(max(begin, i0) if side is None else begin, end, _TILE_COLUMNS):
+            columns = theirs[j0 : min(j0 + _TILE_COLUMNS, end)]
+            x, n = apart[: rows.size, : columns.size], bits[: rows.size, : columns.size]
+            np.bitwise_xor(rows[:, None], columns[None, :], out=x)
+            np.bitwise_count(x, out=n)
+            if n.min() <= radius:
+                i, j = np.nonzero(n <= radius)
+                found(left[i + i0], right[j + j0])
+
+
 def linked_wide(halves: np.ndarray, side: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (node, root) of a spanning forest of the links within the radius; a row of ``halves`` is a fingerprint of two words."""
     forest = _Forest(len(halves))
 
     def found(i: np.ndarray, j: np.ndarray) -> None:
-        apart = np.bitwise_count(halves[i] ^ halves[j]).sum(axis=1, dtype=np.int64)
-        near = apart <= radius
+        near = np.bitwise_count(halves[i] ^ halves[j]).sum(axis=1, dtype=np.int64) <= radius
+        near &= i != j
         if near.any():
             forest.join(i[near], j[near])
 
     if len(halves):
         for k in (0, 1):  # of two halves one differs by half of the radius at most
-            _each_link(np.ascontiguousarray(halves[:, k]), side, radius // 2, found)
+            _each_wide_link(np.ascontiguousarray(halves[:, k]), side, radius // 2, found)
     every = np.arange(len(halves))
     root = forest.roots(every)
     return every[root != every], root[root != every]
