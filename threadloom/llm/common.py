@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +60,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs lie on the executors' disks until the driver has collected what refers to them; this has it do so now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Chain:
     """Tables that follow one another, each made from the one before: when one is written, the one before goes."""
 
@@ -84,6 +91,11 @@ def sized_texts(side: DataFrame, *columns: str) -> DataFrame:
     return F.broadcast(side) if total <= BROADCAST_BYTES else side
 
 
+def table_bytes(side: DataFrame, *columns: str) -> int:
+    """What these text columns take together, with some bytes a row for the rest."""
+    return side.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(64))).alias("n")).first()["n"] or 0
+
+
 def digest_of(text_col: str) -> Column:
     """What tells texts apart: the SHA-256 of the bytes; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
