@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,10 +62,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterable, rows: int = 1000) -> Iterator:
+    """The same batches, some rows at a time, so that what a task makes of them stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def forget_shuffles(spark: SparkSession) -> None:
     """Shuffle files of finished jobs lie on the executors' disks until the driver has collected what refers to them; this has it do so now."""
     gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round frees holds more
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 class Chain:

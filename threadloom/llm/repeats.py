@@ -3,10 +3,10 @@
 A window is a string of ``length`` bytes. Ranking every position of a corpus again and again would shuffle many times its size, so positions are first put
 into groups that no match can cross: each window takes the place of its least hash of ``GRAM`` bytes as its anchor, and equal windows have equal
 anchors. Neighbouring windows share an anchor, and are one context of a few dozen bytes. A first pass finds the anchors that stand
-more than once; only their contexts go on, each once with the smallest and largest id that has it, partitioned by anchor.
+more than once, a second one their contexts, each with the smallest and largest id that has it.
 
-Where an anchor has one context, all its windows are the same everywhere. Elsewhere prefix doubling tells windows apart: within an anchor,
-Spark sorts the positions by their first bytes and ranks them, then sorts by pairs of the rank of a position and of the one as far on as the ranked prefix
+Where an anchor has one context, all its windows are the same everywhere. Elsewhere prefix doubling tells windows apart: a third pass takes the
+bytes of these contexts, partitioned by anchor; within an anchor, Spark sorts the positions by their first bytes and ranks them, then sorts by pairs of the rank of a position and of the one as far on as the ranked prefix
 is long, ranks anew, and so on until the prefix is the window. Positions that nothing equals drop out at each round. Contexts, with the smallest id of each of their windows, are then
 joined to the places where they stand.
 
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import forget_shuffles, written
+from threadloom.llm.common import forget_shuffles, slices, written
 
 LENGTH = 50
 #: Bytes that an anchor is chosen by; the first prefix that is ranked is half a window.
-GRAM = 24
+GRAM = 32
 #: Texts are looked at in runs of at least so many bytes, and longer ones in parts of so many windows.
 _RUN, _PART = 1 << 16, 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
@@ -128,7 +128,7 @@ def _shared(own: DataFrame, length: int, gram: int) -> DataFrame:
     """(key) of the anchors that stand more than once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [key for key, *_ in _anchors(batch.column(0), length, gram)]
             if found:
                 key, n = np.unique(np.concatenate(found).view(np.int64), return_counts=True)
@@ -166,7 +166,7 @@ def _places(own: DataFrame, sent, length: int, gram: int) -> DataFrame:
     """(key, context, doc_id, mark, first, n): each run of windows whose anchor may be shared, with the text it stands in."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
             for key, context, text, first, last, _, _ in _anchors(batch.column(2), length, gram):
                 k = np.flatnonzero(_known(sent.value, key))
@@ -176,37 +176,44 @@ def _places(own: DataFrame, sent, length: int, gram: int) -> DataFrame:
     return own.mapInArrow(work, "key long, context long, doc_id long, mark long, first long, n int")
 
 
-def _contexts(own: DataFrame, sent, length: int, gram: int) -> DataFrame:
-    """(key, context, bytes, least, most): each context once, with the smallest and the largest id that has it, partitioned by key."""
+def _contexts(own: DataFrame, sent, length: int, gram: int, whole: bool) -> DataFrame:
+    """(key, context, bytes, least, most): each context once, with the smallest and the largest id that has it, partitioned by key. ``bytes`` are null
+    unless they are asked for."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            held: dict[tuple[int, int], list] = {}
+            found = [[np.zeros(0, np.int64)] * 3]
+            seen: list[bytes | None] = []
             for key, context, text, first, last, data, at in _anchors(batch.column(1), length, gram):
                 k = np.flatnonzero(_known(sent.value, key))
-                whole = data.tobytes()
-                for pair, i, a, b in zip(zip(key[k].tolist(), context[k].tolist(), strict=True), ids[text[k]].tolist(), at[k].tolist(), (at + last - first + length)[k].tolist(), strict=True):
-                    x = held.get(pair)
-                    if x is None:
-                        held[pair] = [whole[a:b], i, i]
-                    elif i < x[1]:
-                        x[1] = i
-                    elif i > x[2]:
-                        x[2] = i
-            key, context = np.array(list(held), np.uint64).reshape(-1, 2).T
-            seen, least, most = zip(*held.values(), strict=True) if held else ((), (), ())
-            columns = [np.ascontiguousarray(key).view(np.int64), np.ascontiguousarray(context).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(seen, pa.binary()), pa.array(least, pa.int64()), pa.array(most, pa.int64())], ["key", "context", "bytes", "least", "most"])
+                found.append([key[k].view(np.int64), context[k].view(np.int64), ids[text[k]]])
+                text = data.tobytes() if whole else b""
+                seen += [text[a:b] for a, b in zip(at[k].tolist(), (at + last - first + length)[k].tolist(), strict=True)] if whole else [None] * k.size
+            key, context, of = map(np.concatenate, zip(*found, strict=True))
+            order = np.lexsort((of, context, key))  # each context once, with its first and last id
+            key, context, of = key[order], context[order], of[order]
+            begins = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (context[1:] != context[:-1])]) if key.size else np.zeros(0, np.int64)
+            ends = np.r_[begins[1:], key.size] - 1 if key.size else begins
+            texts = pa.array([seen[i] for i in order[begins].tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key[begins]), pa.array(context[begins]), texts, pa.array(of[begins]), pa.array(of[ends])], ["key", "context", "bytes", "least", "most"])
 
     found = own.select("doc_id", "text").mapInArrow(work, "key long, context long, bytes binary, least long, most long")
-    return found.repartition("key").groupBy("key", "context", "bytes").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    by = ["key", "context", "bytes"] if whole else ["key", "context"]
+    return found.repartition("key").groupBy(*by).agg(F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def ranked_windows(contexts: DataFrame, length: int, start: int) -> DataFrame:
     """(key, context, at, low) of ``contexts(key, context, bytes, least)``: for windows of a context that other contexts of smaller ids than its own have too,
     the smallest of these. Prefixes of ``start`` bytes are ranked first; each round doubles them."""
-    rows = contexts.select("key", "context", "least", F.posexplode(F.expr(f"transform(sequence(0, octet_length(bytes) - {start}), i -> substring(bytes, i + 1, {start}))")).alias("at", "prefix"))
+    # of the places past the last window only those that are some rounds' steps from one
+    steps, have = {0}, start
+    while have < length:
+        steps, have = steps | {s + min(have, length - have) for s in steps}, have + min(have, length - have)
+    wanted = " or ".join(f"i between {s} and octet_length(bytes) - {length - s}" for s in sorted(steps))
+    places = F.expr(f"filter(sequence(0, octet_length(bytes) - {start}), i -> {wanted})")
+    rows = contexts.select("key", "context", "least", "bytes", F.explode(places).alias("at"))
+    rows = rows.select("key", "context", "least", "at", F.expr(f"substring(bytes, at + 1, {start})").alias("prefix"))
     by = ["prefix"]
     have = start
     while True:
@@ -231,17 +238,18 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gram = min(gram, length)
     keys = written(_shared(own, length, gram), "repeat-keys")
     forget_shuffles(spark)
-    sent = spark.sparkContext.broadcast(_filter(keys))
-    contexts = _contexts(own, sent, length, gram)
     by_key = Window.partitionBy("key")
+    contexts = _contexts(own, spark.sparkContext.broadcast(_filter(keys)), length, gram, whole=False)
     contexts = contexts.withColumns({"all": F.count("*").over(by_key), "low": F.min("least").over(by_key), "high": F.max("most").over(by_key)}).filter("low < high")
-    contexts = written(contexts.select("key", "context", "bytes", "least", "most", "all"), "repeat-contexts")
+    contexts = written(contexts.select("key", "context", "least", "most", "all"), "repeat-contexts")
     forget_shuffles(spark)
-    lows = ranked_windows(contexts.filter("all > 1").select("key", "context", "bytes", "least").repartition("key"), length, start or -(-length // 2))
+    unlike = spark.sparkContext.broadcast(_filter(contexts.filter("all > 1").select("key").distinct()))
+    lows = ranked_windows(_contexts(own, unlike, length, gram, whole=True).select("key", "context", "bytes", "least"), length, start or -(-length // 2))
     lows = lows.groupBy("key", "context").agg(F.collect_list(F.struct("at", "low")).alias("lows"))
     told = contexts.select("key", "context", "least", "most").join(lows, ["key", "context"], "left").filter("least < most or lows is not null")
     told = written(told.drop("most"), "repeat-told")
     forget_shuffles(spark)
+    sent = spark.sparkContext.broadcast(_filter(told.select("key").distinct()))
     places = _places(own, sent, length, gram).join(told, ["key", "context"])
     # of the texts that share a context all but the first have every window from it
     whole = F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n") - 1).alias("b")))
@@ -264,7 +272,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     forget_shuffles(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans, kept, sizes = [], [], []
             for text, hit in zip(batch.column(1), batch.column(2), strict=True):
                 data = text.as_py()
