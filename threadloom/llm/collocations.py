@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import BROADCAST_BYTES, table_bytes, written
+from threadloom.llm.common import BROADCAST_BYTES, slices, table_bytes, written
 
 LEAST, WORDS, SHARE, TOP = 30, 4, 80, 2000
 _TOKEN = re.compile(rb"[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
 _ENDS = frozenset(bytes([c]) for c in b".,;:!?\n\v\f\r")
 #: Distinct words that a task counts before it hands them on, and ids that it pairs at a time.
-_HELD, _IDS = 500_000, 2_000_000
+_HELD, _IDS = 100_000, 500_000
 _NONE = -1
 
 
@@ -47,7 +47,7 @@ def _word_counts(docs: DataFrame, least: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(f, pa.int64())], ["lang", "word", "f"])
 
         held: dict[str, Counter] = defaultdict(Counter)
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held[lang].update(tokens(text.as_py()))
                 if sum(map(len, held.values())) > _HELD:
@@ -76,18 +76,27 @@ def _pair_counts(rows: DataFrame, least: int) -> DataFrame:
     """(left, right, f) of the frequent pairs of adjacent ids."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        def counted() -> pa.RecordBatch:
+            left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            names, places = np.unique(np.concatenate([left, right]), return_inverse=True)
+            pairs, f = np.unique(places[: left.size] * names.size + places[left.size :], return_counts=True)
+            first, second = np.divmod(pairs, max(names.size, 1))
+            return pa.RecordBatch.from_arrays([pa.array(names[first]), pa.array(names[second]), pa.array(f.astype(np.int64))], ["left", "right", "f"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in slices(batches):
             ids, offsets = _lists(batch.column(0))
             ends = np.zeros(ids.size + 1, bool)
             ends[offsets[1:]] = True  # between the last id of a text and the first of the next
             for a in range(0, max(ids.size - 1, 0), _IDS):
                 left, right = ids[a : min(a + _IDS, ids.size - 1)], ids[a + 1 : a + 1 + _IDS]
                 whole = (left != _NONE) & (right != _NONE) & ~ends[a + 1 : a + 1 + left.size]
-                names, places = np.unique(np.concatenate([left[whole], right[whole]]), return_inverse=True)
-                n = int(whole.sum())
-                pairs, f = np.unique(places[:n] * names.size + places[n:], return_counts=True)
-                first, second = np.divmod(pairs, max(names.size, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(names[first]), pa.array(names[second]), pa.array(f.astype(np.int64))], ["left", "right", "f"])
+                held.append((left[whole], right[whole]))
+                if sum(x.size for x, _ in held) > 2 * _IDS:
+                    yield counted()
+        if held:
+            yield counted()
 
     counted = rows.select("ids").mapInArrow(work, "left long, right long, f long").groupBy("left", "right").agg(F.sum("f").alias("f"))
     return counted.filter(F.col("f") >= least)
@@ -109,7 +118,7 @@ def name_words(docs: DataFrame, words: DataFrame, most_bytes: int = BROADCAST_BY
             known: dict[str, dict[bytes, int]] = defaultdict(dict)
             for lang, word, i in zip(*(sent.value.column(c).to_pylist() for c in ("lang", "word", "id")), strict=True):
                 known[lang][word] = i
-            for batch in batches:
+            for batch in slices(batches):
                 found = []
                 for lang, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                     get = known[lang].get
@@ -121,7 +130,7 @@ def name_words(docs: DataFrame, words: DataFrame, most_bytes: int = BROADCAST_BY
         return docs.select("row", "lang", "text").mapInArrow(work, "row long, ids array<long>").filter("exists(ids, x -> x >= 0)")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [[w.decode() for w in tokens(x.as_py())] for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["row", "lang", "words"])
 
@@ -141,7 +150,7 @@ def name_pairs(rows: DataFrame, pairs: DataFrame, most_bytes: int = BROADCAST_BY
             code = at.astype(np.int64) * max(rights.size, 1) + to
             order = np.argsort(code)
             code, name = code[order], name[order]
-            for batch in batches:
+            for batch in slices(batches):
                 ids, offsets = _lists(batch.column(1))
                 out = np.full(ids.size, _NONE, np.int64)
                 for a in range(0, max(ids.size - 1, 0), _IDS):
