@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 import xxhash
 
 from threadloom.llm import simhash
@@ -92,28 +93,54 @@ def test_blocks(spark):
     links = simhash.copy_links(nodes, 26, block_rows=40).collect()
     edges = {(bytes(x["u"]), bytes(x["v"])) for x in links}
     want = slow_groups(prints, 26)
-    got = simhash.drop_similar(docs(spark, plain(rows)))
-    assert {x["doc_id"] for x in got.collect()} == set(want.values())
+    mine = simhash._Forest(len(prints))
+    at = {p.to_bytes(16, "little"): k for k, p in enumerate(sorted(set(prints.values())))}
+    mine.join(*(np.array([at[e[k]] for e in edges]) for k in (0, 1)))
+    roots = mine.roots(np.arange(len(prints)))
+    want = slow_groups(prints, 26)
+    assert len({roots[at[p.to_bytes(16, "little")]] for p in prints.values()}) == len(set(want.values()))
     assert all((int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count() for a, b in edges)
 
 
-def test_recall_of_similar_texts(spark):
-    """Pairs of different texts with a Jaccard similarity of 0.8 or more end in one group; unlike ones stay."""
-    src = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()
-    texts = {x["doc_id"]: x["text"] for x in src if x["text"]}
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_against_all_pairs_of_sets(spark, sf):
+    """Whatever goes is similar to a text that stays and comes before it; of similar pairs nine in ten at least don't both stay."""
+    rows = {x["doc_id"]: x["text"] for x in pq.read_table(f"/root/testdata/{sf}/documents.parquet").to_pylist()}
+    first = {}
+    for i in sorted(rows):
+        first.setdefault(rows[i] or "", i)
+    sets = {i: frozenset(shingles(rows[i])) for i in first.values()}
     by_shingle = {}
-    sets = {i: set(shingles(t)) for i, t in texts.items()}
     for i, s in sets.items():
         for x in s:
             by_shingle.setdefault(x, []).append(i)
     common = Counter()
     for ids in by_shingle.values():
-        if len(ids) < 60:
-            common.update((a, b) for n, a in enumerate(ids) for b in ids[n + 1 :])
+        common.update((a, b) for n, a in enumerate(ids) for b in ids[n + 1 :])
     similar = [(a, b) for (a, b), n in common.items() if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8]
-    groups = slow_groups({i: int.from_bytes(simhash.wide_fingerprint(t), "little") for i, t in texts.items()}, simhash.radius_of(0.8))
-    caught = sum(groups[a] == groups[b] for a, b in similar)
-    assert len(similar) > 5 and caught >= 0.9 * len(similar)
-    members = Counter(groups.values())
-    partners = {x for pair, n in common.items() if n / min(len(sets[pair[0]]), len(sets[pair[1]])) > 0.3 for x in pair}
-    assert all(members[groups[i]] == 1 for i in texts if i not in partners)
+    stays = {r["doc_id"] for r in simhash.drop_similar(docs(spark, plain(list(rows.items()))), most_shingles=5000).collect()}
+    near = {i: [] for i in sets}
+    for a, b in similar:
+        near[max(a, b)].append(min(a, b))
+    gone = set(sets) - stays
+    assert stays <= set(sets) and all(any(j in stays for j in near[i]) for i in gone)
+    assert sum(a in stays and b in stays for a, b in similar) <= len(similar) // 10 and gone
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_groups_do_not_chain(spark, most):
+    """Of a chain of texts, each similar to the next, those stay that are similar to none before that stays; in one task and in rounds."""
+    words = [f"w{k}" for k in range(60)]
+    texts = {i: " ".join(words[2 * i : 2 * i + 40]) for i in range(1, 9)} | {20 + i: " ".join([f"x{i}"] * i) for i in range(4)} | {30: None, 31: ""}
+    sets = {i: frozenset(shingles(t)) for i, t in texts.items()}
+    kept = []
+    for i in sorted(texts):
+        if all(jaccard(sets[i], sets[j]) < 0.8 for j in kept):
+            kept.append(i)
+    rows = spark.createDataFrame([(bytearray(b"r"), (False, i), bytearray(str(i).encode()), t) for i, t in texts.items()], "root binary, first struct<none: boolean, id: long>, digest binary, text string")
+    got = simhash._distinct_in_groups(simhash.shingle_sets(rows, 5), 0.8, most).collect()
+    assert sorted(int(bytes(r["digest"])) for r in got) == kept and len(kept) < len(texts)

@@ -9,7 +9,7 @@ never the pairs themselves.
 
 Near copies by similarity take fingerprints of 128 bits, whose distance estimates the cosine of shingle counts well enough to
 tell 0.8 from chance among many documents. They are compared by the same tiles in either half: of a pair within the radius one
-half is within half of it.
+half is within half of it. What fingerprints link is only a candidate: shingle sets of a group's texts are compared exactly before one goes.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 #: Near copies: words of a shingle, the least similarity, and the bits of a fingerprint.
 COPY_WORDS, COPY_SIMILARITY, COPY_BITS = 5, 0.8, 128
+#: A group whose texts have so many shingles together is compared in one task.
+GROUP_SHINGLES = 1 << 20
 #: Blocks of these are made so small that there are so many, down to so many fingerprints.
 COPY_BLOCKS, COPY_BLOCK_ROWS = 8, 4096
 #: Fingerprints of one side of a comparison task (8 bytes each).
@@ -359,18 +361,105 @@ def drop_near_copies(
     return one_of_each(docs, id_col, text_col, _rooted(prints, roots))
 
 
+def shingle_sets(docs: DataFrame, words_per_shingle: int) -> DataFrame:
+    """``docs(text, ...)`` with ``shingles``, the hashes of the text's distinct shingles in order, in the text's place. A text of fewer words is one shingle."""
+    names = [c for c in docs.columns if c != "text"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x in batch.column("text"):
+                words = x.as_py().encode("utf-8", "surrogatepass").lower().split()
+                k = min(words_per_shingle, len(words)) or 1
+                each = [xxhash.xxh3_64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)]
+                found.append(np.unique(np.array(each, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.list_(pa.int64()))], [*names, "shingles"])
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.drop("text").schema) + ", shingles array<long>"
+    return docs.select(*names, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, kind)
+
+
+def _distinct_in_groups(sets: DataFrame, similarity: float, most_shingles: int) -> DataFrame:
+    """(digest) of the texts that stay, of ``sets(root, first, digest, shingles)``: in each group, in the order of ``first`` and digest, a text stays
+    unless one that stays before it has this Jaccard similarity to it or more.
+
+    Groups of up to ``most_shingles`` are told in a task each. Of larger ones all texts are compared with the first one, in joins; it stays, those that are
+    similar go, and the others are groups again. So no two texts of a group that stay are similar, and none goes but by one that stays.
+    """
+
+    def work(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("none", "ascending"), ("id", "ascending"), ("digest", "ascending")])
+        stays: list[tuple[bytes, np.ndarray]] = []
+        offsets = part.column("shingles").combine_chunks()
+        for i, digest in enumerate(part.column("digest").to_pylist()):
+            mine = offsets[i].values.to_numpy()
+            for other, theirs in stays:
+                least, most = sorted((mine.size, theirs.size))
+                if other == digest or not most or least >= similarity * most and _jaccard(mine, theirs) >= similarity:
+                    break
+            else:
+                stays.append((digest, mine))
+        return pa.table({"digest": pa.array([d for d, _ in stays], pa.binary())})
+
+    order = F.struct("first", "digest")
+    kept = []
+    while True:
+        sizes = sets.groupBy("root").agg(F.sum(F.size("shingles")).alias("n"), F.min(order).alias("head"), F.count("*").alias("rows"))
+        sizes = written(sizes, "similar-sizes")
+        small = sets.join(sized(sizes.filter((F.col("n") <= most_shingles) | (F.col("rows") == 1)).select("root"), BROADCAST_ROWS // 4), "root", "left_semi")
+        kept.append(small.select("root", "digest", "shingles", "first.none", "first.id").groupBy("root").applyInArrow(work, "digest binary"))
+        large = sizes.filter((F.col("n") > most_shingles) & (F.col("rows") > 1)).select("root", F.col("head.digest").alias("head"))
+        if large.isEmpty():
+            break
+        heads = sets.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS // 4 else large, "root").filter("digest = head").select("root", "head", F.col("shingles").alias("theirs")).dropDuplicates(["root"])
+        kept.append(large.select(F.col("head").alias("digest")))
+        both = sets.join(heads, "root")
+        common = F.size(F.array_intersect("shingles", "theirs"))
+        alike = F.when(F.size("theirs") + F.size("shingles") == 0, 1.0).otherwise(common / (F.size("theirs") + F.size("shingles") - common))
+        sets = written(both.filter((F.col("digest") != F.col("head")) & (alike < similarity)).select(*sets.columns), "similar-left")
+    out = kept[0]
+    for x in kept[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    common = np.intersect1d(a, b, assume_unique=True).size
+    return common / (a.size + b.size - common)
+
+
 def drop_similar(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = COPY_WORDS, similarity: float = COPY_SIMILARITY
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words_per_shingle: int = COPY_WORDS,
+    similarity: float = COPY_SIMILARITY,
+    most_shingles: int = GROUP_SHINGLES,
 ) -> DataFrame:
-    """``docs`` with one row of each group of near copies, as ``one_of_each`` picks it. All columns stay.
+    """``docs`` without near copies: texts whose sets of shingles have this Jaccard similarity or more. All columns stay.
 
-    Texts are near copies where their fingerprints of 128 bits differ by no more than those of texts whose counts of shingles have this
-    cosine do on average (26 bits for 0.8). Groups are the components of these links.
+    Texts may be near copies where their fingerprints of 128 bits differ by no more than those of texts whose counts of shingles have this
+    cosine do on average (26 bits for 0.8), or are joined by such links. In each such group the sets are compared exactly, and a text goes only
+    where it is similar to one that stays and comes before it: rows come in the order of their ids (null last) and of the digests of their texts. Of rows that
+    repeat a text, the first stays. Null and empty texts are equal. An empty table gives an empty result.
     """
     prints = written(wide_fingerprints(docs, id_col, text_col, words_per_shingle), "simhash")
     nodes = written(prints.select("fp").distinct(), "simhash-distinct")
     roots = connected_components(copy_links(nodes, radius_of(similarity)), "u", "v", "simhash-links")
-    return one_of_each(docs, id_col, text_col, _rooted(prints, roots))
+    rows = _rooted(prints, roots)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first")
+    texts = written(rows.groupBy("root", "digest").agg(first, F.count("*").alias("n")), "similar-texts")
+    groups = texts.groupBy("root").agg(F.count("*").alias("texts")).filter("texts > 1").select("root")
+    alone = texts.join(groups, "root", "left_anti").select("digest")
+    asked = written(texts.join(groups, "root", "left_semi"), "similar-asked")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), digest_of(text_col).alias("of"), F.col(text_col).cast("string").alias("text"))
+    same = own["id"].eqNullSafe(F.col("first.id")) & (F.col("of") == F.col("digest"))
+    sets = shingle_sets(own.join(sized(asked, BROADCAST_ROWS // 8), same).select("root", "first", "digest", "text"), words_per_shingle)
+    stays = written(_distinct_in_groups(written(sets, "similar-sets"), similarity, most_shingles).unionByName(alone).distinct(), "similar-stays")
+    keeps = texts.join(stays, "digest", "left_semi").select(F.col("first.id").alias("keep_id"), F.col("digest").alias("keep_digest"))
+    told = rows.join(keeps, F.col("digest") == F.col("keep_digest"), "left")
+    told = told.select("doc_id", "digest", (F.col("keep_digest").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays"))
+    return _staying(docs, id_col, text_col, written(told, "simhash-told"))
 
 
 def _rooted(prints: DataFrame, roots: DataFrame) -> DataFrame:
@@ -391,7 +480,11 @@ def one_of_each(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame) ->
         F.col("root").alias("of"), F.col("k.id").alias("keep_id"), F.col("k.digest").alias("keep_digest")
     )
     own = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest"))
-    told = written(rows.join(keeps, F.col("root") == F.col("of")).select("doc_id", "digest", own.alias("stays")), "simhash-told")
+    return _staying(docs, id_col, text_col, written(rows.join(keeps, F.col("root") == F.col("of")).select("doc_id", "digest", own.alias("stays")), "simhash-told"))
+
+
+def _staying(docs: DataFrame, id_col: str, text_col: str, told: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``told(doc_id, digest, stays)`` that don't stay, and with one of those that repeat a row that does."""
     left = without_rows(docs, id_col, text_col, told.filter("not stays"))
     kept = told.filter("stays").agg(F.count("*").alias("n"), F.count_distinct("digest", F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull()).alias("d")).first()
     if kept["n"] == kept["d"]:
