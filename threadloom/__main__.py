@@ -16,7 +16,7 @@ from threadloom.operators.sessions import enclosing_repo
 from threadloom.operators.store import Store
 from threadloom.plans import admin
 from threadloom.plans.query import iso, parse_query
-from threadloom.plans.search import Context, recent, search, stored_corpus
+from threadloom.plans.search import Context, follow_index, recent, search, stored_corpus
 from threadloom.plans.sync import run_sync
 from threadloom.schemas import PROVIDERS
 from threadloom.sources.embedding_services import ready_embedder
@@ -100,6 +100,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
             print(step, file=sys.stderr)
 
         out = run_sync(spark, store, roots_of(args, config), iso(now), config, embedder, args.full, args.provider, enclosing_repo(os.path.exists), tell)
+        tell("indexing")
+        follow_index(store)
         print(json.dumps(asdict(out)) if args.json else "\n".join(f"{k}: {v}" for k, v in asdict(out).items()))
     elif args.command == "doctor":
         for r in admin.report(store, config, usable(config)).collect():

@@ -1,7 +1,9 @@
 """Lexical search: positional postings, phrase matches and BM25.
 
-The index is three tables: postings (doc, field, term, pos), the words of each text, and document lengths. ``saved`` writes
-them, postings in order of term, so that a query's terms reach the scan and prune it. A query is a set of phrases that must all match. Postings are filtered by the terms of the queries at hand before anything is shuffled,
+The index is a table of lists (doc, field, term, n, positions), a row for each term of each text, and document lengths. An index that is
+made for one job builds the lists of the terms at hand from the texts; ``saved`` writes those of all terms, in order of term, so that a query's terms reach the
+scan and prune it. A query is a set of phrases that must all match. A phrase's places are where the lists of its terms, moved by their offsets, meet:
+no text is read again. Lists are filtered by the terms of the queries at hand before anything is shuffled,
 and shuffled by document, so a frequent term spreads over all tasks.
 """
 
@@ -23,29 +25,74 @@ CANDIDATES = 100
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # doc, field, term, pos
-    texts: DataFrame  # doc, field, tokens
     lengths: DataFrame  # doc, n_tokens over all fields
     weights: dict[str, float]
     tokens: object
+    texts: DataFrame | None = None  # doc, field, tokens: what lists are made from
+    stored: DataFrame | None = None  # doc, field, term, n, positions: or all lists, written
+    totals: tuple[int, int] | None = None  # documents and their tokens, where they are known
+    among: tuple[str, ...] | None = None  # the only terms that will be asked for
 
     def stats(self) -> DataFrame:
         """One row: n_docs, avg_tokens."""
+        if self.totals:
+            docs, tokens = self.totals
+            return self.lengths.sparkSession.createDataFrame([(docs, tokens / docs if docs else None)], "n_docs long, avg_tokens double")
         return self.lengths.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))
 
     def only(self, terms: list[str]) -> Index:
         """The same index for queries of these terms, of which there should be few: a filter that scans can push down."""
-        return replace(self, postings=self.postings.filter(F.col("term").isin(sorted(set(terms)))))
+        return replace(self, among=tuple(sorted(set(terms))))
+
+    def _asked(self, rows: DataFrame) -> DataFrame:
+        return rows if self.among is None else rows.filter(F.col("term").isin(list(self.among)))
+
+    @property
+    def postings(self) -> DataFrame:
+        """(doc, field, term, pos), a row for each word of each text."""
+        if self.stored is None:
+            return self._asked(_postings(self.texts))
+        return self._asked(self.stored).select("doc", "field", "term", F.explode("positions").alias("pos"))
+
+    def counts(self, terms: DataFrame) -> DataFrame:
+        """(doc, field, n, and the columns of ``terms(term, ...)``): how often each asked term stands in each text."""
+        if self.stored is not None:
+            return self._asked(self.stored).select("doc", "field", "term", "n").join(terms, "term")
+        return self.postings.join(terms, "term").groupBy("doc", "field", *terms.columns).agg(F.count("*").cast("int").alias("n"))
+
+    def lists(self, terms: DataFrame) -> DataFrame:
+        """(doc, field, term, positions) of the ``terms(term)``, which are distinct; positions ascend."""
+        if self.stored is not None:
+            return self._asked(self.stored).select("doc", "field", "term", "positions").join(terms, "term", "left_semi")
+        return _lists(self.postings.join(terms, "term", "left_semi")).select("doc", "field", "term", "positions")
 
     def saved(self, path: str) -> Index:
         """Writes the tables below ``path`` and reads them from there."""
-        texts = self.texts
-        texts.write.mode("overwrite").parquet(f"{path}/texts")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        texts = texts.sparkSession.read.schema(texts.schema).parquet(f"{path}/texts")
-        n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        _postings(texts).repartitionByRange(n, "term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
-        return load_index(texts.sparkSession, path, self.weights, self.tokens is stemmed_tokens)
+        write_lists(self.texts, f"{path}/lists")
+        return load_index(self.lengths.sparkSession, path, self.weights, self.tokens is stemmed_tokens)
+
+
+def _lists(postings: DataFrame) -> DataFrame:
+    lists = postings.groupBy("doc", "field", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return lists.select("doc", "field", "term", F.size("positions").alias("n"), "positions")
+
+
+def write_lists(texts: DataFrame, path: str) -> None:
+    """The lists of all terms of ``texts(doc, field, tokens)``, in order of term. A text's lists are made where the text is: nothing is shuffled but lists."""
+    # positions by term: a text's (term, position) pairs in order, cut where the term changes
+    pairs = F.array_sort(F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    each = texts.select("doc", "field", pairs.alias("p")).select("doc", "field", "p", F.expr("filter(sequence(1, size(p)), k -> k = 1 or get(p, k - 1).t <> get(p, k - 2).t)").alias("cuts"))
+    each = each.filter("size(p) > 0").select("doc", "field", "p", F.posexplode("cuts").alias("at", "cut"), F.expr("size(p)").alias("size"), F.col("cuts"))
+    end = F.coalesce(F.get("cuts", F.col("at") + 1), F.col("size") + 1)
+    part = F.slice("p", F.col("cut"), end - F.col("cut"))
+    lists = each.select("doc", "field", part.alias("part")).select("doc", "field", F.expr("get(part, 0).t").alias("term"), F.size("part").alias("n"), F.col("part.i").alias("positions"))
+    sort_lists(lists).write.mode("overwrite").parquet(path)
+
+
+def sort_lists(lists: DataFrame) -> DataFrame:
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lists.repartitionByRange(n, "term", "doc").sortWithinPartitions("term", "doc")
 
 
 def build_index(docs: DataFrame, id_col: str, fields: dict[str, float], stemmed: bool = True) -> Index:
@@ -54,7 +101,7 @@ def build_index(docs: DataFrame, id_col: str, fields: dict[str, float], stemmed:
     split = docs.select(F.col(id_col).alias("doc"), *(make(F.col(f)).alias(f) for f in fields))
     n = sum((F.coalesce(F.size(f), F.lit(0)) for f in fields), F.lit(0))
     texts = split.select("doc", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens")) for f in fields))))
-    return Index(_postings(texts), texts, split.select("doc", n.cast("long").alias("n_tokens")), dict(fields), make)
+    return Index(split.select("doc", n.cast("long").alias("n_tokens")), dict(fields), make, texts)
 
 
 def _postings(texts: DataFrame) -> DataFrame:
@@ -63,7 +110,7 @@ def _postings(texts: DataFrame) -> DataFrame:
 
 def load_index(spark: SparkSession, path: str, weights: dict[str, float], stemmed: bool = True) -> Index:
     read = spark.read.parquet
-    return Index(read(f"{path}/postings"), read(f"{path}/texts"), read(f"{path}/lengths"), dict(weights), stemmed_tokens if stemmed else plain_tokens)
+    return Index(read(f"{path}/lengths"), dict(weights), stemmed_tokens if stemmed else plain_tokens, stored=read(f"{path}/lists"))
 
 
 def phrase_table(index: Index, queries: DataFrame, phrases: Column) -> DataFrame:
@@ -77,28 +124,28 @@ def phrase_table(index: Index, queries: DataFrame, phrases: Column) -> DataFrame
 def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
     """(query, phrase, n_phrases, doc, field, hits): how often each phrase stands in each field.
 
-    A phrase of several terms is looked up by its rarest one, and the words around each place are compared then, so a
-    frequent word costs nothing where a rarer one stands beside it.
+    A phrase of several terms is looked up by its rarest one first: only the texts that hold it give the lists of the others, so a
+    frequent word costs little where a rarer one stands beside it. A phrase stands where the lists, each moved back by its term's offset, meet.
     """
     keys = ["query", "phrase", "n_phrases"]
     wanted = phrases.filter("term is not null")
-    one = index.postings.join(wanted.filter("n_terms = 1").select(*keys, "term"), "term").select(*keys, "doc", "field")
-    many = wanted.filter("n_terms > 1")
-    common = index.postings.join(many.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("tf"))
+    one = index.counts(wanted.filter("n_terms = 1").select(*keys, "term")).select(*keys, "doc", "field", F.col("n").cast("long").alias("hits"))
+    many = wanted.filter("n_terms > 1").select(*keys, "n_terms", "offset", "term")
+    terms = many.select("term").distinct()
+    common = index.counts(terms).groupBy("term").agg(F.sum("n").alias("tf"))
     # a term without postings sorts first, and finds nothing
-    rare = F.min(F.struct(F.coalesce("tf", F.lit(0)), "offset", "term")).alias("rare")
-    words = F.transform(F.array_sort(F.collect_list(F.struct("offset", "term"))), lambda x: x["term"]).alias("words")
-    anchors = many.join(common, "term", "left").groupBy(*keys, "n_terms").agg(rare, words).select(
-        *keys, "n_terms", "words", F.col("rare.term").alias("term"), F.col("rare.offset").alias("offset")
-    )
-    places = index.postings.join(anchors, "term").select(*keys, "n_terms", "words", "doc", "field", (F.col("pos") - F.col("offset")).alias("start"))
-    whole = (
-        places.filter("start >= 0")
-        .join(index.texts, ["doc", "field"])
-        .filter(F.slice("tokens", F.col("start") + 1, F.col("n_terms")) == F.col("words"))
-        .select(*keys, "doc", "field")
+    rare = many.join(common, "term", "left").groupBy(*keys).agg(F.min(F.struct(F.coalesce("tf", F.lit(0)), "offset", "term")).alias("rare"))
+    lists = index.lists(terms)
+    held = lists.select("doc", "field", "term").join(rare.select(*keys, F.col("rare.term").alias("term")), "term").drop("term")
+    moved = lists.join(many, "term").withColumn("starts", F.transform("positions", lambda p: p - F.col("offset")))
+    met = (
+        moved.join(held, [*keys, "doc", "field"], "left_semi")
+        .groupBy(*keys, "n_terms", "doc", "field")
+        .agg(F.collect_list("starts").alias("starts"))
+        .filter("size(starts) = n_terms")
+        .withColumn("hits", F.expr("size(aggregate(slice(starts, 2, n_terms), starts[0], (a, b) -> array_intersect(a, b)))").cast("long"))
     )
-    return one.unionByName(whole).groupBy(*keys, "doc", "field").agg(F.count("*").alias("hits"))
+    return one.unionByName(met.filter("hits > 0").select(*keys, "doc", "field", "hits"))
 
 
 def bm25(index: Index, phrases: DataFrame) -> DataFrame:

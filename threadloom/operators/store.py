@@ -8,7 +8,6 @@ without the store.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,6 +15,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.operators.segments import Catalogue
 from threadloom.schemas import TABLES
 
 
@@ -89,30 +89,14 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._open: dict[str, int] | None = None
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._file = Catalogue(spark, f"{self.root}/_CATALOGUE")
+        self._path, self._fs = spark._jvm.org.apache.hadoop.fs.Path, self._file.fs
 
     def _catalogue(self) -> dict[str, int]:
-        at = self._path(f"{self.root}/_CATALOGUE")
-        if not self._fs.exists(at):
-            return {}
-        stream = self._fs.open(at)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return self._file.read()
 
     def _point(self, versions: dict[str, int]) -> None:
-        """Puts a new catalogue in the place of the old one. Where a file system can't rename over a file, the old one goes first."""
-        aside, at = self._path(f"{self.root}/_CATALOGUE.{uuid.uuid4().hex}"), self._path(f"{self.root}/_CATALOGUE")
-        stream = self._fs.create(aside, True)
-        try:
-            stream.write(bytearray(json.dumps(versions).encode()))
-        finally:
-            stream.close()
-        if not self._fs.rename(aside, at):
-            self._fs.delete(at, False)
-            self._fs.rename(aside, at)
+        self._file.put(versions)
 
     @contextmanager
     def together(self) -> Iterator[None]:

@@ -13,6 +13,7 @@ from threadloom.functions.tokens import folded
 from threadloom.operators import lexical, ranking, snippets, vectors
 from threadloom.operators.lexical import Index
 from threadloom.operators.ranking import Weights
+from threadloom.operators.segments import SegmentedIndex
 from threadloom.operators.store import Store
 from threadloom.plans.query import Filters, ParsedQuery, TextPlan, parse_query
 
@@ -38,15 +39,17 @@ class Corpus:
         return cls(sessions, docs, lexical.build_index(fields, "uid", lexical.SESSION_WEIGHTS, stemmed), chunk_vectors)
 
 
+def follow_index(store: Store) -> SegmentedIndex:
+    """The lexical index of a store, brought up to its documents: only those that are new or changed since the last time are read for words."""
+    index, version = SegmentedIndex(store.spark, f"{store.root}/_index", lexical.SESSION_WEIGHTS), store.version("session_docs")
+    if index.state()["of"] != version:
+        index.refresh(store.read("session_docs"), "uid", version)
+    return index
+
+
 def stored_corpus(store: Store) -> Corpus:
-    """The corpus of a store. The lexical index is built once for each version of the documents and kept beside them."""
-    docs, spark = store.read("session_docs"), store.spark
-    path = f"{store.root}/_index/v{store.version('session_docs')}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/postings/_SUCCESS")
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        index = lexical.load_index(spark, path, lexical.SESSION_WEIGHTS)
-    else:
-        index = lexical.build_index(docs, "uid", lexical.SESSION_WEIGHTS).saved(path)
+    """The corpus of a store, with an index that is kept beside its tables and follows them."""
+    docs, index = store.read("session_docs"), follow_index(store).index()
     vectors_ = store.read("chunk_embeddings").join(store.read("chunks").select("chunk_id", "text"), "chunk_id")
     return Corpus(store.read("sessions"), docs, index, vectors_)
 
@@ -74,7 +77,7 @@ def one_query(corpus: Corpus, text: str) -> DataFrame:
 def keyword_hits(corpus: Corpus, text: str, limit: int = lexical.CANDIDATES, among: DataFrame | None = None) -> DataFrame:
     """(uid, bm25, keyword_rank, keyword_score) of the best sessions, of those ``among`` only if given."""
     terms = [w for t in TextPlan.of(text).tokens for w in folded(t)]
-    index = corpus.index.only(terms) if corpus.index.tokens is lexical.stemmed_tokens else corpus.index
+    index = corpus.index.only(terms) if corpus.index.tokens is lexical.stemmed_tokens else corpus.index  # terms are stems
     phrases = lexical.phrase_table(index, one_query(corpus, text), F.col("phrases"))
     scored = lexical.bm25(index, phrases)
     if among is not None:
