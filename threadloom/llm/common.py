@@ -77,6 +77,13 @@ def forget_shuffles(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes the files of a written table that nothing will read again."""
+    files = table.inputFiles()
+    if files:
+        remove_path(table.sparkSession, files[0].rpartition("/")[0])
+
+
 class Chain:
     """Tables that follow one another, each made from the one before: when one is written, the one before goes."""
 

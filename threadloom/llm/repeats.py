@@ -6,8 +6,8 @@ anchors. Neighbouring windows share an anchor, and are one context of a few doze
 more than once, a second one their contexts, each with the smallest and largest id that has it.
 
 Where an anchor has one context, all its windows are the same everywhere. Elsewhere prefix doubling tells windows apart: a third pass takes the
-bytes of these contexts, partitioned by anchor; within an anchor, Spark sorts the positions by their first bytes and ranks them, then sorts by pairs of the rank of a position and of the one as far on as the ranked prefix
-is long, ranks anew, and so on until the prefix is the window. Positions that nothing equals drop out at each round. Contexts, with the smallest id of each of their windows, are then
+bytes of these contexts, partitioned by anchor; within an anchor, Spark sorts the positions by their first bytes and ranks them, then sorts by pairs of the rank of a position and of the one as far on as the ranked string
+is long, ranks anew, and so on until the string is the window. Positions that nothing equals drop out at each round. Contexts, with the smallest id of each of their windows, are then
 joined to the places where they stand.
 
 Contexts are told apart by two hashes of 64 bits together; of the windows that are ranked, the bytes decide.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import forget_shuffles, slices, written
+from threadloom.llm.common import discard, forget_shuffles, slices, written
 
 LENGTH = 50
 #: Bytes that an anchor is chosen by; the first prefix that is ranked is half a window.
@@ -205,29 +205,30 @@ def _contexts(own: DataFrame, sent, length: int, gram: int, whole: bool) -> Data
 
 def ranked_windows(contexts: DataFrame, length: int, start: int) -> DataFrame:
     """(key, context, at, low) of ``contexts(key, context, bytes, least)``: for windows of a context that other contexts of smaller ids than its own have too,
-    the smallest of these. Prefixes of ``start`` bytes are ranked first; each round doubles them."""
-    # of the places past the last window only those that are some rounds' steps from one
-    steps, have = {0}, start
+    the smallest of these.
+
+    Strings of ``start`` bytes are ranked first, at the places of a window that doubling meets; each round ranks pairs of ranks, of a place and of the place as far on as
+    the ranked strings are long, or less at the last round. The rank of equal strings is the first of their rows; a row that nothing equals drops out.
+    """
+    places, have = [0], start
     while have < length:
-        steps, have = steps | {s + min(have, length - have) for s in steps}, have + min(have, length - have)
-    wanted = " or ".join(f"i between {s} and octet_length(bytes) - {length - s}" for s in sorted(steps))
-    places = F.expr(f"filter(sequence(0, octet_length(bytes) - {start}), i -> {wanted})")
-    rows = contexts.select("key", "context", "least", "bytes", F.explode(places).alias("at"))
-    rows = rows.select("key", "context", "least", "at", F.expr(f"substring(bytes, at + 1, {start})").alias("prefix"))
-    by = ["prefix"]
-    have = start
+        step = min(have, length - have)
+        places, have = places + [p + step for p in places], have + step
+    rows = contexts.select("key", "context", "least", "bytes", F.explode(F.expr(f"sequence(0, octet_length(bytes) - {length})")).alias("at"))
+    strings = {f"s{k}": F.expr(f"substring(bytes, at + {p + 1}, {start})") for k, p in enumerate(places)}
+    rows = rows.withColumns(strings).withColumn("row", F.monotonically_increasing_id()).drop("bytes")
+    names = [[s] for s in strings]
     while True:
-        same = Window.partitionBy("key", *by)
-        if have >= length:
-            low = rows.withColumn("low", F.min("least").over(same))
+        if len(names) == 1:
+            low = rows.withColumn("low", F.min("least").over(Window.partitionBy("key", *names[0])))
             return low.filter("low < least").select("key", "context", "at", "low")
-        # positions that nothing equals drop out
-        rows = rows.withColumn("rank", F.dense_rank().over(Window.partitionBy("key").orderBy(*by))).withColumn("same", F.count("*").over(same))
-        rows = rows.filter("same > 1").select("key", "context", "least", "at", "rank")
-        step = min(have, length - have)
-        on = Window.partitionBy("key", "context").orderBy("at").rangeBetween(step, step)
-        rows = rows.withColumn("next", F.max("rank").over(on)).filter("next is not null")
-        by, have = ["rank", "next"], have + step
+        ranks = []
+        for by in names:
+            same = Window.partitionBy("key", *by)
+            rows = rows.withColumns({"rank": F.min("row").over(same), "same": F.count("*").over(same)}).filter("same > 1").drop("same", *by)
+            ranks.append(f"r{len(ranks)}_{len(names)}")
+            rows = rows.withColumnRenamed("rank", ranks[-1])
+        names = [ranks[k : k + 2] for k in range(0, len(ranks), 2)]
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, start: int | None = None) -> DataFrame:
@@ -239,7 +240,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keys = written(_shared(own, length, gram), "repeat-keys")
     forget_shuffles(spark)
     by_key = Window.partitionBy("key")
-    contexts = _contexts(own, spark.sparkContext.broadcast(_filter(keys)), length, gram, whole=False)
+    sent = spark.sparkContext.broadcast(_filter(keys))
+    discard(keys)
+    contexts = _contexts(own, sent, length, gram, whole=False)
     contexts = contexts.withColumns({"all": F.count("*").over(by_key), "low": F.min("least").over(by_key), "high": F.max("most").over(by_key)}).filter("low < high")
     contexts = written(contexts.select("key", "context", "least", "most", "all"), "repeat-contexts")
     forget_shuffles(spark)
@@ -248,6 +251,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lows = lows.groupBy("key", "context").agg(F.collect_list(F.struct("at", "low")).alias("lows"))
     told = contexts.select("key", "context", "least", "most").join(lows, ["key", "context"], "left").filter("least < most or lows is not null")
     told = written(told.drop("most"), "repeat-told")
+    discard(contexts)
     forget_shuffles(spark)
     sent = spark.sparkContext.broadcast(_filter(told.select("key").distinct()))
     places = _places(own, sent, length, gram).join(told, ["key", "context"])
