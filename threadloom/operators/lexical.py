@@ -79,15 +79,8 @@ def _lists(postings: DataFrame) -> DataFrame:
 
 
 def write_lists(texts: DataFrame, path: str) -> None:
-    """The lists of all terms of ``texts(doc, field, tokens)``, in order of term. A text's lists are made where the text is: nothing is shuffled but lists."""
-    # positions by term: a text's (term, position) pairs in order, cut where the term changes
-    pairs = F.array_sort(F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-    each = texts.select("doc", "field", pairs.alias("p")).select("doc", "field", "p", F.expr("filter(sequence(1, size(p)), k -> k = 1 or get(p, k - 1).t <> get(p, k - 2).t)").alias("cuts"))
-    each = each.filter("size(p) > 0").select("doc", "field", "p", F.posexplode("cuts").alias("at", "cut"), F.expr("size(p)").alias("size"), F.col("cuts"))
-    end = F.coalesce(F.get("cuts", F.col("at") + 1), F.col("size") + 1)
-    part = F.slice("p", F.col("cut"), end - F.col("cut"))
-    lists = each.select("doc", "field", part.alias("part")).select("doc", "field", F.expr("get(part, 0).t").alias("term"), F.size("part").alias("n"), F.col("part.i").alias("positions"))
-    sort_lists(lists).write.mode("overwrite").parquet(path)
+    """The lists of all terms of ``texts(doc, field, tokens)``, in order of term."""
+    sort_lists(_lists(_postings(texts))).write.mode("overwrite").parquet(path)
 
 
 def sort_lists(lists: DataFrame) -> DataFrame:

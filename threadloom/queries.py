@@ -447,7 +447,7 @@ def _bm25(index, asked, limit=lexical.CANDIDATES, terms: str | None = None) -> D
     return lexical.top_keyword_hits(lexical.bm25(index, lexical.phrase_table(index, asked, F.col("phrases"))), limit)
 
 
-def _bm25_sql(phrases: list[str], limit: int = 100) -> str:
+def bm25_sql(phrases: list[str], limit: int = 100) -> str:
     """One query of AND-ed phrases over documents."""
     hits = []
     for i, p in enumerate(phrases):
@@ -462,12 +462,12 @@ def _bm25_sql(phrases: list[str], limit: int = 100) -> str:
         top AS (SELECT doc, bm25, row_number() OVER (ORDER BY bm25, doc) AS keyword_rank FROM score QUALIFY keyword_rank <= {limit})"""
 
 
-@query(f"WITH {_bm25_sql(TERMS.split())} SELECT doc AS doc_id, round(bm25, 6) AS bm25, keyword_rank FROM top")
+@query(f"WITH {bm25_sql(TERMS.split())} SELECT doc AS doc_id, round(bm25, 6) AS bm25, keyword_rank FROM top")
 def bm25_topk(spark, d):
     return _bm25(doc_index(spark, d), _asked(spark, [TERMS.split()]), terms=TERMS).select(F.col("doc").alias("doc_id"), r6(F.col("bm25")).alias("bm25"), F.col("keyword_rank").cast("long"))
 
 
-@query(f"WITH {_bm25_sql(['of the', 'in'])} SELECT doc AS doc_id, round(bm25, 6) AS bm25, keyword_rank FROM top")
+@query(f"WITH {bm25_sql(['of the', 'in'])} SELECT doc AS doc_id, round(bm25, 6) AS bm25, keyword_rank FROM top")
 def bm25_and_phrases(spark, d):
     return _bm25(doc_index(spark, d), _asked(spark, [["of the", "in"]]), terms="of the in").select(F.col("doc").alias("doc_id"), r6(F.col("bm25")).alias("bm25"), F.col("keyword_rank").cast("long"))
 
@@ -567,7 +567,7 @@ def _ranked_lists(spark, d) -> tuple[DataFrame, DataFrame]:
     return kw, vec
 
 
-_FUSED_SQL = f"{_bm25_sql(TERMS.split()).replace(' top AS ', ' ktop AS ')}, {_NEAR_SQL}"
+_FUSED_SQL = f"{bm25_sql(TERMS.split()).replace(' top AS ', ' ktop AS ')}, {_NEAR_SQL}"
 
 
 @query(f"""
@@ -654,7 +654,7 @@ def hybrid_search(spark, d):
 
 
 @query(f"""
-    WITH {_bm25_sql(['the'], 5)} SELECT count(*) FILTER (WHERE quality = 1) AS good, count(*) AS judged, CAST(max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS hit
+    WITH {bm25_sql(['the'], 5)} SELECT count(*) FILTER (WHERE quality = 1) AS good, count(*) AS judged, CAST(max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS hit
     FROM (SELECT doc, bm25 FROM score JOIN labels ON doc = doc_id ORDER BY bm25, doc LIMIT 5) JOIN labels ON doc = doc_id
 """)
 def judged_top5_hit_rate(spark, d):

@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.config import Config
+from threadloom.operators import lexical
 from threadloom.operators import store as tables
+from threadloom.operators.segments import SegmentedIndex
 from threadloom.operators.store import Store
 from threadloom.operators.vectors import HashingEmbedder
 from threadloom.plans import admin
 from threadloom.plans.sync import run_sync
-from threadloom.queries import SESSIONS_SQL, query, sessions, table
+from threadloom.queries import SESSIONS_SQL, bm25_sql, query, sessions, table
 from threadloom.queries_text import codex_files, pi_files
 from threadloom.schemas import TABLES
 from threadloom.sources import transcripts
@@ -227,6 +229,37 @@ def _filled(spark, d) -> Store:
     return store
 
 
+# -- kept indexes ----------------------------------------------------------------------------------------------------------
+
+_CHANGED_SQL = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') || ' in front of the sea' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)"
+_HITS = "SELECT doc AS doc_id, round(bm25, 6) AS bm25, keyword_rank FROM top"
+
+
+def _hits(spark, index: lexical.Index, phrases: list[str]) -> DataFrame:
+    asked = spark.createDataFrame([(0, phrases)], "query int, phrases array<string>")
+    index = index.only([w for p in phrases for w in p.split()])
+    found = lexical.top_keyword_hits(lexical.bm25(index, lexical.phrase_table(index, asked, F.col("phrases"))))
+    return found.select(F.col("doc").alias("doc_id"), F.round("bm25", 6).alias("bm25"), F.col("keyword_rank").cast("long").alias("keyword_rank"))
+
+
+@query(f"WITH {bm25_sql(['of the', 'in'])} {_HITS}")
+def saved_phrases(spark, d):
+    """Phrases by the position lists of an index that is written and read again."""
+    index = lexical.build_index(table(spark, d, "documents"), "doc_id", {"text": 1.0}, stemmed=False).saved(scratch(spark, "index"))
+    return _hits(spark, index, ["of the", "in"])
+
+
+@query(f"WITH {bm25_sql(['of the', 'sea']).replace('FROM documents', f'FROM {_CHANGED_SQL}')} {_HITS}")
+def followed_changes(spark, d):
+    """Scores of an index that first held all documents, then followed as a seventh of them went and a fifth changed."""
+    docs, c = table(spark, d, "documents").select("doc_id", "text"), F.col("doc_id")
+    index = SegmentedIndex(spark, scratch(spark, "segments"), {"text": 1.0}, stemmed=False)
+    index.refresh(docs, "doc_id")
+    longer = F.when(c % 5 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" in front of the sea"))).otherwise(F.col("text"))
+    index.refresh(docs.filter(c % 7 != 0).withColumn("text", longer), "doc_id")
+    return _hits(spark, index.index(), ["of the", "sea"])
+
+
 _CONVS = "convs AS (SELECT DISTINCT conv_id FROM conversations WHERE role IN ('user', 'assistant'))"
 
 
