@@ -33,6 +33,7 @@ class Catalogue:
     def __init__(self, spark: SparkSession, path: str):
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._at, self._folder = self._path(path), path.rpartition("/")[0]
+        self._jvm, self._gateway = spark._jvm, spark.sparkContext._gateway
         self.fs = self._at.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def read(self) -> dict:
@@ -45,16 +46,21 @@ class Catalogue:
             stream.close()
 
     def put(self, value: dict) -> None:
-        """The new file takes the old one's place by a rename; where a file system can't rename over a file, the old one goes first."""
+        """The new file takes the old one's place by a rename, so that there is one at any time."""
         aside = self._path(f"{self._folder}/.{uuid.uuid4().hex}")
         stream = self.fs.create(aside, True)
         try:
             stream.write(bytearray(json.dumps(value).encode()))
         finally:
             stream.close()
-        if not self.fs.rename(aside, self._at):
-            self.fs.delete(self._at, False)
-            self.fs.rename(aside, self._at)
+        if not self.fs.rename(aside, self._at):  # file systems that rename over a file only when told so
+            self._over(aside)
+
+    def _over(self, aside) -> None:
+        hadoop = self._jvm.org.apache.hadoop.fs
+        kinds = self._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        kinds[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        hadoop.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf()).rename(aside, self._at, kinds)
 
     def remove(self, path: str) -> None:
         self.fs.delete(self._path(path), True)

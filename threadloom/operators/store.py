@@ -1,22 +1,27 @@
-"""Tables as versioned Parquet snapshots, and the keyed changes that the maintenance of an index needs.
+"""Tables as versioned Parquet snapshots in buckets, and the keyed changes that the maintenance of an index needs.
 
-One small file, the catalogue, names the current version of every table. A change writes the next version beside the current one;
-then a new catalogue takes the old one's place by a rename, so readers see either, and the tables that are written inside
-``together`` change at once or, where something fails, not at all. Changes are plain table-to-table functions and can be used
-without the store.
+The rows of a table lie in buckets by a hash of its key. One small file, the catalogue, names for every table the version that each bucket is
+of. A change finds the buckets that its keys fall into, reads these alone, and writes them anew as the next version beside the
+current one; the files of all other buckets stay as they are, and a change without keys writes nothing. Then a new catalogue takes
+the old one's place by a rename, so readers see either, and the tables that are changed inside ``together`` change at
+once or, where something fails, not at all. Changes are plain table-to-table functions and can be used without the store.
+
+A store has one writer at a time, the one that holds its lock (``writing``).
 """
 
 from __future__ import annotations
 
+import threading
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.segments import Catalogue
-from threadloom.schemas import TABLES
+from threadloom.schemas import BUCKET_KEYS, TABLES
 
 
 # -- changes ----------------------------------------------------------------------------------------------------------
@@ -82,21 +87,48 @@ def status_counts(chunks: DataFrame, status: str = "embedding_status") -> DataFr
     return chunks.agg(F.count("*").alias("total"), count("pending"), count("embedded"), count("failed"))
 
 
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
 # -- snapshots --------------------------------------------------------------------------------------------------------
 
 
+#: Buckets of a table that is written as a whole. At many terabytes some thousands keep a bucket at a few files.
+BUCKETS = 16
+#: A lock that has not been renewed for so many seconds is that of a writer that died.
+STALE_SECONDS = 86_400
+_HERE: dict[str, threading.RLock] = {}
+
+
+class Busy(RuntimeError):
+    """Another writer holds the lock of the store."""
+
+
+def changed(old: DataFrame, keys: list[str], new: DataFrame | None, gone: DataFrame | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``old`` without the rows that have keys of ``gone`` or ``new``, and with the rows of ``new``."""
+    rest = old if gone is None else delete_keys(old, gone, keys)
+    if new is None:
+        return rest
+    if keep:
+        return upsert(rest, new, keys, keep)
+    return replace_group(rest, new, keys)
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._open: dict[str, int] | None = None
+    """``buckets``: how many a table gets when it is written as a whole; tables that are there keep their number until then."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self._open: dict[str, dict] | None = None
         self._file = Catalogue(spark, f"{self.root}/_CATALOGUE")
         self._path, self._fs = spark._jvm.org.apache.hadoop.fs.Path, self._file.fs
 
-    def _catalogue(self) -> dict[str, int]:
-        return self._file.read()
-
-    def _point(self, versions: dict[str, int]) -> None:
-        self._file.put(versions)
+    def _catalogue(self) -> dict[str, dict]:
+        """table -> {version, buckets, at}; ``at`` has a bucket's version, negative where it has been empty since then. A whole version
+        without buckets, as stores had them once, is a mere number in the file."""
+        read = self._file.read()
+        return {t: x if isinstance(x, dict) else {"version": x, "buckets": 0, "at": {}} for t, x in read.items()}
 
     @contextmanager
     def together(self) -> Iterator[None]:
@@ -104,39 +136,130 @@ class Store:
         if self._open is not None:  # inside another one
             yield
             return
-        self._open = dict(self._catalogue())
+        self._open = self._catalogue()
         try:
             yield
-            self._point(self._open)
+            self._file.put(self._open)
         finally:
             self._open = None
 
+    @contextmanager
+    def writing(self) -> Iterator[None]:
+        """Holds the lock of the store, for a whole sync. Writers of this process wait for each other; another process gets ``Busy``.
+
+        The lock is a file that is made only where there is none and then names its maker. Changes renew its time; one that is
+        older than ``STALE_SECONDS`` was left by a writer that died and is taken over.
+        """
+        with _HERE.setdefault(self.root, threading.RLock()):
+            at, mine = self._path(f"{self.root}/_LOCK"), uuid.uuid4().hex
+            if self._holds(at) is not None and time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000 > STALE_SECONDS:
+                self._fs.delete(at, False)
+            if not self._claim(at, mine):
+                raise Busy(f"{self.root} is being written by another sync; remove _LOCK there if that one has died")
+            try:
+                yield
+            finally:
+                if self._holds(at) == mine:
+                    self._fs.delete(at, False)
+
+    def _claim(self, at, mine: str) -> bool:
+        self._make_root()
+        try:
+            stream = self._fs.create(at, False)
+            stream.write(bytearray(mine.encode()))
+            stream.close()
+        except Exception:  # noqa: BLE001 - whatever the file system says when the file is there
+            if self._holds(at) is None:
+                raise
+            return False
+        return self._holds(at) == mine
+
+    def _holds(self, at) -> str | None:
+        if not self._fs.exists(at):
+            return None
+        stream = self._fs.open(at)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _make_root(self) -> None:
+        """The folder holds private texts: only its owner can open it."""
+        at = self._path(self.root)
+        if not self._fs.exists(at):
+            hadoop = self.spark._jvm.org.apache.hadoop.fs
+            hadoop.FileSystem.mkdirs(self._fs, at, hadoop.permission.FsPermission("700"))
+
+    def _entry(self, table: str) -> dict:
+        """What the catalogue says of a table; inside ``together`` what has been written there counts."""
+        return (self._catalogue() if self._open is None else self._open).get(table, {"version": 0, "buckets": 0, "at": {}})
+
     def version(self, table: str) -> int:
-        """0 before the first write; inside ``together`` what has been written there counts."""
-        return (self._catalogue() if self._open is None else self._open).get(table, 0)
+        """0 before the first write."""
+        return self._entry(table)["version"]
 
     def read(self, table: str) -> DataFrame:
-        n = self.version(table)
-        if not n:
+        entry = self._entry(table)
+        return self._rows(table, entry, range(entry["buckets"]))
+
+    def _rows(self, table: str, entry: dict, buckets: Iterable[int]) -> DataFrame:
+        at = [(b, entry["at"].get(str(b), 0)) for b in buckets]
+        paths = [f"{self.root}/{table}/v{n}/bucket={b}" for b, n in at if n > 0]
+        if entry["version"] and not entry["buckets"]:
+            paths = [f"{self.root}/{table}/v{entry['version']}"]
+        if not paths:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/v{n}")
+        return self.spark.read.schema(TABLES[table]).parquet(*paths)
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
-        """Writes the next version and makes it the current one."""
-        n = max([self.version(table), *self._known(table)]) + 1
+        """Writes the whole table as its next version and makes it the current one."""
+        return self._put(table, df, {"version": self.version(table), "buckets": self.buckets, "at": {}}, range(self.buckets))
+
+    def change(self, table: str, keys: list[str], new: DataFrame | None = None, gone: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """Removes the rows that have keys of ``gone`` or ``new`` and adds those of ``new``; columns in ``keep`` stay as they were.
+
+        ``keys`` must have the column that the table's buckets go by. Only buckets that these keys fall into are read and written.
+        Both sides are computed twice, for their keys first: give staged ones where that is dear.
+        """
+        by, entry = BUCKET_KEYS.get(table, "uid"), self._entry(table)
+        if by not in keys:
+            raise ValueError(f"changes of {table} need its key {by}")
+        if not entry["buckets"]:
+            return self.write(table, changed(self.read(table), keys, new, gone, keep))
+        hit = [x.select(_bucket(by, entry["buckets"]).alias("bucket")) for x in (new, gone) if x is not None]
+        touched = hit[0] if len(hit) == 1 else hit[0].unionByName(hit[1])
+        numbers = sorted(r["bucket"] for r in touched.distinct().collect())  # as many as there are buckets at most
+        if not numbers:
+            return self.read(table)
+        return self._put(table, changed(self._rows(table, entry, numbers), keys, new, gone, keep), entry, numbers)
+
+    def _put(self, table: str, df: DataFrame, entry: dict, buckets: Iterable[int]) -> DataFrame:
+        """Writes some buckets as the next version. Rows are balanced by bucket, large buckets as several files."""
+        self._make_root()
+        n = max([entry["version"], *self._known(table)]) + 1
         kinds = self.spark.createDataFrame([], TABLES[table]).schema
-        df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds)).write.mode("overwrite").parquet(f"{self.root}/{table}/v{n}")
+        rows = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds))
+        rows = rows.withColumn("bucket", _bucket(BUCKET_KEYS.get(table, "uid"), entry["buckets"])).hint("rebalance", "bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{table}/v{n}")
+        filled = self._in(table, n)
+        at = {**entry["at"], **{str(b): n if b in filled else -n for b in buckets}}
+        made = {"version": n, "buckets": entry["buckets"], "at": at}
         if self._open is None:
-            self._point({**self._catalogue(), table: n})
+            self._file.put({**self._catalogue(), table: made})
         else:
-            self._open[table] = n
+            self._open[table] = made
+        lock = self._path(f"{self.root}/_LOCK")
+        if self._fs.exists(lock):
+            self._fs.setTimes(lock, int(time.time() * 1000), -1)
         return self.read(table)
 
     def _known(self, table: str) -> list[int]:
         """Versions that lie there, also those of changes that came to nothing."""
-        at = self._path(f"{self.root}/{table}")
-        names = [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
-        return [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
+        return [int(n[1:]) for n in self._file.names(f"{self.root}/{table}") if n[:1] == "v" and n[1:].isdigit()]
+
+    def _in(self, table: str, n: int) -> set[int]:
+        """Buckets that have files of a version."""
+        return {int(x[7:]) for x in self._file.names(f"{self.root}/{table}/v{n}") if x.startswith("bucket=")}
 
     def stage(self, df: DataFrame) -> DataFrame:
         """The same rows written aside and read again, so that plans stay short and nothing is computed twice."""
@@ -148,12 +271,23 @@ class Store:
         self._fs.delete(self._path(f"{self.root}/_staging"), True)
 
     def vacuum(self, keep: int = 2) -> None:
-        """Removes all but the latest versions of each table up to the current one."""
+        """Removes what no bucket has been of for the last ``keep`` versions of its table, up to the current one."""
         for table in TABLES:
-            current = self.version(table)
-            for n in self._known(table):
-                if n <= current - keep:
-                    self._fs.delete(self._path(f"{self.root}/{table}/v{n}"), True)
+            entry = self._entry(table)
+            lies = {n: self._in(table, n) for n in self._known(table)}
+            for n, held in lies.items():
+                replaced = {b for b in held if entry["at"].get(str(b)) != n and self._next(b, n, lies, entry) <= entry["version"] - keep + 1}
+                if n <= entry["version"] - keep and replaced == held and (entry["buckets"] or n < entry["version"]):
+                    self._file.remove(f"{self.root}/{table}/v{n}")
+                else:
+                    for b in replaced:
+                        self._file.remove(f"{self.root}/{table}/v{n}/bucket={b}")
+
+    @staticmethod
+    def _next(b: int, n: int, lies: dict[int, set[int]], entry: dict) -> int:
+        """The version that a bucket was written anew, or emptied, in after version ``n``."""
+        later = [m for m, held in lies.items() if m > n and b in held] + [abs(entry["at"].get(str(b), entry["version"]))]
+        return min([m for m in later if m > n], default=n)
 
     def clear(self, provider: str | None = None) -> None:
         """Forgets everything but the vector caches, or all that one provider's files gave."""
@@ -165,9 +299,9 @@ class Store:
                 return
             gone = self.read("sessions").filter(F.col("provider") == provider).select("uid")
             for table in ("chunk_embeddings", "chunks", "session_sources", "session_docs", "sessions"):
-                self.write(table, delete_keys(self.read(table), gone, ["uid"]))
+                self.change(table, ["uid"], gone=gone)
             for table in ("parse_errors", "sources"):
-                self.write(table, self.read(table).filter(~F.col("provider").eqNullSafe(provider)))
+                self.change(table, ["path"], gone=self.read(table).filter(F.col("provider").eqNullSafe(provider)))
 
     def status(self) -> DataFrame:
         """One row: sessions, vectors, and chunks by status."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.config import Config
-from threadloom.operators.store import Store, replace_group, upsert
+from threadloom.operators.store import Store
 from threadloom.operators.vectors import Embedder, query_hash
 from threadloom.schemas import TABLES
 from threadloom.functions.textops import redacted
@@ -35,7 +35,7 @@ def migrate(store: Store, now: str) -> list[str]:
             if not store.version(table):
                 store.write(table, store.spark.createDataFrame([], TABLES[table]))
         notes = store.spark.createDataFrame([(f"migration:{name}", now), ("schema_version", name)], TABLES["index_meta"])
-        store.write("index_meta", store.stage(upsert(store.read("index_meta"), notes, ["key"])))
+        store.change("index_meta", ["key"], new=notes)
         ran.append(name)
     store.clear_stages()
     return ran
@@ -65,7 +65,7 @@ def session(store: Store, uid: str) -> DataFrame:
 def relink(store: Store, links: DataFrame) -> DataFrame:
     """Replaces the file links of the sessions in ``links(uid, path)``, for paths that the manifest knows."""
     known = links.join(store.read("sources").select("path"), "path", "left_semi").select("uid", "path")
-    return store.write("session_sources", store.stage(replace_group(store.read("session_sources"), known, ["uid"], gone=links)))
+    return store.change("session_sources", ["uid"], new=known, gone=links)
 
 
 def merged_transcripts(contents: DataFrame, links: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def embed_query(store: Store, embedder: Embedder, text: str, redact: bool = True
         return list(row["vector"])
     vector = [float(x) for x in embedder.embed([sent], "query")[0]]
     new = spark.createDataFrame([(key, embedder.model_key, embedder.dimensions, vector)], TABLES["query_embedding_cache"])
-    store.write("query_embedding_cache", store.stage(upsert(cache, new, ["query_sha256", "model", "dimensions"])))
+    store.change("query_embedding_cache", ["query_sha256", "model", "dimensions"], new=new)
     return vector
 
 

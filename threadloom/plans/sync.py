@@ -52,8 +52,14 @@ def run_sync(
     """One pass: list, parse what changed, merge, store, forget what is gone, chunk and embed.
 
     A session whose files changed in part is merged again from all of its files. A file gets into the manifest when it
-    has been parsed, so one that fails is tried again.
+    has been parsed, so one that fails is tried again. Tables are changed in the buckets that hold what changed; one sync writes
+    a store at a time (``Store.writing``).
     """
+    with store.writing():
+        return _one_pass(spark, store, roots, now, config, embedder, full, provider, repo, progress)
+
+
+def _one_pass(spark, store, roots, now, config, embedder, full, provider, repo, progress) -> Summary:
     out = Summary()
     chosen = [provider] if provider else list(PROVIDERS)
     roots = {p: list(roots.get(p, [])) for p in chosen}
@@ -93,20 +99,20 @@ def run_sync(
     progress("writing sessions")
     with store.together():
         new_links = documents.select("uid", F.explode("transcript_paths").alias("path"))
-        links = tables.replace_group(links, new_links, ["uid"])
-        links = store.write("session_sources", tables.delete_keys(links, gone, ["path"]))
-        store.write("session_docs", tables.upsert(store.read("session_docs"), documents.select("uid", "title", "first_prompt", "body"), ["uid"]))
-        sessions = store.write("sessions", tables.upsert(store.read("sessions"), documents, ["uid"]))
-        store.write("sources", tables.upsert(tables.delete_keys(manifest, gone, ["path"]), seen, ["path"], keep=("first_seen_at",)))
+        links = store.change("session_sources", ["uid"], new=new_links)
+        links = store.change("session_sources", ["uid", "path"], gone=links.join(gone, "path", "left_semi"))
+        store.change("session_docs", ["uid"], new=documents.select("uid", "title", "first_prompt", "body"))
+        sessions = store.change("sessions", ["uid"], new=documents)
+        store.change("sources", ["path"], new=seen, gone=gone, keep=("first_seen_at",))
         errors = failures.select("path", "provider", "error", F.lit(now).alias("updated_at"))
         cleared = seen.select("path").unionByName(gone)
-        store.write("parse_errors", tables.upsert(tables.delete_keys(store.read("parse_errors"), cleared, ["path"]), errors, ["path"]))
+        store.change("parse_errors", ["path"], new=errors, gone=cleared)
 
         lost = store.stage(tables.orphans(sessions, links).select("uid"))
         out.deleted_sessions = lost.count()
         if out.deleted_sessions:
             for table in ("chunk_embeddings", "chunks", "session_docs", "sessions"):
-                store.write(table, tables.delete_keys(store.read(table), lost, ["uid"]))
+                store.change(table, ["uid"], gone=lost)
     progress("chunking and embedding")
     index_chunks(spark, store, documents.select("uid").join(lost, "uid", "left_anti"), now, config, embedder, out)
     store.clear_stages()
@@ -136,11 +142,9 @@ def index_chunks(
         }
     ))
     out.chunked_sessions, out.chunks = targets.count(), made.count()
-    kept_vectors = store.write("chunk_embeddings", tables.delete_keys(store.read("chunk_embeddings"), targets, ["uid"]))
-    current = store.write("chunks", tables.replace_group(old, made, ["uid"], gone=targets))
-    versioned = F.when(F.col("now_version").isNotNull(), F.col("now_version")).otherwise(F.col("chunk_version"))
-    marks = targets.withColumn("now_version", F.lit(version))
-    store.write("sessions", sessions.join(marks, "uid", "left").withColumn("chunk_version", versioned))
+    store.change("chunk_embeddings", ["uid"], gone=targets)
+    current = store.change("chunks", ["uid"], new=made, gone=targets)
+    store.change("sessions", ["uid"], new=sessions.join(targets, "uid", "left_semi").withColumn("chunk_version", F.lit(version)))
     if not config.embeddings.enabled:
         return
     out.semantic_status = "ready" if embedder else "not_ready"
@@ -157,20 +161,18 @@ def index_chunks(
         fresh = store.stage(vectors.embed_chunks(once, embedder, batch=config.embeddings.batch_size))
         good = fresh.filter("vector is not null")
         add = good.select("embed_sha256", F.lit(key).alias("model"), F.lit(width).alias("dimensions"), "vector")
-        store.write("embedding_cache", tables.upsert(store.read("embedding_cache"), add, ["embed_sha256", "model", "dimensions"]))
+        store.change("embedding_cache", ["embed_sha256", "model", "dimensions"], new=add)
         done = done.unionByName(todo.select("chunk_id", "embed_sha256").join(fresh.drop("chunk_id"), "embed_sha256").select("chunk_id", "embed_sha256", "vector", "error"))
     done = store.stage(done)
     out.embedded_chunks, out.embedding_failures = done.filter("vector is not null").count(), done.filter("vector is null").count()
     added = done.filter("vector is not null").join(current.select("chunk_id", "uid"), "chunk_id").select("chunk_id", "uid", F.col("vector").alias("embedding"))
-    store.write("chunk_embeddings", tables.upsert(kept_vectors, added, ["chunk_id"]))
+    store.change("chunk_embeddings", ["uid", "chunk_id"], new=added)
     state = done.select("chunk_id", F.col("vector").isNotNull().alias("ok"), "error")
-    store.write(
-        "chunks",
-        current.join(state, "chunk_id", "left").withColumns(
-            {
-                "embedding_status": F.when(F.col("ok"), "embedded").when(~F.col("ok"), "failed").otherwise(F.col("embedding_status")),
-                "embedding_error": F.when(F.col("ok").isNotNull(), F.col("error")).otherwise(F.col("embedding_error")),
-                "embedded_at": F.when(F.col("ok"), F.lit(now)).otherwise(F.col("embedded_at")),
-            }
-        ),
+    marked = current.join(state, "chunk_id").withColumns(
+        {
+            "embedding_status": F.when(F.col("ok"), "embedded").otherwise("failed"),
+            "embedding_error": F.col("error"),
+            "embedded_at": F.when(F.col("ok"), F.lit(now)).otherwise(F.col("embedded_at")),
+        }
     )
+    store.change("chunks", ["uid", "chunk_id"], new=store.stage(marked.select(*current.columns)))

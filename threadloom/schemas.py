@@ -40,3 +40,12 @@ TABLES = {
     "chunk_embeddings": "chunk_id string, uid string, embedding array<float>",
     "index_meta": "key string, value string",
 }
+
+#: The column that a table's buckets go by, where it isn't ``uid``.
+BUCKET_KEYS = {
+    "sources": "path",
+    "parse_errors": "path",
+    "embedding_cache": "embed_sha256",
+    "query_embedding_cache": "query_sha256",
+    "index_meta": "key",
+}
