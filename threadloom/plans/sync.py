@@ -75,6 +75,13 @@ def _one_pass(spark, store, roots, now, config, embedder, full, provider, repo,
     changed = store.stage(tables.changed_files(found, own).select("provider", "path", "size", "mtime_ms", "likely_subagent"))
     out.discovered, out.changed, out.deleted_sources = found.count(), changed.count(), gone.count()
 
+    if not (out.changed or out.deleted_sources):  # no file is opened
+        _drop_orphans(store, out)
+        index_chunks(spark, store, links.select("uid").limit(0), now, config, embedder, out)
+        store.clear_stages()
+        store.vacuum()
+        return out
+
     progress("parsing what changed")
     # parse what changed; then the other files of every session it touches
     read = transcripts.contents(spark, roots, changed)
@@ -100,19 +107,15 @@ def _one_pass(spark, store, roots, now, config, embedder, full, provider, repo,
     with store.together():
         new_links = documents.select("uid", F.explode("transcript_paths").alias("path"))
         links = store.change("session_sources", ["uid"], new=new_links)
-        links = store.change("session_sources", ["uid", "path"], gone=links.join(gone, "path", "left_semi"))
+        store.change("session_sources", ["uid", "path"], gone=links.join(gone, "path", "left_semi"))
         store.change("session_docs", ["uid"], new=documents.select("uid", "title", "first_prompt", "body"))
-        sessions = store.change("sessions", ["uid"], new=documents)
+        store.change("sessions", ["uid"], new=documents)
         store.change("sources", ["path"], new=seen, gone=gone, keep=("first_seen_at",))
         errors = failures.select("path", "provider", "error", F.lit(now).alias("updated_at"))
         cleared = seen.select("path").unionByName(gone)
         store.change("parse_errors", ["path"], new=errors, gone=cleared)
 
-        lost = store.stage(tables.orphans(sessions, links).select("uid"))
-        out.deleted_sessions = lost.count()
-        if out.deleted_sessions:
-            for table in ("chunk_embeddings", "chunks", "session_docs", "sessions"):
-                store.change(table, ["uid"], gone=lost)
+        lost = _drop_orphans(store, out)
     progress("chunking and embedding")
     index_chunks(spark, store, documents.select("uid").join(lost, "uid", "left_anti"), now, config, embedder, out)
     store.clear_stages()
@@ -120,6 +123,17 @@ def _one_pass(spark, store, roots, now, config, embedder, full, provider, repo,
     return out
 
 
+def _drop_orphans(store: Store, out: Summary) -> DataFrame:
+    """Forgets the sessions that no file backs, and returns their uids."""
+    lost = store.stage(tables.orphans(store.read("sessions"), store.read("session_sources")).select("uid"))
+    out.deleted_sessions = lost.count()
+    if out.deleted_sessions:
+        with store.together():
+            for table in ("chunk_embeddings", "chunks", "session_docs", "sessions"):
+                store.change(table, ["uid"], gone=lost)
+    return lost
+
+
 def index_chunks(
     spark: SparkSession, store: Store, given: DataFrame, now: str, config: Config, embedder: vectors.Embedder | None, out: Summary
 ) -> None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import asdict
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,13 @@ NOW = "2026-04-15T00:00:00.000Z"
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share, removed when the driver ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that driver and executors share, removed when the driver ends. A cluster must name its shared folder."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     path = f"{root.rstrip('/')}/threadloom/{uuid.uuid4().hex}-{label}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
@@ -65,14 +71,37 @@ def _tree(spark, d) -> DataFrame:
     return own.unionByName(files.filter(c % 4 == 0).select("conv_id", "provider", F.concat(wrong, padded, F.lit(".jsonl")).alias("relative"), "content"))
 
 
-def _put(spark: SparkSession, root: str, files: DataFrame) -> None:
-    """Writes each row's content as the file that it names. A fixture: conversations are few, and pass the driver one by one."""
-    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-    for r in files.select("provider", "relative", "content").toLocalIterator():
-        at = path(f"{root}/{r['provider']}/{r['relative']}")
-        stream = at.getFileSystem(conf).create(at, True)
-        stream.write(bytearray(r["content"].encode()))
-        stream.close()
+def _file_system(root: str) -> tuple[fs.FileSystem, str]:
+    """A file system that tasks can write to, and the root's path in it."""
+    scheme, _, rest = root.partition(":")
+    if not rest or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest or root).lstrip("/")
+    return fs.FileSystem.from_uri(root)
+
+
+def _put(root: str, files: DataFrame) -> None:
+    """Each task writes the content of its rows as the files that they name; a task that is run again writes the same once more."""
+
+    def write(rows) -> None:
+        to, base = _file_system(root)
+        for r in rows:
+            at = f"{base}/{r['provider']}/{r['relative']}"
+            to.create_dir(at.rpartition("/")[0], recursive=True)
+            with to.open_output_stream(at) as out:
+                out.write(r["content"].encode())
+
+    files.select("provider", "relative", "content").foreachPartition(write)
+
+
+def _take_away(root: str, files: DataFrame) -> None:
+    def remove(rows) -> None:
+        to, base = _file_system(root)
+        for r in rows:
+            at = f"{base}/{r['provider']}/{r['relative']}"
+            if to.get_file_info(at).type != fs.FileType.NotFound:
+                to.delete_file(at)
+
+    files.select("provider", "relative").foreachPartition(remove)
 
 
 def _roots(root: str) -> dict[str, list[str]]:
@@ -88,33 +117,19 @@ _UID_SQL = "CASE conv_id % 3 WHEN 0 THEN 'claude:n' WHEN 1 THEN 'codex:c' ELSE '
 def discovered_files(spark, d):
     """What discovery finds below the roots of three providers, of which one more does not exist."""
     root = scratch(spark, "tree")
-    _put(spark, root, _tree(spark, d))
+    _put(root, _tree(spark, d))
     found = transcripts.discover(spark, {**_roots(root), "pi": [f"{root}/pi", f"{root}/nowhere"]})
     return found.select("provider", "relative", "likely_subagent", (F.col("size") > 0).alias("filled"))
 
 
-_SYNCED: dict[tuple, tuple] = {}
 _CONFIG = Config(chunk_tokens=1_000_000_000)
 
 
-def _synced(spark, d) -> tuple[Store, dict, dict]:
-    """(store, counts of a first sync, counts of a second one, in a store of its own, after files came, went and changed)."""
-    key = spark.sparkContext.applicationId, d
-    if key not in _SYNCED:
-        root = scratch(spark, "tree")
-        tree = _tree(spark, d)
-        _put(spark, root, tree)
-        store, other = Store(spark, scratch(spark, "store")), Store(spark, scratch(spark, "store"))
-        first = run_sync(spark, store, _roots(root), NOW, _CONFIG, HashingEmbedder(8))
-        run_sync(spark, other, _roots(root), NOW, _CONFIG, HashingEmbedder(8))
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-        for r in tree.filter("conv_id % 6 = 0 and provider = 'claude' and relative like '-w-x/%'").select("relative").toLocalIterator():
-            fs.delete(path(f"{root}/claude/{r['relative']}"), False)
-        _put(spark, root, tree.filter("conv_id % 6 = 1 and provider = 'codex' and relative like '2026/%'").withColumn("content", F.concat("content", F.lit("\n\n"))))
-        second = run_sync(spark, other, _roots(root), NOW, _CONFIG, HashingEmbedder(8))
-        _SYNCED[key] = store, asdict(first), asdict(second)
-    return _SYNCED[key]
+def _synced(spark, d) -> tuple[Store, str, dict]:
+    """(store, root of its files, counts) of a first sync of the files of all conversations."""
+    root, store = scratch(spark, "tree"), Store(spark, scratch(spark, "store"))
+    _put(root, _tree(spark, d))
+    return store, root, asdict(run_sync(spark, store, _roots(root), NOW, _CONFIG, HashingEmbedder(8)))
 
 
 _SAID_SQL = f"""
@@ -137,7 +152,7 @@ def _counts(spark, found: dict) -> DataFrame:
 """)
 def sync_counts(spark, d):
     """What a first sync has counted."""
-    return _counts(spark, _synced(spark, d)[1])
+    return _counts(spark, _synced(spark, d)[2])
 
 
 @query(f"""
@@ -151,7 +166,11 @@ def sync_counts(spark, d):
 """)
 def sync_changes(spark, d):
     """What a second sync has counted, after half of the claude files went and half of the codex files changed; pi files always count as changed."""
-    return _counts(spark, _synced(spark, d)[2])
+    store, root, _ = _synced(spark, d)
+    tree = _tree(spark, d)
+    _take_away(root, tree.filter("conv_id % 6 = 0 and provider = 'claude' and relative like '-w-x/%'"))
+    _put(root, tree.filter("conv_id % 6 = 1 and provider = 'codex' and relative like '2026/%'").withColumn("content", F.concat("content", F.lit("\n\n"))))
+    return _counts(spark, asdict(run_sync(spark, store, _roots(root), NOW, _CONFIG, HashingEmbedder(8))))
 
 
 @query(f"""
@@ -263,12 +282,13 @@ def followed_changes(spark, d):
 _CONVS = "convs AS (SELECT DISTINCT conv_id FROM conversations WHERE role IN ('user', 'assistant'))"
 
 
-@query("SELECT * FROM (VALUES ('001_init'), ('002_semantic')) v(step)")
+@query(f"WITH {_CONVS} SELECT step, (SELECT count(*) FROM convs) AS sessions FROM (VALUES ('001_init'), ('002_semantic')) v(step)")
 def migration_steps(spark, d):
-    """The schema steps that a new store runs once; the second time none runs."""
+    """The schema steps that run once on a store that has sessions already, which stay; the second time none runs."""
     store = Store(spark, scratch(spark, "store"))
-    ran = admin.migrate(store, NOW)
-    return spark.createDataFrame([(x,) for x in (*ran, *admin.migrate(store, NOW))], "step string").distinct()
+    store.write("sessions", fit(sessions(spark, d), "sessions"))
+    ran = [(step,) for _ in range(2) for step in admin.migrate(store, NOW)]
+    return spark.createDataFrame(ran, "step string").crossJoin(store.read("sessions").agg(F.count("*").alias("sessions")))
 
 
 @query(f"""
