@@ -211,18 +211,54 @@ def unchunked(data: bytes) -> bytes:
 _CHUNK = re.compile(rb"([0-9a-fA-F]{1,15})[ \t]*(?:;[^\r\n]*)?\r?\n")
 
 
+def inflated(data: bytes, bits: int) -> bytes:
+    """All members of compressed data; what follows the last of them isn't data."""
+    out: list[bytes] = []
+    while data:
+        one = zlib.decompressobj(bits)
+        try:
+            out.append(one.decompress(data) + one.flush())
+        except zlib.error:
+            if not out:
+                raise
+            break
+        if bits < 0 and not (out[0] or one.eof):  # without a head anything may pass for a beginning
+            raise zlib.error
+        data = one.unused_data if bits > 0 else b""
+    return b"".join(out)
+
+
+def not_decoded(http: list[tuple[str, str]]) -> str | None:
+    """The content codings of a payload that ``decoded`` can't undo."""
+    named = (c.strip() for c in (field(http, "Content-Encoding") or "").lower().split(","))
+    return ", ".join(c for c in named if c not in ("", "identity", "gzip", "x-gzip", "deflate")) or None
+
+
+def charset_of(kind: str, payload: bytes) -> str:
+    """By the content type, else by a meta element in the first 1024 bytes of a payload of HTML or of no type, else UTF-8."""
+    if named := re.search(r"charset=[\"']?([\w.:-]+)", kind):
+        return named[1]
+    if not kind or "html" in kind.lower():
+        meta = _META.search(payload[:1024])
+        if meta and not meta[1].lower().startswith(b"utf-16"):  # such a document couldn't say so in single bytes
+            return meta[1].decode()
+    return "utf-8"
+
+
+_META = re.compile(rb"<meta\b[^>]*?\bcharset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
+
+
 def decoded(payload: bytes, http: list[tuple[str, str]]) -> bytes:
-    """The payload without transfer and content coding (chunked; gzip, deflate). Bodies that are cut off give what can be read of
-    them, those that aren't coded as their headers say, and other codings, are taken as they are."""
+    """The payload without transfer and content coding (chunked; gzip of any number of members, deflate). Bodies that are cut off give
+    what can be read of them, those that aren't coded as their headers say, and other codings, are taken as they are."""
     if "chunked" in (field(http, "Transfer-Encoding") or "").lower():
         payload = unchunked(payload)
     for coding in reversed((field(http, "Content-Encoding") or "").lower().split(",")):
         coding = coding.strip()
         if coding in ("gzip", "x-gzip", "deflate"):
-            for bits in (47, -15):  # gzip or zlib by their heads; bare deflate
-                one = zlib.decompressobj(bits)
+            for bits in (47, -15) if coding == "deflate" else (47,):  # gzip or zlib by their heads; bare deflate
                 try:
-                    payload = one.decompress(payload) + one.flush()
+                    payload = inflated(payload, bits)
                     break
                 except zlib.error:
                     continue
@@ -239,17 +275,18 @@ def derive_one(headers: list[tuple[str, str]], block: bytes) -> list[tuple]:
     status, _, rest = head.decode("utf-8", "replace").partition(CRLF)
     http = fields(rest)
     kind = field(http, "Content-Type") or ""
-    charset = re.search(r"charset=[\"']?([\w.:-]+)", kind)
     stored, payload = payload, decoded(payload, http)
     try:
-        text = payload.decode(charset[1] if charset else "utf-8", "replace")
+        text = payload.decode(charset_of(kind, payload), "replace")
     except LookupError:
         text = payload.decode("utf-8", "replace")
     is_html = "html" in kind.lower() or not kind and "<" in text
-    lines = plain_text(text) if is_html else text if kind.startswith("text/") or not kind else ""
+    unread = not_decoded(http)
+    lines = "" if unread else plain_text(text) if is_html else text if kind.startswith("text/") or not kind else ""
     payload_digest = field(headers, "WARC-Payload-Digest") or digest(stored)
     ids = {k: derived_id(source, k) for k in ("metadata", "conversion")}
     about = [("source-" + n.lower(), v) for n, v in headers] + ([("http-status", status)] if status else []) + [("http-" + n.lower(), v) for n, v in http]
+    about += [("content-coding-not-decoded", unread)] if unread else []
     bodies = {"metadata": ("application/warc-fields", "".join(f"{n}: {v}{CRLF}" for n, v in about)), "conversion": ("text/plain; charset=utf-8", lines)}
     out = []
     for name, other in (("metadata", "conversion"), ("conversion", "metadata")):
@@ -278,7 +315,8 @@ def derive(records: DataFrame) -> DataFrame:
     """DERIVED: two rows, metadata and conversion, for each response among ``records`` (as RECORD).
 
     Other record types give none. A null block counts as empty, null headers as none; a response without an id is
-    named by the digest of its block; a payload that is neither HTML nor text converts to an empty text; repeated
+    named by the digest of its block; a payload that is neither HTML nor text, or in a coding that isn't known (``br``), converts to
+    an empty text, and the metadata say so of the latter; repeated
     responses give repeated rows; an empty table gives an empty result; further columns are not read.
     """
     types = [pa.string()] * 10 + [pa.int64(), pa.string(), pa.string()]
