@@ -1,7 +1,10 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from threadloom.llm import reshard
 
 from .common import docs, plain
@@ -116,3 +119,80 @@ def test_rewrite_repeated_and_null_ids(spark, tmp_path):
     new = [r for p in paths.values() for r in spark.read.parquet(p).collect()]
     assert Counter((r["doc_id"], r["text"]) for r in new) == Counter(rows)
     assert new and spark.read.parquet(paths[0]).columns == d.columns
+
+
+def slow_flow(supply, capacity, cost):
+    """Least cost by trying every split of small supplies."""
+    best = {tuple(capacity): 0}
+    for i, s in enumerate(supply):
+        after = {}
+        for room, c in best.items():
+            for cut in itertools.product(range(s + 1), repeat=len(room)):
+                if sum(cut) == s and all(a <= b for a, b in zip(cut, room, strict=True)):
+                    key = tuple(b - a for a, b in zip(cut, room, strict=True))
+                    value = c + sum(a * cost[i][j] for j, a in enumerate(cut))
+                    after[key] = min(value, after.get(key, value))
+        best = after
+    return min(best.values())
+
+
+def test_flow_against_all_splits():
+    r = random.Random(8)
+    for _ in range(60):
+        m = r.randint(1, 3)
+        supply = [r.randint(0, 4) for _ in range(r.randint(1, 4))]
+        cost = [[r.choice([0, 0.25, 0.5, 1, 2]) for _ in range(m)] for _ in supply]
+        capacity = [sum(supply) // m + 1 + r.randint(0, 1) for _ in range(m)]
+        flow = reshard.min_cost_flow(supply, capacity, lambda i, j: cost[i][j])
+        assert all(sum(f for (i, _), f in flow.items() if i == k) == s for k, s in enumerate(supply))
+        assert all(sum(f for (_, j), f in flow.items() if j == k) <= c for k, c in enumerate(capacity))
+        assert abs(sum(f * cost[i][j] for (i, j), f in flow.items()) - slow_flow(supply, capacity, cost)) < 1e-9
+
+
+def test_scattered_shards_move_little():
+    """24 old shards of unlike sizes, blocks that lie in several of them: within 5 % of the flow's optimum and evenly filled."""
+    r = random.Random(4)
+    blocks = []
+    for old in range(-1, 24):
+        for k in range(r.randint(100, 400)):
+            lies = {old: r.randint(500, 3000)}
+            if r.random() < 0.2:
+                lies |= {j: r.randint(1, 400) for j in r.sample(range(24), 3) if j != old}
+            blocks.append(reshard.Block((old, k), old, sum(lies.values()), 1, lies))
+    plan = reshard.plan_report(blocks, 24)
+    sizes = Counter()
+    for b in blocks:
+        sizes[plan.placed[b.key]] += b.size
+    share = sum(sizes.values()) / 24
+    assert max(sizes.values()) - min(sizes.values()) <= reshard.CLOSE * share
+    assert plan.moved == sum(b.size - b.lies.get(plan.placed[b.key], 0) for b in blocks) and plan.least <= plan.moved <= 1.05 * plan.least
+
+
+def test_copies_follow_their_home(spark):
+    """Of equal texts that lie apart those in the smaller places move; rows of shards that are no more move; the rest stays where it can."""
+    r = random.Random(5)
+    rows = [(i, f"text {i} " * r.randint(5, 30)) for i in range(2400)] + [(3000 + i, f"copy {i % 40} " * 20) for i in range(400)]
+    d = docs(spark, plain(rows)).withColumn("was", F.expr("cast(pmod(xxhash64(doc_id), 13) as int)"))
+    got = reshard.reshard(d, shards=12, old_col="was").collect()
+    texts, where, home = dict(rows), defaultdict(set), defaultdict(Counter)
+    sizes, forced, moved, before = Counter(), 0, 0, Counter()
+    for x in got:
+        where[texts[x["doc_id"]]].add(x["shard"])
+        home[texts[x["doc_id"]]][x["old_shard"]] += x["size"]
+        sizes[x["shard"]] += x["size"]
+        moved += x["size"] * (x["shard"] != x["old_shard"])
+    for c in home.values():
+        forced += sum(c.values()) - max(c.values())
+        before[max(c, key=c.get)] += sum(c.values())
+    share = sum(sizes.values()) / 12
+    assert all(len(v) == 1 for v in where.values()) and max(sizes.values()) - min(sizes.values()) < 0.01 * share
+    assert moved <= 1.1 * (forced + sum(max(0, n - (share if j < 12 else 0)) for j, n in before.items()))
+
+
+def test_unknown_and_null_old_shards(spark):
+    rows = [(i, f"t{i} " * 9) for i in range(90)]
+    d = docs(spark, plain(rows)).withColumn("was", F.expr("case when doc_id < 30 then null when doc_id < 60 then -4 else 2000000 end"))
+    for together in (True, False):
+        got = reshard.reshard(d, shards=3, blocks_per_shard=30, old_col="was", together=together).collect()
+        assert Counter(x["old_shard"] for x in got) == {0: 30, -4: 30, 2_000_000: 30}
+        assert sum(x["shard"] == 0 for x in got if x["old_shard"] == 0) >= 28  # all but what makes the sizes even

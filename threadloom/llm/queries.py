@@ -39,9 +39,11 @@ def op9_exact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = reshard.reshard(reshard.file_layout(table(spark, sf_dir, "documents")), shards=24, old_col="__old_shard")
+    """From 20 shards by a hash of the id to 24 of equal size."""
+    laid = table(spark, sf_dir, "documents").withColumn("__old_shard", F.pmod(F.xxhash64("doc_id"), F.lit(20)).cast("int"))
+    placed = reshard.reshard(laid, shards=24, old_col="__old_shard")
     return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
     )
 
 
