@@ -124,3 +124,31 @@ def test_master_and_bound():
     assert (cover @ x).min() > 1 - 1e-5
     program = packing.configuration_program({50: 10, 33: 12}, 100)
     assert program.value == pytest.approx(9, abs=0.02) and 8.9 < program.bound <= 9.001 and program.sure <= 9.001
+
+
+def lengths_of(kind, n=20_000):
+    r = np.random.default_rng(12)
+    if kind == "lognormal":
+        return np.clip(np.exp(r.normal(6, 0.9, n)).astype(int), 1, 2048)
+    if kind == "short":
+        return r.integers(2, 701, n)
+    if kind == "triples":
+        return r.integers(600, 900, n)
+    if kind == "all":
+        return r.integers(1, 2049, n)
+    return np.r_[r.integers(1000, 1100, n // 3), r.integers(300, 420, n - n // 3)]
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "short", "triples", "all", "two kinds"])
+def test_never_worse_than_best_fit(kind):
+    need = Counter(lengths_of(kind).tolist())
+    got = packing.pack_report(dict(need))
+    have = Counter()
+    for group, n in got.groups:
+        assert sum(x * k for x, k in group) <= packing.CAPACITY
+        for x, k in group:
+            have[x] += k * n
+    alone = sum(n for _, n in packing.best_fit(dict(need), packing.CAPACITY))
+    assert have == need and got.at_least <= got.sequences == sum(n for _, n in got.groups) <= alone
+    if kind in ("triples", "two kinds"):  # here the program is what helps
+        assert got.sequences < 0.98 * alone and got.by_program > 0.8

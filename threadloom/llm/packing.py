@@ -34,7 +34,10 @@ CLASSES = 128
 GAP, KNAPSACKS, CONFIGURATIONS, RATE, PASSES = 0.002, 4, 8, 0.3, 120
 #: Roundings that are tried: (mass of the shortest pieces that is kept for the room that remains, most room of a sequence that stays
 #: as the program made it; others are opened again).
-ROUNDINGS = ((0.0, None), (0.05, None), (0.1, None), (0.2, None), (0.0, 4), (0.0, 2), (0.0, 1), (0.0, 0), (0.05, 2), (0.05, 0), (0.1, 0))
+ROUNDINGS = ((0.0, None), (0.05, None), (0.1, None), (0.2, None), (0.35, None), (0.5, None), (0.0, 4), (0.0, 2), (0.0, 1), (0.0, 0), (0.05, 2), (0.05, 0), (0.1, 0))
+
+#: So many of the roundings go on with programs for what is left, so many times, while that fills so many sequences.
+AGAIN, RESIDUALS, RESIDUAL_MASS = 2, 2, 16
 
 
 # -- lengths -> configurations ------------------------------------------------------------------------------------
@@ -295,13 +298,33 @@ class Packing:
     by_program: float
 
 
+def rounded(need: dict[int, int], program: Program, capacity: int, kept: float, room: int | None) -> tuple[list[Group], dict[int, int]]:
+    """(sequences of the program's configurations, the pieces that are in none), by one of the ROUNDINGS.
+
+    The solution is rounded along its running sum, so that all configurations together are as many as the solution's.
+    """
+    lengths = sorted(n for n, k in need.items() if k)
+    mass = np.cumsum([n * need[n] for n in lengths])
+    order = np.argsort(-program.often, kind="stable").tolist()
+    counts = np.diff(np.floor(np.r_[0.0, np.cumsum(program.often[order])] + 0.5))
+    rest = Counter({n: need[n] for n in lengths[: int(np.searchsorted(mass, kept * mass[-1], "right"))]})
+    left = {n: need[n] for n in lengths if n not in rest}
+    groups = fill([(program.configurations[k], int(n)) for k, n in zip(order, counts, strict=True) if n], program, left, capacity)
+    rest.update(left)
+    tight = [g for g in groups if room is None or capacity - sum(n * k for n, k in g[0]) <= room]
+    for group, n in groups:
+        if room is not None and capacity - sum(length * k for length, k in group) > room:
+            rest.update({length: k * n for length, k in group})
+    return tight, dict(rest)
+
+
 def pack_report(need: dict[int, int], capacity: int = CAPACITY) -> Packing:
     """Groups of equal sequences that hold exactly the needed pieces, with what is known of how good they are.
 
-    The solution is rounded along its running sum, so that all configurations together are as many as the solution's. Classes are ranges,
-    so sequences come out with some room. The shortest pieces are kept for it and go there by best fit, with the pieces
-    whose place in a configuration was too small and those of sequences that came out with too much room. Of the ROUNDINGS
-    the one with fewest sequences wins, then the one of which the program has placed most.
+    Classes are ranges, so sequences come out with some room. The shortest pieces are kept for it and go there by best fit, with the pieces
+    whose place in a configuration was too small and those of sequences that came out with too much room. Where more than the bound
+    is used, the best roundings go on: the pieces that they left have a program of their own, and so on. Of all results, and
+    best fit alone, the one with fewest sequences wins, then the one of which programs have placed most.
     """
     need = {n: k for n, k in need.items() if k}
     whole = need.pop(capacity, 0)
@@ -310,24 +333,34 @@ def pack_report(need: dict[int, int], capacity: int = CAPACITY) -> Packing:
         return Packing(tail, whole, whole, 0.0, 1.0)
     program = configuration_program(need, capacity)
     least = max(math.ceil(program.sure - 1e-6), -(-sum(n * k for n, k in need.items()) // capacity))
-    order = np.argsort(-program.often, kind="stable").tolist()
-    counts = np.diff(np.floor(np.r_[0.0, np.cumsum(program.often[order])] + 0.5))
-    lengths = sorted(need)
-    mass = np.cumsum([n * need[n] for n in lengths])
     tries = []
-    for kept, room in ROUNDINGS:
-        rest = Counter({n: need[n] for n in lengths[: int(np.searchsorted(mass, kept * mass[-1], "right"))]})
-        left = {n: k for n, k in need.items() if n not in rest}
-        groups = fill([(program.configurations[k], int(n)) for k, n in zip(order, counts, strict=True) if n], program, left, capacity)
-        rest.update(left)
-        tight = [g for g in groups if room is None or capacity - sum(n * k for n, k in g[0]) <= room]
-        for group, n in groups:
-            if room is not None and capacity - sum(length * k for length, k in group) > room:
-                rest.update({length: k * n for length, k in group})
-        done = best_fit(dict(rest), capacity, tight)
-        tries.append((sum(n for _, n in done), sum(rest.values()), done))
-    n, rest, groups = min(tries, key=lambda t: t[:2])
-    return Packing([*groups, *tail], n + whole, least + whole, program.value / program.bound - 1, 1 - rest / sum(need.values()))
+    for rounding in ROUNDINGS:
+        tight, rest = rounded(need, program, capacity, *rounding)
+        done = best_fit(rest, capacity, tight)
+        tries.append((sum(n for _, n in done), sum(rest.values()), rounding, done))
+    tries.sort(key=lambda t: t[:2])
+    for n, _, rounding, _ in tries[:AGAIN]:  # what is left has a program of its own, whose classes are finer
+        if n <= least:
+            break
+        tight, rest = rounded(need, program, capacity, *rounding)
+        for _ in range(RESIDUALS):
+            if sum(length * k for length, k in rest.items()) < RESIDUAL_MASS * capacity:
+                break
+            inner = configuration_program(rest, capacity)
+            options = []
+            for again in ROUNDINGS:
+                more, left = rounded(rest, inner, capacity, *again)
+                done = best_fit(left, capacity, [*tight, *more])
+                options.append((sum(k for _, k in done), sum(left.values()), more, left, done))
+            count, held, more, left, done = min(options, key=lambda t: t[:2])
+            tries.append((count, held, rounding, done))
+            if held >= sum(rest.values()):
+                break
+            tight, rest = [*tight, *more], left
+    alone = best_fit(need, capacity)
+    tries.append((sum(n for _, n in alone), sum(need.values()), None, alone))
+    n, outside, _, groups = min(tries, key=lambda t: t[:2])
+    return Packing([*groups, *tail], n + whole, least + whole, program.value / program.bound - 1, 1 - outside / sum(need.values()))
 
 
 def pack(need: dict[int, int], capacity: int = CAPACITY) -> list[Group]:
