@@ -123,3 +123,20 @@ def test_deep_nests():
 def test_many_different_elements():
     page = "<body>" + "".join(f"<div class='c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}'>t{k}</div>" for k in range(4000)) + "</body>"
     assert wrappers.extract(page, *learned([page, page.replace(">t", ">u")])).startswith("t0 t1 ")
+
+
+def test_names_of_asides():
+    """Regions are told by the first or the last word of their names; running text isn't dropped for what it is about."""
+    story = "".join(f"<p>A long paragraph of the story, part {k}.</p>" for k in range(4))
+    want = " ".join(f"A long paragraph of the story, part {k}." for k in range(4))
+    asides = "ad-inline advert-top nav-primary menu-main sidebar-left footer-widgets disqus_thread discussion cookie-law related-posts newsletter-signup-form".split()
+    for name in asides:
+        pages = [f"<body><div id='page'>{story.replace('story', f'story {i}')}<div class='{name}'><span>Say {i} now</span></div></div></body>" for i in range(10)]
+        known = learned(pages)
+        assert [wrappers.extract(p, *known) for p in pages] == [want.replace("story", f"story {i}") for i in range(10)], name
+    for name in "social search share overlay menu".split():
+        page = f"<body><article>{story}<p class='{name}'>On this topic too.</p></article></body>"
+        assert wrappers.extract(page, *learned([page])) == f"{want} On this topic too."
+    for name in "has-sidebar menu-open sidebar-hidden".split():
+        page = f"<body><div class='{name}'><article>{story}</article></div></body>"
+        assert wrappers.extract(page, *learned([page])) == want

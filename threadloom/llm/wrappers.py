@@ -63,12 +63,16 @@ _CLOSED_BY = {
 _ASIDE_TAGS = frozenset("head title nav header footer aside form button select textarea menu dialog fieldset input audio video canvas".split())
 _ASIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal overlay "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar comment comments commentlist disqus respond replies "
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar comment comments commentlist discussion disqus respond replies "
     "share sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar skip".split()
 )
 _MAIN_WORDS = frozenset("article main content post story entry".split())
 # Parts of a class or id that say nothing about its kind: ahead of the words they qualify, and behind them.
 _QUALIFIERS = frozenset("has have with without no not is hide show".split())
+_STATES = frozenset("open opened closed hidden visible active inactive enabled disabled sticky fixed offset free less none off on".split())
+# Elements of running text, and words that such an element may be called by without being aside: what it is about.
+_PROSE = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 td dd".split())
+_TOPICS = frozenset("social search share sharing overlay menu related recommended login signup banner comment sponsor header footer modal toolbar skip".split())
 _CONTAINERS = frozenset("area bar block box container holder inner item items link links list outer panel section slot unit wrap wrapper zone".split())
 
 _TOKEN = re.compile(
@@ -84,20 +88,25 @@ _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 
 
 @lru_cache(100_000)
-def _kind(token: str) -> str:
-    """What a class or id calls its element: the last word of a compound, containers aside; nothing for qualifiers like has-sidebar."""
+def _kind(token: str, first: bool = True) -> str:
+    """What a class or id calls its element: the last word of a compound, containers aside, or the ``first`` if that one is aside and the
+    last isn't (sidebar-left, menu-main); nothing for qualifiers and states like has-sidebar and menu-open."""
     parts = [x for x in re.split(r"[^a-z]+", token) if x]
-    if not parts or parts[0] in _QUALIFIERS:
+    if not parts or parts[0] in _QUALIFIERS or len(parts) > 1 and parts[-1] in _STATES:
         return ""
     while len(parts) > 1 and parts[-1] in _CONTAINERS:
         parts.pop()
-    return parts[-1]
+    return parts[0] if first and parts[0] in _ASIDE_WORDS and parts[-1] not in _ASIDE_WORDS else parts[-1]
 
 
 @lru_cache(100_000)
 def _named_aside(key: str) -> bool:
     tag, _, named = key.partition(".")
-    return bool(named) and tag not in ("html", "body", "article", "main") and any(_kind(x) in _ASIDE_WORDS for x in named.split())
+    if not named or tag in ("html", "body", "article", "main"):
+        return False
+    if tag in _PROSE:
+        return any(_kind(x, False) in _ASIDE_WORDS - _TOPICS for x in named.split())
+    return any(_kind(x) in _ASIDE_WORDS for x in named.split())
 
 
 def _tag_aside(key: str) -> bool:
