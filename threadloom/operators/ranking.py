@@ -29,6 +29,9 @@ class Weights:
     short: float = 0.06
     subagent: float = 0.20
     missing_cwd: float = 0.03
+    #: Decimals of the recency part, and of the score that a search orders by; all of them where none are given.
+    recency_digits: int | None = None
+    score_digits: int | None = None
 
 
 def moment(text: Column) -> Column:
@@ -103,7 +106,11 @@ def base_score(columns: list[str], k: int = RRF_K) -> Column:
 
 def recency(now: datetime, w: Weights) -> Column:
     age_days = F.greatest(F.lit(0.0), (F.lit(now.timestamp()) - moment(F.col("updated_at")).cast("double")) / 86_400)
-    return F.coalesce(F.lit(w.recency) * F.pow(F.lit(0.5), age_days / w.half_life_days), F.lit(0.0))
+    return F.coalesce(rounded(F.lit(w.recency) * F.pow(F.lit(0.5), age_days / w.half_life_days), w.recency_digits), F.lit(0.0))
+
+
+def rounded(value: Column, digits: int | None) -> Column:
+    return value if digits is None else F.round(value, digits)
 
 
 def cwd_matches(current: str | None) -> Column:

@@ -125,7 +125,7 @@ def search(
     rows = found.join(corpus.sessions.drop("first_prompt"), "uid").filter(condition)
     rows = rows.join(corpus.docs.select("uid", "first_prompt", "body"), "uid")
     parts = ranking.score_parts(rows.columns, plan, context.moment, parsed.filters, context.current_repo, context.current_cwd, context.weights)
-    rows = rows.withColumn("score", parts["total"])
+    rows = rows.withColumn("score", ranking.rounded(parts["total"], context.weights.score_digits))
     phrases = [folded(t) for t in plan.tokens]
     order = ranking.search_order(plan)
     rows = rows.orderBy(*order).limit(limit if limit and limit > 0 else lexical.CANDIDATES + vectors.CANDIDATE_SESSIONS)
