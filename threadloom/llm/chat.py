@@ -1,9 +1,9 @@
 """Chat formatting by prefix-target expansion, in DataFrame operations only.
 
 Every assistant turn becomes an example: all turns before it are context, the reply alone is trainable.
-A row holds the formatted turns since the example before it, and ahead of them the whole context. Contexts of a conversation
-grow with the square of its turns, so conversations beyond a stated size have rows without it: those say how many characters and
-turns of the conversation's earlier rows stand before them, and ``expand`` writes the contexts out.
+A row holds the formatted turns since the example before it, and ahead of them the whole context, however long the conversation is. Contexts of a
+conversation grow with the square of its turns. A caller who can't hold them may state limits; rows of conversations beyond these come without context and say
+how many characters and turns of the conversation's earlier rows stand before them, and ``expand`` writes the contexts out.
 
 Template of a turn: ``<|turn|>`` role, newline, text, ``<|end|>``. Inside texts each control string of this
 and of other common templates gets a backslash after its first character (one more if it has some already),
@@ -19,7 +19,7 @@ TURN, END = "<|turn|>", "<|end|>"
 #: What may follow the first character of a control string; fixed values.
 _TAILS = r"(?=\||/?s>|/?INST\]|</?SYS>>)"
 CHUNK_TURNS = 256
-#: Conversations of up to so many turns and formatted characters have their contexts written out in every row.
+#: Limits for callers who don't want the contexts of long conversations: turns and formatted characters. Nothing here sets them by itself.
 WHOLE_TURNS, WHOLE_CHARS = 64, 200_000
 
 
@@ -54,13 +54,13 @@ def prefix_examples(
     role_col: str = "role",
     text_col: str = "text",
     target_role: str = "assistant",
-    whole_turns: int = WHOLE_TURNS,
-    whole_chars: int = WHOLE_CHARS,
+    whole_turns: int | None = None,
+    whole_chars: int | None = None,
 ) -> DataFrame:
     """(conv_id, example, context, context_chars, context_turns, segment, segment_turns, loss_start, loss_length).
 
-    An example's text is ``context`` and ``segment``; the context is null in conversations of more than ``whole_turns`` turns or
-    ``whole_chars`` characters, where it is the segments of the rows before. One row per turn of ``target_role``, numbered from 0 in each conversation, and one without loss for turns
+    An example's text is ``context`` and ``segment``; only where a limit is given is the context null in conversations of more than ``whole_turns`` turns or
+    ``whole_chars`` characters; it is the segments of the rows before. One row per turn of ``target_role``, numbered from 0 in each conversation, and one without loss for turns
     after the last of these. ``segment`` holds the formatted turns since the row before; loss_start (from 0)
     and loss_length mark the escaped reply inside it (null without one). Null roles and texts count as
     empty; null conversations form one conversation; null turns come first; equal turns go by role, then
@@ -91,11 +91,14 @@ def prefix_examples(
     )
     earlier = Window.partitionBy("conv_id").orderBy(F.col("chunk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("conv_id")
+    whole = F.lit(True)
+    for name, limit in (("all_turns", whole_turns), ("all_chars", whole_chars)):
+        whole = whole if limit is None else whole & (F.sum(name).over(every) <= limit)
     sums = sums.select(
         "conv_id",
         "chunk",
         *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_0") for c in ("replies", "all_chars", "all_turns")),
-        ((F.sum("all_turns").over(every) <= whole_turns) & (F.sum("all_chars").over(every) <= whole_chars)).alias("whole"),
+        whole.alias("whole"),
     )
     inside = (
         Window.partitionBy("conv_id", "chunk")
