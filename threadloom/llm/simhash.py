@@ -7,15 +7,16 @@ each 16-bit word; a pair of tiles whose counts differ by more than the radius in
 each differing bit changes one of these counts by one. A task hands on a spanning forest of what it linked,
 never the pairs themselves.
 
-Near copies by similarity take fingerprints of 128 bits, whose distance estimates the cosine of shingle counts well enough to
-tell 0.8 from chance among many documents. They are compared by the same tiles in either half: of a pair within the radius one
-half is within half of it. What fingerprints link is only a candidate: shingle sets of a group's texts are compared exactly before one goes.
+Near copies by similarity are texts that share a key and whose fingerprints of 128 bits are near. A text has 20 keys, each of the least
+values that three hashes take on its set of shingles; two sets share each with the cube of their similarity, so similar texts share one all but surely, and texts that
+have little in common meet in no task: the work grows with the texts, not with their pairs. What is linked is only a candidate: shingle sets of a group's texts are compared exactly before one goes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ RADIUS = 4
 COPY_WORDS, COPY_SIMILARITY, COPY_BITS = 5, 0.8, 128
 #: A group whose texts have so many shingles together is compared in one task.
 GROUP_SHINGLES = 1 << 20
+#: Keys of a text, and the least hashes that a key is made of: texts with a similarity of 0.8 share none with a chance of (1 - 0.8 ** 3) ** 20, one in 1.7 million.
+COPY_BANDS, COPY_BAND_HASHES = 20, 3
+#: Texts of one key that are compared all at once with those of other keys; more go by pivots.
+RUN_ROWS = 16
 #: Blocks of these are made so small that there are so many, down to so many fingerprints.
 COPY_BLOCKS, COPY_BLOCK_ROWS = 8, 4096
 #: Fingerprints of one side of a comparison task (8 bytes each).
@@ -79,6 +84,58 @@ def wide_fingerprint(text: str | None, words_per_shingle: int = COPY_WORDS) -> b
     return _majority(text, words_per_shingle, _xxh128, COPY_BITS // 8).tobytes()
 
 
+def _odd(n: int, seed: int) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(b"%d" % i, seed) | 1 for i in range(n)], np.uint64)
+
+
+_FACTORS, _ADDENDS, _BAND_STARTS = _odd(COPY_BANDS * COPY_BAND_HASHES, 1), _odd(COPY_BANDS * COPY_BAND_HASHES, 2), _odd(COPY_BANDS, 3)
+
+
+def _mixed(x: np.ndarray, addend: int) -> np.ndarray:
+    """Numbers that differ in all bits where ``x`` differs in any."""
+    x = x + np.uint64(addend)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+def _shingle_numbers(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """The distinct shingles of a text as 64-bit hashes, which are made of the hashes of their words; a text of fewer words is one shingle."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    n = max(0, len(words) - words_per_shingle) + 1 if words else 0
+    made = each[:n].copy()
+    for k in range(1, min(words_per_shingle, len(words))):
+        made = made * _FACTORS[0] + each[k : k + n]
+    return np.unique(_mixed(made, SEED))
+
+
+def copy_sketch(text: str | None, words_per_shingle: int = COPY_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Of the set of a text's shingles: the 128-bit SimHash as two words, and the keys that similar sets share. Without words zero, and no keys."""
+    shingles = _shingle_numbers(text, words_per_shingle)
+    if not shingles.size:
+        return np.zeros(2, np.uint64), np.zeros(0, np.uint64)
+    ones = np.zeros(COPY_BITS, np.int64)
+    bits = np.stack([shingles, _mixed(shingles, 1)], axis=1).view(np.uint8)
+    for a in range(0, shingles.size, 255):  # as many as a byte counts
+        ones += np.add.reduce(np.unpackbits(bits[a : a + 255], axis=1), axis=0, dtype=np.uint8)
+    least = np.full(_FACTORS.size, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, shingles.size, 4096):
+        values = np.multiply.outer(_FACTORS, shingles[a : a + 4096])
+        values += _ADDENDS[:, None]
+        np.minimum(least, values.min(axis=1), out=least)
+    keys = _BAND_STARTS  # a key of one band is none of another
+    for k in range(COPY_BAND_HASHES):
+        keys = _mixed(keys ^ least[k::COPY_BAND_HASHES], 0)
+    return np.packbits(ones * 2 > shingles.size).view("<u8"), keys
+
+
+def set_radius(similarity: float, bits: int = COPY_BITS) -> int:
+    """Bits that fingerprints of sets with this Jaccard similarity differ by at most, but for one pair in some millions: the mean and five deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
+
+
 def radius_of(similarity: float, bits: int = COPY_BITS) -> int:
     """The most bits that fingerprints of texts with this cosine similarity differ by, on average."""
     return int(bits * math.acos(similarity) / math.pi)
@@ -246,6 +303,96 @@ def linked_wide(halves: np.ndarray, side: np.ndarray | None, radius: int) -> tup
     return every[root != every], root[root != every]
 
 
+def linked_by_pivots(halves: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (u, v) of links within the radius that keep every component, for texts that are likely to be copies of each other.
+
+    All that is near a text forms a cluster with it, whose texts needn't be compared with each other. As long as clusters are large they are
+    taken off; they and what is left are then compared by tiles.
+    """
+    left, clusters, u, v = np.arange(len(halves)), [], [], []
+    while left.size:
+        near = np.bitwise_count(halves[left] ^ halves[left[0]]).sum(axis=1, dtype=np.int64) <= radius
+        if near.sum() * RUN_ROWS < left.size:
+            break
+        clusters.append(left[near])
+        u.append(clusters[-1][1:])
+        v.append(np.full(clusters[-1].size - 1, left[0]))
+        left = left[~near]
+    if left.size:
+        i, j = linked_wide(halves[left], None, radius)
+        u.append(left[i])
+        v.append(left[j])
+    rest = [*clusters, left]
+    for k, ours in enumerate(clusters):
+        theirs = np.concatenate(rest[k + 1 :])
+        i, j = linked_wide(halves[np.r_[ours, theirs]], _sides(ours.size, theirs.size), radius)
+        both = np.r_[ours, theirs]
+        u.append(both[i])
+        v.append(both[j])
+    return np.concatenate([*u, left[:0]]), np.concatenate([*v, left[:0]])
+
+
+def key_links(keys: np.ndarray, halves: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (u, v) of links within the radius among fingerprints of equal keys, in order of ``keys``, that keep every component of a key."""
+    if not keys.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bounds = _bounds(keys)
+    sizes = np.diff(bounds)
+    few = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= RUN_ROWS), sizes))
+    u, v = [few[:0]], [few[:0]]
+    for k in range(1, RUN_ROWS):
+        i, j = few[:-k], few[k:]
+        same = keys[i] == keys[j]
+        if not same.any():
+            break
+        i, j = i[same], j[same]
+        near = np.bitwise_count(halves[i] ^ halves[j]).sum(axis=1, dtype=np.int64) <= radius
+        u.append(i[near])
+        v.append(j[near])
+    for r in np.flatnonzero(sizes > RUN_ROWS):
+        i, j = linked_by_pivots(halves[bounds[r] : bounds[r + 1]], radius)
+        u.append(i + bounds[r])
+        v.append(j + bounds[r])
+    return np.concatenate(u), np.concatenate(v)
+
+
+def copy_candidates(sketches: DataFrame, radius: int) -> DataFrame:
+    """(u, v): links among the fingerprints ``sketches(low, high, keys)`` within ``radius`` bits that share a key; they keep every component. u and v are the 16 bytes.
+
+    A key is a row of 24 bytes. Rows of a key come together in one task, which goes through them in order and holds the rows of one key and a batch.
+    """
+    rows = sketches.select(F.explode("keys").alias("key"), "low", "high").repartition("key").sortWithinPartitions("key")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(keys: np.ndarray, halves: np.ndarray) -> Iterator[pa.RecordBatch]:
+            i, j = key_links(keys, halves, radius)
+            ends = np.unique(np.concatenate([halves[i], halves[j]], axis=1), axis=0)
+            ends = ends[(ends[:, :2] != ends[:, 2:]).any(axis=1)]
+            if len(ends):
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ends[:, k : k + 2]], pa.binary()) for k in (0, 2)], ["u", "v"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the last key's rows, which the next batch may go on with
+        for batch in batches:
+            keys, low, high = (batch.column(k).to_numpy() for k in range(3))
+            if not keys.size:
+                continue
+            halves = np.stack([low, high], axis=1).view(np.uint64)
+            end = int(np.searchsorted(keys, keys[-1]))  # where the batch's last key begins
+            if held and (end or held[0][0][0] != keys[0]):
+                first = int(np.searchsorted(keys, held[0][0][0], "right")) if held[0][0][0] == keys[0] else 0
+                held.append((keys[:first], halves[:first]))
+                yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                yield from links(keys[first:end], halves[first:end])
+                held = []
+            elif not held:
+                yield from links(keys[:end], halves[:end])
+            held.append((keys[end:], halves[end:]))
+        if held:
+            yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return rows.mapInArrow(work, "u binary, v binary")
+
+
 def near_links(nodes: DataFrame, radius: int = RADIUS, stratum_rows: int = STRATUM_ROWS) -> DataFrame:
     """(u, v): links among distinct fingerprints ``nodes(fp)`` that keep every component within ``radius`` bits.
 
@@ -315,6 +462,7 @@ def copy_links(nodes: DataFrame, radius: int, block_rows: int = STRATUM_ROWS) ->
     """(u, v): links among distinct fingerprints ``nodes(fp)`` of 16 bytes that keep every component within ``radius`` bits.
 
     Fingerprints form blocks by hash, of ``block_rows`` at most and fewer where there are few; each pair of blocks is a task.
+    All pairs are compared, so this is for small tables; ``copy_candidates`` finds those of similar texts.
     """
     n = nodes.count()
     cuts = max(-(-n // block_rows), min(COPY_BLOCKS, -(-n // COPY_BLOCK_ROWS)))
@@ -339,16 +487,18 @@ def copy_links(nodes: DataFrame, radius: int, block_rows: int = STRATUM_ROWS) ->
     return dealt.groupBy("i", "j").applyInArrow(compare, "u binary, v binary")
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = COPY_WORDS) -> DataFrame:
-    """(doc_id, fp, digest): one row per input row; fp holds the 16 bytes, digest tells the text."""
+def copy_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = COPY_WORDS) -> DataFrame:
+    """(doc_id, fp, digest, low, high, keys): one row per input row; fp holds the 16 bytes, low and high as well, digest tells the text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(x.as_py(), words_per_shingle) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["doc_id", "fp", "digest"])
+            found = [copy_sketch(x.as_py(), words_per_shingle) for x in batch.column(1)]
+            low, high = (pa.array(np.array([x[k] for x, _ in found], np.uint64).view(np.int64)) for k in (0, 1))
+            made = [batch.column(0), pa.array([x.tobytes() for x, _ in found], pa.binary()), batch.column(2), low, high, pa.array([k.view(np.int64) for _, k in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "fp", "digest", "low", "high", "keys"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), digest_of(text_col).alias("digest"))
-    return own.mapInArrow(work, "doc_id long, fp binary, digest binary")
+    return own.mapInArrow(work, "doc_id long, fp binary, digest binary, low long, high long, keys array<long>")
 
 
 def drop_near_copies(
@@ -438,14 +588,13 @@ def drop_similar(
 ) -> DataFrame:
     """``docs`` without near copies: texts whose sets of shingles have this Jaccard similarity or more. All columns stay.
 
-    Texts may be near copies where their fingerprints of 128 bits differ by no more than those of texts whose counts of shingles have this
-    cosine do on average (26 bits for 0.8), or are joined by such links. In each such group the sets are compared exactly, and a text goes only
+    Texts may be near copies where they share a key and the fingerprints of their sets differ by no more than those of sets with this similarity do
+    (39 bits for 0.8), or are joined by such links. In each such group the sets are compared exactly, and a text goes only
     where it is similar to one that stays and comes before it: rows come in the order of their ids (null last) and of the digests of their texts. Of rows that
     repeat a text, the first stays. Null and empty texts are equal. An empty table gives an empty result.
     """
-    prints = written(wide_fingerprints(docs, id_col, text_col, words_per_shingle), "simhash")
-    nodes = written(prints.select("fp").distinct(), "simhash-distinct")
-    roots = connected_components(copy_links(nodes, radius_of(similarity)), "u", "v", "simhash-links")
+    prints = written(copy_sketches(docs, id_col, text_col, words_per_shingle), "simhash")
+    roots = connected_components(copy_candidates(prints, set_radius(similarity)), "u", "v", "simhash-links")
     rows = _rooted(prints, roots)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first")
     texts = written(rows.groupBy("root", "digest").agg(first, F.count("*").alias("n")), "similar-texts")
