@@ -131,7 +131,7 @@ def copy_sketch(text: str | None, words_per_shingle: int = COPY_WORDS) -> tuple[
 
 
 def set_radius(similarity: float, bits: int = COPY_BITS) -> int:
-    """Bits that fingerprints of sets with this Jaccard similarity differ by at most, but for one pair in some millions: the mean and five deviations."""
+    """Bits that fingerprints of sets with this Jaccard similarity differ by at most, but for one pair in some hundred thousand: the mean and five deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return int(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
 
